@@ -2,101 +2,95 @@
 
 Each field becomes an ``array<int>`` of its allowed values. Nothing here iterates over minutes:
 days are tested against three small arrays, and only matching days meet the times of day.
+The pieces are SQL texts for ``selectExpr``: they nest lambdas too deeply to build call by call.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Field bounds and names of the cron grammar.
 FIELDS = {"minute": (0, 59), "hour": (0, 23), "dom": (1, 31), "month": (1, 12), "dow": (0, 7)}
-MONTH_NAMES = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
-DAY_NAMES = ["sun", "mon", "tue", "wed", "thu", "fri", "sat"]
-_PART = r"^(\*|[0-9]{1,2}|[0-9]{1,2}-[0-9]{1,2})(/[0-9]{1,4})?$"
-
-
-def tokens(cron: Column) -> Column:
-    return F.filter(F.split(F.trim(cron), r"\s+"), lambda t: t != "")
+MONTH_NAMES = "jan feb mar apr may jun jul aug sep oct nov dec"
+DAY_NAMES = "sun mon tue wed thu fri sat"
+NAMES = {"month": (MONTH_NAMES, 1), "dow": (DAY_NAMES, 0)}
+PART = r"^(?:\*|([0-9]{1,2}|[a-z]{3})(?:-([0-9]{1,2}|[a-z]{3}))?)(?:/([0-9]{1,4}))?$"
 
 
-def has_five_fields(cron: Column) -> Column:
-    return F.size(tokens(cron)) == 5
+def tokens(cron: str) -> str:
+    return f"filter(split(trim({cron}), r'\\s+'), t -> t <> '')"
 
 
-def _numbered(field: Column, names: list[str], first: int) -> Column:
-    return reduce(
-        lambda c, item: F.regexp_replace(c, rf"\b{item[1]}\b", str(item[0])),
-        enumerate(names, first),
-        F.lower(field),
-    )
+def has_five_fields(cron: Column | str) -> Column:
+    if isinstance(cron, str):
+        return F.expr(f"size({tokens(cron)}) = 5")
+    return F.size(F.filter(F.split(F.trim(cron), r"\s+"), lambda t: t != "")) == 5
 
 
-def _parts(cron: Column, name: str) -> Column:
-    """The comma-separated parts of one field, names already turned into numbers."""
-    field = F.get(tokens(cron), F.lit(list(FIELDS).index(name)))
-    if name == "month":
-        field = _numbered(field, MONTH_NAMES, 1)
-    elif name == "dow":
-        field = _numbered(field, DAY_NAMES, 0)
-    return F.split(F.coalesce(field, F.lit("")), ",")
+def parse_field(fields: str, name: str) -> str:
+    """The comma-separated parts of one field as ``array<struct<low, high, step, ok>>``.
 
-
-def _bounds(part: Column, name: str) -> tuple[Column, Column, Column]:
-    """Low, high and step of a part. Digits are extracted first, so no cast can fail."""
+    ``fields`` is the array of tokens. A broken part has ``ok`` false and maybe null bounds.
+    """
     lo, hi = FIELDS[name]
     # a plain "*" covers a week once: Sunday is 0 there
     top = 6 if name == "dow" else hi
 
-    def number(pattern: str) -> Column:
-        return F.nullif(F.regexp_extract(part, pattern, 1), F.lit("")).try_cast("int")
+    def number(text: str) -> str:
+        if name not in NAMES:
+            return f"try_cast({text} AS INT)"
+        words, first = NAMES[name]
+        word = f"nullif(array_position(split('{words}', ' '), {text}), 0)"
+        return f"coalesce(try_cast({text} AS INT), CAST({word} AS INT) + {first - 1})"
 
-    low, high, step = number(r"^([0-9]+)"), number(r"^[0-9]+-([0-9]+)"), number(r"/([0-9]+)$")
-    stepped = F.when(step.isNotNull(), F.lit(top)).otherwise(low)
-    return F.coalesce(low, F.lit(lo)), F.coalesce(high, stepped, F.lit(top)), F.coalesce(step, F.lit(1))
+    def group(index: int) -> str:
+        return f"regexp_extract(p, r'{PART}', {index})"
 
+    texts = f"""transform(split(lower(coalesce(get({fields}, {list(FIELDS).index(name)}), '')), ','), p -> struct(
+        {group(1)} AS lo, {group(2)} AS hi, {group(3)} AS step, p rlike r'{PART}' AS shaped))"""
+    bounds = f"""transform({texts}, p -> struct(
+        CASE WHEN p.lo = '' THEN {lo} ELSE {number('p.lo')} END AS low,
+        CASE WHEN p.hi <> '' THEN {number('p.hi')} WHEN p.lo = '' OR p.step <> '' THEN {top} ELSE {number('p.lo')} END AS high,
+        CASE WHEN p.step = '' THEN 1 ELSE try_cast(p.step AS INT) END AS step,
+        p.shaped AS shaped))"""
+    inside = f"b.low >= {lo} AND b.high <= {hi} AND b.low <= b.high AND b.step >= 1"
+    return f"transform({bounds}, b -> named_struct('low', b.low, 'high', b.high, 'step', b.step, 'ok', coalesce(b.shaped AND {inside}, false)))"
 
-def _part_ok(part: Column, name: str) -> Column:
-    low, high, step = _bounds(part, name)
-    lo, hi = FIELDS[name]
-    return part.rlike(_PART) & (low >= lo) & (high <= hi) & (low <= high) & (step >= 1)
 
+def parsed_ok(parsed: str) -> str:
+    return f"forall({parsed}, b -> b.ok)"
 
-def is_valid_cron(cron: Column) -> Column:
-    """True for a well-formed five-field expression whose values are all in range; false for null."""
 
-    def field_ok(name: str) -> Column:
-        return F.forall(_parts(cron, name), lambda part: _part_ok(part, name))
+def parsed_values(parsed: str, name: str) -> str:
+    """Sorted allowed values of a parsed field; Sunday is 0. Null where a part is broken."""
+    values = f"flatten(transform({parsed}, b -> CASE WHEN b.ok THEN sequence(b.low, b.high, b.step) END))"
+    if name == "dow":
+        values = f"transform({values}, v -> v % 7)"
+    return f"array_sort(array_distinct({values}))"
 
-    return F.coalesce(reduce(lambda ok, name: ok & field_ok(name), FIELDS, has_five_fields(cron)), F.lit(False))
 
+def is_valid_cron(cron: str) -> Column:
+    """True for a well-formed five-field expression whose values are all in range; false for null."""
+    checks = " AND ".join(parsed_ok(parse_field("t", name)) for name in FIELDS)
+    return F.expr(f"coalesce(transform(array({tokens(cron)}), t -> size(t) = 5 AND {checks})[0], false)")
 
-def field_values(cron: Column, name: str) -> Column:
-    """Sorted allowed values of one field; Sunday is 0. Assumes a valid expression."""
 
-    def expand(part: Column) -> Column:
-        low, high, step = _bounds(part, name)
-        return F.sequence(low, F.greatest(low, high), F.greatest(step, F.lit(1)))
+def field_values(cron: str, name: str) -> Column:
+    """Sorted allowed values of one field of a valid expression."""
+    return F.expr(parsed_values(parse_field(tokens(cron), name), name))
 
-    values = F.flatten(F.transform(_parts(cron, name), expand))
-    if name == "dow":
-        values = F.transform(values, lambda v: v % 7)
-    return F.array_sort(F.array_distinct(values))
 
+def day_matches(day: str, spec: str) -> str:
+    """Whether a schedule fires on a day: restricted day-of-month and day-of-week are OR-ed.
 
-def day_matches(day: Column, dom: Column, month: Column, dow: Column) -> Column:
-    """Whether a schedule fires on a day: restricted day-of-month and day-of-week are OR-ed."""
-    on_dom = F.array_contains(dom, F.dayofmonth(day))
-    on_dow = F.array_contains(dow, F.dayofweek(day) - 1)
-    either = (F.size(dom) < 31) & (F.size(dow) < 7)
-    return F.array_contains(month, F.month(day)) & F.when(either, on_dom | on_dow).otherwise(on_dom & on_dow)
+    ``spec`` is a struct of the allowed ``dom, month, dow``.
+    """
+    dom, dow = f"array_contains({spec}.dom, dayofmonth({day}))", f"array_contains({spec}.dow, dayofweek({day}) - 1)"
+    either = f"size({spec}.dom) < 31 AND size({spec}.dow) < 7"
+    return f"(array_contains({spec}.month, month({day})) AND CASE WHEN {either} THEN {dom} OR {dow} ELSE {dom} AND {dow} END)"
 
 
-def minutes_of_day(cron: Column) -> Column:
-    """Sorted minutes after midnight at which a matching day fires."""
-    minutes = field_values(cron, "minute")
-    return F.flatten(
-        F.transform(field_values(cron, "hour"), lambda h: F.transform(minutes, lambda m: h * 60 + m))
-    )
+def minutes_of_day(hours: str, minutes: str) -> str:
+    """Sorted minutes after midnight at which a matching day fires, from the two fields' values."""
+    return f"flatten(transform({hours}, h -> transform({minutes}, m -> h * 60 + m)))"

@@ -17,89 +17,103 @@ from freshet.functions import cron as C
 # Rare schedules need long horizons: 29 February can be 8 years away and two fires are needed.
 NEAR_DAYS, FAR_DAYS = 800, 366 * 17
 
-Instant = str | dt.datetime | Column
+Instant = str | dt.datetime
 
 
 def instant(value: Instant) -> Column:
-    """A zone-free UTC instant."""
-    return (value if isinstance(value, Column) else F.lit(str(value))).cast("timestamp_ntz")
+    """A zone-free UTC instant as a column."""
+    return F.lit(_text(value)).cast("timestamp_ntz")
+
+
+def _text(value: Instant) -> str:
+    if isinstance(value, str):
+        value = dt.datetime.fromisoformat(value)
+    if value.tzinfo:
+        value = value.astimezone(dt.timezone.utc).replace(tzinfo=None)
+    return str(value)
+
+
+def _literal(value: Instant) -> str:
+    return f"TIMESTAMP_NTZ '{_text(value)}'"
 
 
 def _per_expression(schedules: DataFrame, cron: str, add: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Evaluate ``add`` over the distinct expressions and join its columns back to all rows."""
+    # each stage names its results, so nothing is parsed twice
     found = schedules.select(F.col(cron).alias("_cron")).distinct()
-    checked = F.when(C.is_valid_cron(F.col("_cron")), F.col("_cron")).otherwise(
-        F.raise_error(F.concat(F.lit("invalid cron expression: "), F.coalesce("_cron", F.lit("null"))))
+    texts = found.selectExpr("_cron", f"coalesce({C.tokens('_cron')}, array()) AS _t")
+    parts = texts.selectExpr("_cron", "size(_t) AS _n", *[f"{C.parse_field('_t', n)} AS {n}" for n in C.FIELDS])
+    ok = " AND ".join(["_n = 5", *[C.parsed_ok(n) for n in C.FIELDS]])
+    # the key itself stays a plain column: as the result of the check it would carry the whole parse,
+    # through the join's null filter, below the distinct
+    values = parts.selectExpr(
+        "_cron",
+        *[f"{C.parsed_values(n, n)} AS {n}" for n in C.FIELDS],
+        f"CASE WHEN {ok} THEN true ELSE CAST(raise_error(concat('invalid cron expression: ', coalesce(_cron, 'null'))) AS BOOLEAN) END AS _ok",
     )
-    parsed = found.withColumn("_ok", checked).select(
+    parsed = values.selectExpr(
         "_cron",
-        *[C.field_values(F.col("_ok"), n).alias(f"_{n}") for n in ("dom", "month", "dow")],
-        C.minutes_of_day(F.col("_ok")).alias("_minutes"),
+        "struct(dom, month, dow) AS _days_of",
+        f"CASE WHEN _ok THEN {C.minutes_of_day('hour', 'minute')} END AS _minutes",
     )
-    results = add(parsed).drop("_dom", "_month", "_dow", "_minutes")
+    results = add(parsed).drop("_days_of", "_minutes")
     return schedules.join(results, schedules[cron] == results["_cron"]).drop("_cron")
 
 
-def _matching_days(first: Column, last: Column, step: int = 1) -> Column:
-    days = F.sequence(first, last, F.expr(f"interval {step} day"))
-    return F.filter(days, lambda d: C.day_matches(d, F.col("_dom"), F.col("_month"), F.col("_dow")))
+def _matching_days(first: str, last: str, step: int = 1) -> str:
+    # the one-element array binds the struct, which then is built once and not once per day
+    days = f"sequence({first}, {last}, interval {step} day)"
+    return f"transform(array(_days_of), s -> filter({days}, d -> {C.day_matches('d', 's')}))[0]"
 
 
-def _closest_days(day: Column, step: int) -> Column:
+def _closest_days(day: str, step: int) -> str:
     """The three matching days nearest to ``day`` on one side, itself included.
 
     Each holds at least one fire, so even if the first one is already over two fires are left.
     """
-    near = F.slice(_matching_days(day, F.date_add(day, step * NEAR_DAYS), step), 1, 3)
-    far = F.slice(_matching_days(day, F.date_add(day, step * FAR_DAYS), step), 1, 3)
-    return F.when(F.size(near) == 3, near).otherwise(far)
 
+    def within(n: int) -> str:
+        return f"slice({_matching_days(day, f'date_add({day}, {step * n})', step)}, 1, 3)"
+
+    return f"transform(array({within(NEAR_DAYS)}), n -> CASE WHEN size(n) = 3 THEN n ELSE {within(FAR_DAYS)} END)[0]"
 
-def _fires(days: Column) -> Column:
-    def at(day: Column) -> Column:
-        return F.transform("_minutes", lambda m: F.timestamp_add("MINUTE", m, day.cast("timestamp_ntz")))
 
-    return F.flatten(F.transform(days, at))
+def _fires(days: str) -> str:
+    at = "timestampadd(MINUTE, m, CAST(d AS TIMESTAMP_NTZ))"
+    return f"flatten(transform({days}, d -> transform(_minutes, m -> {at})))"
 
 
 def expand_schedule(schedules: DataFrame, start: Instant, end: Instant, id_col: str = "id", cron: str = "cron") -> DataFrame:
     """``(id, fire_ts)``: every fire of each schedule in ``[start, end)``; an invalid expression is an error."""
-    lo, hi = instant(start), instant(end)
-    # the day list travels through the join as one row per expression; fires appear only after it
-    days = _per_expression(
-        schedules.select(id_col, cron),
-        cron,
-        lambda p: p.withColumn("_days", _matching_days(lo.cast("date"), hi.cast("date"))).withColumn("_times", F.col("_minutes")),
-    )
+    lo, hi = _literal(start), _literal(end)
+    days = _matching_days(f"to_date({lo})", f"to_date({hi})")
+    # one row per expression until here, with a list of days and one of minutes; the fires appear only after
+    # the join. The outer form keeps Spark from inferring "size > 0" and pushing the evaluation below the distinct
+    listed = _per_expression(schedules.select(id_col, cron), cron, lambda p: p.selectExpr("_cron", f"{days} AS _d", "_minutes AS _m"))
+    fire = F.expr("timestampadd(MINUTE, _m, CAST(_d AS TIMESTAMP_NTZ))")
     return (
-        days.select(id_col, "_times", F.explode("_days").alias("_day"))
-        .select(id_col, "_day", F.explode("_times").alias("_m"))
-        .select(id_col, F.timestamp_add("MINUTE", F.col("_m"), F.col("_day").cast("timestamp_ntz")).alias("fire_ts"))
-        .where((F.col("fire_ts") >= lo) & (F.col("fire_ts") < hi))
+        listed.select(id_col, "_m", F.explode_outer("_d").alias("_d"))
+        .select(id_col, "_d", F.explode_outer("_m").alias("_m"))
+        .select(id_col, fire.alias("fire_ts"))
+        .where(f"fire_ts >= {lo} AND fire_ts < {hi}")
     )
 
 
 def schedule_cadence(schedules: DataFrame, as_of: Instant, cron: str = "cron", out: str = "interval_s") -> DataFrame:
     """Add the seconds between the first two fires after ``as_of``; null if the calendar has no two."""
-    now = instant(as_of)
-
-    def gap(parsed: DataFrame) -> DataFrame:
-        upcoming = F.slice(F.filter(_fires(_closest_days(now.cast("date"), 1)), lambda t: t > now), 1, 2)
-        seconds = F.timestamp_diff("SECOND", F.get("_next", F.lit(0)), F.get("_next", F.lit(1)))
-        return parsed.withColumn("_next", upcoming).withColumn(out, seconds.cast("double")).drop("_next")
-
-    return _per_expression(schedules, cron, gap)
+    now = _literal(as_of)
+    upcoming = f"slice(filter({_fires(_closest_days(f'to_date({now})', 1))}, t -> t > {now}), 1, 2)"
+    seconds = "CAST(timestampdiff(SECOND, get(_next, 0), get(_next, 1)) AS DOUBLE)"
+    return _per_expression(
+        schedules, cron, lambda p: p.selectExpr("_cron", f"{upcoming} AS _next").selectExpr("_cron", f"{seconds} AS {out}")
+    )
 
 
 def last_fire(schedules: DataFrame, as_of: Instant, cron: str = "cron", out: str = "last_fire") -> DataFrame:
     """Add the latest fire at or before ``as_of``."""
-    now = instant(as_of)
-
-    def latest(parsed: DataFrame) -> DataFrame:
-        past = F.filter(_fires(_closest_days(now.cast("date"), -1)), lambda t: t <= now)
-        return parsed.withColumn(out, F.array_max(past))
-
-    return _per_expression(schedules, cron, latest)
+    now = _literal(as_of)
+    past = f"array_max(filter({_fires(_closest_days(f'to_date({now})', -1))}, t -> t <= {now}))"
+    return _per_expression(schedules, cron, lambda p: p.selectExpr("_cron", f"{past} AS {out}"))
 
 
 def fire_gaps(fires: DataFrame, id_col: str = "id", out: str = "gap_s") -> DataFrame:
