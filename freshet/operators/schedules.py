@@ -57,7 +57,7 @@ def _per_expression(schedules: DataFrame, cron: str, add: Callable[[DataFrame],
         f"CASE WHEN _ok THEN {C.minutes_of_day('hour', 'minute')} END AS _minutes",
     )
     results = add(parsed).drop("_days_of", "_minutes")
-    return schedules.join(results, schedules[cron] == results["_cron"]).drop("_cron")
+    return schedules.join(results, schedules[cron].eqNullSafe(results["_cron"])).drop("_cron")
 
 
 def _matching_days(first: str, last: str, step: int = 1) -> str:
