@@ -13,7 +13,8 @@ from freshet.operators.ordered import null_safe_join
 
 def active(df: DataFrame, only: str | int | None = None, id_col: str = "id", enabled: str = "enabled") -> DataFrame:
     """Enabled rows, optionally of one id. A null flag counts as enabled."""
-    kept = df.where(F.coalesce(enabled, F.lit(True)))
+    # spelled out, so that it reaches the scan
+    kept = df.where(F.col(enabled) | F.col(enabled).isNull())
     return kept if only is None else kept.where(F.col(id_col) == only)
 
 
