@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import inputs as I
 from catalog.registry import query
-from freshet.operators.islands import carry_label, island_summary, islands
+from freshet.operators.islands import carry_label, island_summary, islands, segments
 from freshet.operators.ordered import row_numbers
 
 USER, ORDER = ["user_id"], ["ts", "event_id"]
@@ -56,9 +56,8 @@ SELECT g.user_id, island_id, coalesce(label, -1) AS label, n_members, first_memb
   last_flag AND NOT (final = 1 AND n_members = 1 AND label IS NULL) AS last_flag, island_id = final AS is_last FROM g JOIN f ON g.user_id = f.user_id""")
 def event_segments(spark, sf):
     """The islands of carried labels, summarised."""
-    carried = carry_label(labelled(spark, sf), USER, ORDER, "label", "stop")
-    numbered = islands(carried, USER, ORDER, "eff_label")
-    summary = island_summary(numbered, USER, ORDER, "eff_label", "event_id", "stop")
+    found = segments(labelled(spark, sf), USER, ORDER, "label", "stop")
+    summary = island_summary(found, USER, ORDER, "eff_label", "event_id", "stop")
     return summary.withColumn("label", F.coalesce("label", F.lit(-1)))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from freshet.operators.ordered import ROWS_PER_BLOCK, null_safe_join, split
+from freshet.operators.ordered import ROWS_PER_BLOCK, Blocked, split
 
 
 def carry_label(
@@ -23,6 +23,10 @@ def carry_label(
     next label if there is one and stay null otherwise; a stop met while nothing is carried has no effect.
     """
     b = split(df, part, order, rows_per_block)
+    return b.plain(_carry(b, label, stop, out))
+
+
+def _carry(b: Blocked, label: str, stop: str | None, out: str) -> DataFrame:
     has_label = F.col(label).isNotNull()
     stops = F.coalesce(F.col(stop), F.lit(False)) & ~has_label if stop else F.lit(False)
     running, strictly_before = b.window(), b.window().rowsBetween(Window.unboundedPreceding, -1)
@@ -47,10 +51,10 @@ def carry_label(
         helpers += ["_in_label", "_out_label", "_in_stopped"]
 
     effective = F.when(previous.isNotNull() & stopped, following).otherwise(F.coalesce(previous, following))
-    return b.drop_helpers(rows.withColumn(out, effective), *helpers)
+    return rows.withColumn(out, effective).drop(*helpers)
 
 
-def _carry_across(b, label: str, has_label: Column, stops: Column) -> DataFrame:
+def _carry_across(b: Blocked, label: str, has_label: Column, stops: Column) -> DataFrame:
     """Per block: the label carried into it, the first label after it, and whether that carrying was stopped."""
     at = F.struct(*b.order)
     last_label, last_stop = F.max(F.when(has_label, at)), F.max(F.when(stops, at))
@@ -81,33 +85,56 @@ def islands(
     order: list[str],
     label: str,
     out: str = "island_id",
+    total: str | None = None,
     rows_per_block: int | None = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """Number the maximal runs of equal labels from 1; null equals null.
 
-    Two rows that declare equal-looking labels are two islands only if the label tells them apart:
-    pass the declaring row's key as the label.
+    ``total`` names a column for the number of islands of the key. Two rows that declare equal-looking
+    labels are two islands only if the label tells them apart: pass the declaring row's key as the label.
     """
     b = split(df, part, order, rows_per_block)
+    return b.plain(_number(b, label, out, total))
+
+
+def _number(b: Blocked, label: str, out: str, total: str | None) -> DataFrame:
     running = b.window()
-    previous = F.lag(F.struct(label)).over(running.rowsBetween(-1, -1))
-    rows = b.df.withColumn("_before", previous)
+    rows = b.df.withColumn("_before", F.lag(F.struct(label)).over(running.rowsBetween(-1, -1)))
     if b.is_split:
-        ends = b.summary(F.max_by(F.struct(label), F.struct(*order)).alias("_end"))
+        ends = b.summary(F.max_by(F.struct(label), F.struct(*b.order)).alias("_end"))
         ends = ends.withColumn("_end", F.last("_end").over(b.before().rowsBetween(-1, -1)))
         rows = b.attach(rows, ends).withColumn("_before", F.coalesce("_before", "_end")).drop("_end")
     starts = F.col("_before").isNull() | ~F.col(f"_before.{label}").eqNullSafe(F.col(label))
     rows = rows.withColumn("_starts", starts.cast("long"))
     numbered = rows.withColumn(out, F.sum("_starts").over(running))
+    if total:
+        numbered = numbered.withColumn(total, F.sum("_starts").over(Window.partitionBy(*b.keys)))
     if b.is_split:
-        earlier = (
-            rows.where("_hot")
-            .groupBy(*b.keys)
-            .agg(F.sum("_starts").alias("_n"))
-            .withColumn("_n", F.sum("_n").over(b.before()))
-        )
-        numbered = b.attach(numbered, earlier).withColumn(out, F.col(out) + F.coalesce("_n", F.lit(0))).drop("_n")
-    return b.drop_helpers(numbered, "_before", "_starts")
+        found = b.on(rows).summary(F.sum("_starts").alias("_n"))
+        whole = Window.partitionBy(*b.part)
+        earlier = found.select(*b.keys, F.sum("_n").over(b.before()).alias("_earlier"), F.sum("_n").over(whole).alias("_all"))
+        numbered = b.attach(numbered, earlier).withColumn(out, F.col(out) + F.coalesce("_earlier", F.lit(0)))
+        if total:
+            numbered = numbered.withColumn(total, F.coalesce("_all", total))
+        numbered = numbered.drop("_earlier", "_all")
+    return numbered.drop("_before", "_starts")
+
+
+def segments(
+    df: DataFrame,
+    part: list[str],
+    order: list[str],
+    label: str,
+    stop: str | None = None,
+    rows_per_block: int | None = ROWS_PER_BLOCK,
+) -> DataFrame:
+    """Carry labels and number the islands they form in one go: ``eff_label, island_id, n_islands``.
+
+    Both steps share the shuffle and, where keys are hot, the blocks.
+    """
+    b = split(df, part, order, rows_per_block)
+    carried = b.on(_carry(b, label, stop, "eff_label"))
+    return b.plain(_number(carried, "eff_label", "island_id", "n_islands"))
 
 
 def island_summary(
@@ -118,10 +145,13 @@ def island_summary(
     member: str,
     flag: str | None = None,
     island: str = "island_id",
+    total: str = "n_islands",
     with_members: bool = False,
 ) -> DataFrame:
     """One row per island: label, size, first and last member, ``last_flag`` and ``is_last``.
 
+    ``df`` carries the island and the key's number of islands, as :func:`segments` gives them.
+
     ``last_flag`` is the flag of the island's last row. A key with a single, label-less row has nothing
     to close, so its flag is false. ``with_members`` adds the ordered member list: an island's rows then meet
     in one array, so ask for it only where islands are short; the rows of :func:`islands` are the same in long form.
@@ -138,11 +168,11 @@ def island_summary(
     if with_members:
         pairs = F.array_sort(F.collect_list(F.struct(at.alias("at"), F.col(member).alias("m"))))
         aggregates.append(F.transform(pairs, lambda p: p["m"]).alias("members"))
-    found = df.groupBy(*part, island).agg(*aggregates)
-    final = df.groupBy(*part).agg(F.max(island).alias("_final"))
+    aggregates.append(F.first(total).alias("_final"))
     alone = (F.col("_final") == 1) & (F.col("n_members") == 1) & F.col("label").isNull()
     return (
-        null_safe_join(found, final, part)
+        df.groupBy(*part, island)
+        .agg(*aggregates)
         .withColumn("last_flag", F.col("last_flag") & ~alone)
         .withColumn("is_last", F.col(island) == F.col("_final"))
         .drop("_final")

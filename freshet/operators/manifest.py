@@ -33,8 +33,9 @@ def with_file_names(manifest: DataFrame, ext: str = ".parquet") -> DataFrame:
 
 def latest_batch(manifest: DataFrame, as_of: Column | None = None) -> DataFrame:
     """Newest dated batch per feed: ``feed, batch_date, file_name``, and ``age_days`` when ``as_of`` is given."""
+    dated = F.when(F.col("batch_date").isNotNull(), F.struct("batch_date", "file_name"))
     newest = manifest.groupBy("feed").agg(
-        F.max("batch_date").alias("batch_date"), F.max_by("file_name", "batch_date").alias("file_name")
+        F.max("batch_date").alias("batch_date"), F.max_by("file_name", dated).alias("file_name")
     )
     if as_of is None:
         return newest

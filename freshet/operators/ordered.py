@@ -15,7 +15,7 @@ The cut points are written to a small table in the shared folder, so every use s
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -70,8 +70,12 @@ class Blocked:
         """Put block summaries next to their rows; cold rows get nulls."""
         return null_safe_join(rows, summary, self.keys)
 
-    def drop_helpers(self, rows: DataFrame, *helpers: str) -> DataFrame:
-        return rows.drop(*helpers, BLOCK, _HOT)
+    def on(self, rows: DataFrame) -> Blocked:
+        """The same blocks over rows that went through further steps."""
+        return replace(self, df=rows)
+
+    def plain(self, rows: DataFrame) -> DataFrame:
+        return rows.drop(BLOCK, _HOT)
 
 
 def split(df: DataFrame, part: list[str], order: list[str], rows_per_block: int | None = ROWS_PER_BLOCK) -> Blocked:
@@ -136,8 +140,7 @@ def row_numbers(
     """1-based position of each row within its key."""
     b = split(df, part, order, rows_per_block)
     rows = b.df.withColumn(out, F.row_number().over(b.window()).cast("long"))
-    if not b.is_split:
-        return rows
-    earlier = b.summary(F.count("*").alias("_n")).withColumn("_n", F.sum("_n").over(b.before()))
-    rows = b.attach(rows, earlier).withColumn(out, F.col(out) + F.coalesce("_n", F.lit(0)))
-    return b.drop_helpers(rows, "_n")
+    if b.is_split:
+        earlier = b.summary(F.count("*").alias("_n")).withColumn("_n", F.sum("_n").over(b.before()))
+        rows = b.attach(rows, earlier).withColumn(out, F.col(out) + F.coalesce("_n", F.lit(0))).drop("_n")
+    return b.plain(rows)

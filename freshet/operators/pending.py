@@ -69,25 +69,22 @@ def pending_counts(edges: DataFrame, cursors: DataFrame, manifest: DataFrame) ->
     feed; edges that share a date are one row of it.
     """
     known = edges_with_cursors(edges, cursors)
+    # null stands for "everything": never run, or a cursor without a date
+    since = F.when(has_run("last_file"), F.col("last_date"))
+    marks = known.select("feed", since.alias("batch_date")).distinct().withColumn("_n", F.lit(0).cast("long"))
     per_date = manifest.groupBy("feed", "batch_date").agg(F.count("*").alias("_n"))
-    marks = known.where(F.col("last_date").isNotNull()).select("feed", F.col("last_date").alias("batch_date")).distinct()
-    # counted per date once more, so that each (feed, date) is one row of the timeline
-    timeline = (
-        per_date.unionByName(marks.withColumn("_n", F.lit(0).cast("long")))
-        .groupBy("feed", "batch_date")
-        .agg(F.sum("_n").alias("_n"))
-    )
+    timeline = per_date.unionByName(marks).groupBy("feed", "batch_date").agg(F.sum("_n").alias("_n"))
+    # undated batches come last: after no date, but part of everything
     later = Window.partitionBy("feed").orderBy(F.desc_nulls_last("batch_date")).rowsBetween(Window.unboundedPreceding, -1)
-    # the undated batches sort last here, so they never count as "after" a date
-    counted = timeline.withColumn("_after", F.coalesce(F.sum("_n").over(later), F.lit(0)))
-    totals = per_date.groupBy("feed").agg(F.sum("_n").alias("_all"))
-    dated = has_run(F.col("last_file")) & F.col("last_date").isNotNull()
-    after = counted.where(F.col("batch_date").isNotNull()).select("feed", F.col("batch_date").alias("_date"), "_after")
-    return (
-        known.join(totals, "feed", "left")
-        .join(after.withColumnRenamed("feed", "_feed"), (F.col("feed") == F.col("_feed")) & (F.col("last_date") == F.col("_date")), "left")
-        .withColumn("pending_count", F.coalesce(F.when(dated, F.col("_after")).otherwise(F.col("_all")), F.lit(0)))
-        .select(*EDGE, "last_file", "last_date", "last_at", "pending_count")
+    after = F.coalesce(F.sum("_n").over(later), F.lit(0))
+    counts = timeline.select(
+        F.col("feed").alias("_feed"),
+        F.col("batch_date").alias("_since"),
+        (after + F.when(F.col("batch_date").isNull(), F.col("_n")).otherwise(0)).alias("pending_count"),
+    )
+    # every edge finds its row, as its date is one of the marks
+    return known.join(counts, (F.col("feed") == F.col("_feed")) & since.eqNullSafe(F.col("_since"))).select(
+        *EDGE, "last_file", "last_date", "last_at", "pending_count"
     )
 
 

@@ -106,9 +106,10 @@ def read_pending(
     # the comparison is true for every date; it drops undated batches and marks this side as
     # selective, without which no run-time pruning is planned
     dated = pending.where(F.col("batch_date") >= F.lit("0001-01-01").cast("date"))
-    wanted = dated.select(F.col("feed").alias(feed), F.col("batch_date").alias(date))
+    # once per batch, however many consumers wait for it
+    wanted = dated.select(F.col("feed").alias(feed), F.col("batch_date").alias(date)).distinct()
     found = rows.join(wanted, [feed, date], "left_semi")
     if not undated:
         return found
-    loose = pending.where(F.col("batch_date").isNull()).select(F.col("feed").alias(feed))
+    loose = pending.where(F.col("batch_date").isNull()).select(F.col("feed").alias(feed)).distinct()
     return found.unionByName(rows.where(F.col(date).isNull()).join(loose, feed, "left_semi"))

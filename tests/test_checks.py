@@ -97,8 +97,8 @@ def test_groups(spark, steps):
     assert [(r.g, r.n, r.members) for r in C.singleton_violations(steps, ["g"], "exclusive", "member").collect()] == [("q", 3, ["x", "y", "z"])]
     ordered = C.by_position(steps.where("g <> 'q'"), ["g"], "position").collect()
     assert [r.member for r in ordered] == ["a", "b", "c", "only"]
-    with pytest.raises(Exception, match="duplicate position: 1"):
-        C.by_position(steps, ["g"], "position").collect()
+    with pytest.raises(ValueError, match="duplicate position: {'g': 'q', 'position': 1"):
+        C.by_position(steps, ["g"], "position")
     first = {r.g: r.member for r in C.first_in_group(steps, ["g"], ["position", "member"], ["member"]).collect()}
     assert first == {"p": "a", "q": "x", "r": "only"}
 

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from freshet.operators import ordered
-from freshet.operators.islands import carry_label, island_summary, islands
+from freshet.operators.islands import carry_label, island_summary, islands, segments
 from freshet.operators.ordered import row_numbers
 
 HOT = 2  # rows per block: small enough to cut every longer key into many blocks
@@ -104,14 +104,27 @@ def test_islands_and_row_numbers_match_a_loop(spark, rows_per_block):
         assert [rn[(key, r[2])] for r in seq] == list(range(1, len(seq) + 1))
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_segments_are_the_same_hot_and_cold(spark, seed):
+    rows = sequences(seed, 6, 40)
+    cold, hot = ([tuple(r) for r in segments(frame(spark, rows), ["k"], ["a", "b"], "label", "stop", n).orderBy("k", "b").collect()] for n in (None, HOT))
+    assert cold == hot
+    carried = {(r[0], r[2]): r[5] for r in cold}
+    totals = {(r[0], r[2]): (r[6], r[7]) for r in cold}
+    for key, seq in by_key(rows).items():
+        want, island = [], 0
+        for i, r in enumerate(seq):
+            island += i == 0 or carried[(key, r[2])] != carried[(key, seq[i - 1][2])]
+            want.append(island)
+        assert [totals[(key, r[2])] for r in seq] == [(w, island) for w in want]
+
+
 def summarise(spark, steps):
     rows = [("p", 0, i, name if cloud else None, stop) for i, (name, cloud, stop) in enumerate(steps)]
     names = spark.createDataFrame([("p", i, name) for i, (name, _, _) in enumerate(steps)], "k string, b int, member string")
     df = spark.createDataFrame(rows, "k string, a int, b int, label string, stop boolean").join(names, ["k", "b"])
-    carried = carry_label(df, ["k"], ["b"], "label", "stop")
-    summary = island_summary(
-        islands(carried, ["k"], ["b"], "eff_label"), ["k"], ["b"], "eff_label", "member", "stop", with_members=True
-    )
+    found = segments(df, ["k"], ["b"], "label", "stop")
+    summary = island_summary(found, ["k"], ["b"], "eff_label", "member", "stop", with_members=True)
     return [(r.label, r.members, r.last_flag, r.is_last) for r in summary.orderBy("island_id").collect()]
 
 
