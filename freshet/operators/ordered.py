@@ -25,9 +25,10 @@ from freshet.session import scratch_dir
 
 ROWS_PER_BLOCK = 1 << 22
 MIN_CUTS = 4
-MAX_CUTS = 4096
-# total cut points up to which the table is small enough to broadcast (a few MB)
-BROADCAST_CUTS = 100_000
+MAX_CUTS = 4095
+SEARCH_STEPS = [2048, 1024, 512, 256, 128, 64, 32, 16, 8, 4, 2, 1]
+# number of blocks up to which cut points and block summaries are broadcast (a few MB each)
+BROADCAST_BLOCKS = 100_000
 
 BLOCK = "_block"
 _HOT = "_hot"
@@ -35,12 +36,16 @@ _HOT = "_hot"
 
 @dataclass(frozen=True)
 class Blocked:
-    """Rows with their block. Without hot keys there is no block column and ``is_split`` is false."""
+    """Rows with their block. Without hot keys there is no block column and ``is_split`` is false.
+
+    ``is_small`` says that all blocks of the hot keys together are few enough to broadcast.
+    """
 
     df: DataFrame
     part: list[str]
     order: list[str]
-    is_split: bool
+    is_split: bool = False
+    is_small: bool = False
 
     @property
     def keys(self) -> list[str]:
@@ -68,7 +73,7 @@ class Blocked:
 
     def attach(self, rows: DataFrame, summary: DataFrame) -> DataFrame:
         """Put block summaries next to their rows; cold rows get nulls."""
-        return null_safe_join(rows, summary, self.keys)
+        return null_safe_join(rows, F.broadcast(summary) if self.is_small else summary, self.keys)
 
     def on(self, rows: DataFrame) -> Blocked:
         """The same blocks over rows that went through further steps."""
@@ -83,7 +88,7 @@ def split(df: DataFrame, part: list[str], order: list[str], rows_per_block: int
 
     Looking for hot keys is one job over the key columns alone.
     """
-    whole = Blocked(df, part, order, False)
+    whole = Blocked(df, part, order)
     if rows_per_block is None:
         return whole
     cuts = _cut_points(df, part, order, rows_per_block)
@@ -93,21 +98,19 @@ def split(df: DataFrame, part: list[str], order: list[str], rows_per_block: int
     path = scratch_dir(spark, "cuts")
     cuts.write.parquet(path)
     stored = spark.read.parquet(path)
-    total = stored.agg(F.sum(F.size("_cuts"))).first()[0]
-    # beyond the bound Spark joins on the key and AQE splits the hot side
-    side = F.broadcast(stored) if total <= BROADCAST_CUTS else stored
-    position = F.struct(*order)
-    # two short scans instead of one long one: first among every _step-th cut, then between two of these
-    rough = F.size(F.filter("_marks", lambda m: m <= position))
-    fine = F.size(F.filter(F.slice("_cuts", (rough - 1) * F.col("_step") + 1, F.col("_step")), lambda c: c <= position))
-    block = F.when(F.col("_cuts").isNull() | (rough == 0), 0).otherwise((rough - 1) * F.col("_step") + fine)
-    blocked = (
-        null_safe_join(df, side, part)
-        .withColumn(BLOCK, block.cast("int"))
-        .withColumn(_HOT, F.col("_cuts").isNotNull())
-        .drop("_cuts", "_marks", "_step")
-    )
-    return Blocked(blocked, part, order, True)
+    # a key with n cuts has n + 1 blocks, so this bounds the cut table and every block summary.
+    # Beyond it Spark joins on the key and AQE splits the hot side
+    small = stored.agg(F.sum(F.size("_cuts") + 1)).first()[0] <= BROADCAST_BLOCKS
+    side = F.broadcast(stored) if small else stored
+    # a row's block is the number of cut points at or before it: a binary search, one column per
+    # halving so that every step compiles to a single comparison
+    blocked = null_safe_join(df, side, part).withColumns({_HOT: F.col("_cuts").isNotNull(), "_at": F.struct(*order), BLOCK: F.lit(0)})
+    for step in SEARCH_STEPS:
+        blocked = blocked.withColumn(
+            BLOCK, F.expr(f"{BLOCK} + CASE WHEN get(_cuts, {BLOCK} + {step - 1}) <= _at THEN {step} ELSE 0 END")
+        )
+    blocked = blocked.drop("_cuts", "_at")
+    return Blocked(blocked, part, order, True, small)
 
 
 def _cut_points(df: DataFrame, part: list[str], order: list[str], rows_per_block: int) -> DataFrame:
@@ -119,12 +122,7 @@ def _cut_points(df: DataFrame, part: list[str], order: list[str], rows_per_block
         .where(F.size("_cuts") >= MIN_CUTS)
     )
     thinning = F.ceil(F.size("_cuts") / MAX_CUTS).cast("int")
-    step = F.ceil(F.sqrt(F.size("_cuts"))).cast("int")
-    return (
-        per_key.withColumn("_cuts", F.filter("_cuts", lambda _, i: i % thinning == 0))
-        .withColumn("_step", step)
-        .withColumn("_marks", F.filter("_cuts", lambda _, i: i % F.col("_step") == 0))
-    )
+    return per_key.withColumn("_cuts", F.filter("_cuts", lambda _, i: i % thinning == 0))
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:

@@ -78,7 +78,7 @@ def test_cut_points_are_thinned(spark, monkeypatch):
 
 @pytest.mark.parametrize("limit", [0, 10**6])
 def test_hot_keys_are_really_cut(spark, monkeypatch, limit):
-    monkeypatch.setattr(ordered, "BROADCAST_CUTS", limit)
+    monkeypatch.setattr(ordered, "BROADCAST_BLOCKS", limit)
     rows = [(1, 0, i, None, False) for i in range(400)] + [(2, 0, 0, None, False)]
     b = ordered.split(frame(spark, rows), ["k"], ["a", "b"], rows_per_block=10)
     assert b.is_split
@@ -104,8 +104,9 @@ def test_islands_and_row_numbers_match_a_loop(spark, rows_per_block):
         assert [rn[(key, r[2])] for r in seq] == list(range(1, len(seq) + 1))
 
 
-@pytest.mark.parametrize("seed", [4, 5])
-def test_segments_are_the_same_hot_and_cold(spark, seed):
+@pytest.mark.parametrize("seed, broadcast", [(4, 0), (5, 10**6)])
+def test_segments_are_the_same_hot_and_cold(spark, monkeypatch, seed, broadcast):
+    monkeypatch.setattr(ordered, "BROADCAST_BLOCKS", broadcast)
     rows = sequences(seed, 6, 40)
     cold, hot = ([tuple(r) for r in segments(frame(spark, rows), ["k"], ["a", "b"], "label", "stop", n).orderBy("k", "b").collect()] for n in (None, HOT))
     assert cold == hot
