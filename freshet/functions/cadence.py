@@ -37,5 +37,11 @@ def status(blocked: Column, n_pending: Column) -> Column:
     return F.when(blocked, BLOCKED).when(n_pending == 0, IDLE).otherwise(PENDING)
 
 
+def wall_seconds(c: Column) -> Column:
+    """Seconds since 1970-01-01 00:00 of a date or zone-free time; no session zone gets in between."""
+    t = c.cast("timestamp_ntz")
+    return F.unix_date(t.cast("date")).cast("long") * 86400 + F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t)
+
+
 def hours(seconds: Column) -> Column:
     return F.round(seconds / 3600, 2)

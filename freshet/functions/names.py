@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
 # Fixed values of the naming convention: data written by other producers relies on them.
 DATE_PATTERN = "([0-9]{4}-[0-9]{2}-[0-9]{2})"
@@ -26,6 +27,14 @@ def dated_name(base: Column | str, as_of: Column | None, ext: Column | str) -> C
     return F.concat(_lit(base), F.lit("_"), F.date_format(day, DATE_FORMAT), _lit(ext))
 
 
+def in_utc(df: DataFrame, ts: Column | str) -> Column:
+    """A time of ``df`` as UTC wall clock, whatever the session's zone; zone-free times are UTC already."""
+    ts = _col(ts)
+    if isinstance(df.select(ts).schema[0].dataType, TimestampType):
+        return F.to_utc_timestamp(ts, F.current_timezone())
+    return ts
+
+
 def has_run(last_file: Column | str) -> Column:
     """True once a consumer has consumed at least one batch."""
     return F.coalesce(_col(last_file), F.lit("")) != ""

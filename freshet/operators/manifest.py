@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freshet.functions.names import DATE_FORMAT
-
-SECONDS_PER_DAY = 86400
+from freshet.functions.cadence import wall_seconds
+from freshet.functions.names import DATE_FORMAT, in_utc
 
 
 def manifest_from_rows(df: DataFrame, feed: Column | str, ts: Column | str, grain: str = "day") -> DataFrame:
     """One row per (feed, batch) found in the data: ``feed, batch_date, n_rows, min_ts, max_ts``.
 
     ``grain="day"`` dates batches by UTC day; ``"hour"`` keeps hourly batches apart and makes ``batch_date`` a
-    timestamp. Counts and extremes combine before the shuffle, so a hot feed sends one row per task and batch.
+    zone-free time. Counts and extremes combine before the shuffle, so a hot feed sends one row per task and batch.
     """
     feed, ts = (F.col(c) if isinstance(c, str) else c for c in (feed, ts))
     if grain not in ("day", "hour"):
         raise ValueError(f"grain must be 'day' or 'hour', got {grain!r}")
-    dated = ts.cast("date") if grain == "day" else F.date_trunc("hour", ts)
+    utc = in_utc(df, ts)
+    dated = utc.cast("date") if grain == "day" else F.date_trunc("hour", utc).cast("timestamp_ntz")
     return df.groupBy(feed.alias("feed"), dated.alias("batch_date")).agg(
         F.count("*").alias("n_rows"), F.min(ts).alias("min_ts"), F.max(ts).alias("max_ts")
     )
@@ -47,7 +47,7 @@ def observed_cadence(manifest: DataFrame) -> DataFrame:
 
     The gaps add up to last minus first, so two extremes and a count replace a window over each feed.
     """
-    seconds = F.unix_seconds(F.col("batch_date").cast("timestamp"))
+    seconds = wall_seconds(F.col("batch_date"))
     batches = manifest.where(F.col("batch_date").isNotNull()).groupBy("feed", "batch_date").agg(F.lit(1).alias("one"))
     span = F.max(seconds) - F.min(seconds)
     return batches.groupBy("feed").agg(

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from freshet.functions import cron as C
+from freshet.functions.cadence import wall_seconds
 
 # Rare schedules need long horizons: 29 February can be 8 years away and two fires are needed.
 NEAR_DAYS, FAR_DAYS = 800, 366 * 17
@@ -103,9 +104,9 @@ def schedule_cadence(schedules: DataFrame, as_of: Instant, cron: str = "cron", o
     """Add the seconds between the first two fires after ``as_of``; null if the calendar has no two."""
     now = _literal(as_of)
     upcoming = f"slice(filter({_fires(_closest_days(f'to_date({now})', 1))}, t -> t > {now}), 1, 2)"
-    seconds = "CAST(timestampdiff(SECOND, get(_next, 0), get(_next, 1)) AS DOUBLE)"
+    gap = wall_seconds(F.expr("get(_next, 1)")) - wall_seconds(F.expr("get(_next, 0)"))
     return _per_expression(
-        schedules, cron, lambda p: p.selectExpr("_cron", f"{upcoming} AS _next").selectExpr("_cron", f"{seconds} AS {out}")
+        schedules, cron, lambda p: p.selectExpr("_cron", f"{upcoming} AS _next").select("_cron", gap.cast("double").alias(out))
     )
 
 
@@ -122,7 +123,7 @@ def fire_gaps(fires: DataFrame, id_col: str = "id", out: str = "gap_s") -> DataF
     A window per id is safe: one id has at most one fire per minute of the expanded interval.
     """
     following = F.lead("fire_ts").over(Window.partitionBy(id_col).orderBy("fire_ts"))
-    return fires.withColumn(out, F.timestamp_diff("SECOND", F.col("fire_ts"), following))
+    return fires.withColumn(out, wall_seconds(following) - wall_seconds(F.col("fire_ts")))
 
 
 def missed_fires(latest: DataFrame, schedules: DataFrame, as_of: Instant, feed: str = "feed") -> DataFrame:

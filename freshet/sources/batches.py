@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.functions.names import FORMATS, batch_date
+from freshet.functions.names import FORMATS, batch_date, in_utc
 
 MANIFEST = "feed string, batch_date date, file_name string, n_files long, n_bytes long"
 
@@ -85,7 +85,7 @@ def write_dated_by(
     """
     partitions = [*(by or []), "batch_date"]
     (
-        df.withColumn("batch_date", F.to_date(ts))
+        df.withColumn("batch_date", in_utc(df, ts).cast("date"))
         .hint("rebalance", *partitions)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

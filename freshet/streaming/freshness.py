@@ -6,14 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+UTC_ZONES = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
+
 
 def stream_freshness(events: DataFrame, feed: str, ts: str, lateness: str = "0 seconds") -> DataFrame:
     """Streaming manifest ``feed, batch_date, n_rows, min_ts, max_ts``, updated as rows arrive.
 
     ``lateness`` is the watermark: rows that come later than that after the newest seen are ignored once
     their day is closed, the way a batch dated before the cursor never becomes pending. State holds the
-    open days only. Zone-free times are taken as UTC, since a watermark needs an instant.
+    open days only. A watermark needs an instant, so the session has to be in UTC.
     """
+    zone = events.sparkSession.conf.get("spark.sql.session.timeZone")
+    if zone not in UTC_ZONES:
+        raise ValueError(f"batch days are UTC days: set spark.sql.session.timeZone to UTC, not {zone}")
     events = events.withColumn(ts, F.col(ts).cast("timestamp"))
     day = F.window(ts, "1 day").alias("_day")
     return (

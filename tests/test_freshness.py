@@ -162,3 +162,27 @@ def test_manifest(spark):
     assert {r.feed: (r.avg_gap_s, r.n) for r in observed_cadence(m).collect()} == {"a": (4 * 86400.0, 2), "b": (None, 1)}
     with pytest.raises(ValueError):
         manifest_from_rows(df, "f", "t", "week")
+
+
+def test_batches_are_utc_days_in_any_session_zone(spark):
+    rows = [("a", "2024-03-30 23:30:00"), ("a", "2024-03-31 00:30:00"), ("a", "2024-04-01 00:30:00")]
+    text = spark.createDataFrame(rows, "f string, t string")
+    free = text.withColumn("t", F.col("t").cast("timestamp_ntz"))
+    zoned = text.withColumn("t", F.to_timestamp(F.concat("t", F.lit("+00:00"))))
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Paris")
+    try:
+        for df in (free, zoned):
+            m = manifest_from_rows(df, "f", "t")
+            assert sorted(str(r.batch_date) for r in m.collect()) == ["2024-03-30", "2024-03-31", "2024-04-01"]
+            assert observed_cadence(m).first().avg_gap_s == 86400.0
+            hours = manifest_from_rows(df, "f", "t", "hour").collect()
+            assert min(r.batch_date for r in hours) == dt.datetime(2024, 3, 30, 23)
+            # clocks go forward in between; the average gap must not notice
+            assert observed_cadence(manifest_from_rows(df, "f", "t", "hour")).first().avg_gap_s == (24 + 1) / 2 * 3600.0
+        # across the change of clocks in this zone
+        crons = spark.createDataFrame([("30 0 * * *",)], "cron string")
+        from freshet.operators.schedules import schedule_cadence
+
+        assert schedule_cadence(crons, "2024-03-30 12:00:00").first().interval_s == 86400.0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
