@@ -177,7 +177,7 @@ def layout_violations(spark, sf):
 # --- step results -----------------------------------------------------------------------------
 
 
-def line_results(spark, sf):
+def line_results(spark, sf, *extra):
     """Lines as step results: the order is the run, the quantity the duration."""
     ok = F.col("l_discount") < 0.05
     return table(spark, sf, "lineitem").select(
@@ -186,6 +186,7 @@ def line_results(spark, sf):
         ok.alias("success"),
         F.when(ok, "").otherwise(F.concat(F.lit("part "), F.col("l_partkey").cast("string"))).alias("error"),
         F.col("l_quantity").alias("duration_s"),
+        *extra,
     )
 
 
@@ -202,12 +203,16 @@ def run_summary(spark, sf):
     return _rounded(Y.run_summary(line_results(spark, sf)))
 
 
-@query(f"""SELECT l_orderkey AS run, {_TOTALS}, coalesce(string_agg(l_returnflag || l_linestatus || ': part ' || l_partkey, '; '
-  ORDER BY l_returnflag || l_linestatus, 'part ' || l_partkey) FILTER (WHERE l_discount >= 0.05), '') AS failures FROM lineitem GROUP BY l_orderkey""")
+@query(f"""WITH f AS (SELECT l_orderkey, l_returnflag || l_linestatus AS module, CASE WHEN l_discount > 0.08 THEN 'large' ELSE 'small' END AS error, count(*) AS n
+  FROM lineitem WHERE l_discount >= 0.05 GROUP BY ALL),
+g AS (SELECT l_orderkey, string_agg(module || ': ' || error || ' x' || n, '; ' ORDER BY module, error) AS failures FROM f GROUP BY l_orderkey)
+SELECT s.*, coalesce(failures, '') AS failures FROM (SELECT l_orderkey AS run, {_TOTALS} FROM lineitem GROUP BY l_orderkey) s LEFT JOIN g ON run = l_orderkey""")
 def run_summary_failures(spark, sf):
-    """Summaries with each run's failures listed; a run has a handful of declared steps."""
-    summary = _rounded(Y.run_summary(line_results(spark, sf), with_failures=True))
-    text = F.transform("failures", lambda f: F.concat(f["module"], F.lit(": "), f["error"]))
+    """Summaries with each run's distinct failures listed and counted."""
+    kind = F.when(F.col("success"), "").when(F.col("l_discount") > 0.08, "large").otherwise("small")
+    results = line_results(spark, sf, "l_discount").withColumn("error", kind)
+    summary = _rounded(Y.run_summary(results, with_failures=True))
+    text = F.transform("failures", lambda f: F.concat(f["module"], F.lit(": "), f["error"], F.lit(" x"), f["n"].cast("string")))
     return summary.withColumn("failures", F.array_join(text, "; "))
 
 

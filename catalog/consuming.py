@@ -13,6 +13,7 @@ from freshet.operators import manifest as M
 from freshet.operators import pending as P
 from freshet.operators.chunks import process_chunks
 from freshet.plans import freshness as R
+from freshet.session import settled
 from freshet.sources.batches import read_pending
 
 
@@ -221,6 +222,8 @@ def chunk_totals(spark, sf):
         )
 
     chunked = P.assign_chunks(I.manifest_li(spark, sf), 10, keys=["feed"]).select("feed", "batch_date", "chunk_id")
+    # a stored list of batches has a known size, so the lines need not be shuffled to meet it
+    chunked = settled(chunked, "chunks")
     rows = I.lines(spark, sf).select("feed", "batch_date", "l_quantity", "l_extendedprice").join(chunked, ["feed", "batch_date"])
     schema = "n_rows long, qty double, top_price double"
     merge = {"n_rows": "sum", "qty": "sum", "top_price": "max"}

@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from freshet.session import scratch_dir
+from freshet.session import settled
 
 ROWS_PER_BLOCK = 1 << 22
 MIN_CUTS = 4
@@ -94,10 +94,7 @@ def split(df: DataFrame, part: list[str], order: list[str], rows_per_block: int
     cuts = _cut_points(df, part, order, rows_per_block)
     if cuts.isEmpty():
         return whole
-    spark = df.sparkSession
-    path = scratch_dir(spark, "cuts")
-    cuts.write.parquet(path)
-    stored = spark.read.parquet(path)
+    stored = settled(cuts, "cuts")
     # a key with n cuts has n + 1 blocks, so this bounds the cut table and every block summary.
     # Beyond it Spark joins on the key and AQE splits the hot side
     small = stored.agg(F.sum(F.size("_cuts") + 1)).first()[0] <= BROADCAST_BLOCKS

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.session import scratch_dir
+from freshet.session import settled
 
 Step = tuple[int, str, Callable[[DataFrame], DataFrame]]
 RESULT = "module string, success boolean, output string, error string, duration_s double, instance_id string"
@@ -38,9 +38,7 @@ def step_results(spark: SparkSession, results: list[tuple]) -> DataFrame:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a step's output to the shared folder and continue from there."""
-    path = scratch_dir(df.sparkSession, f"step-{name}")
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return settled(df, f"step-{name}")
 
 
 def apply_steps(

@@ -18,14 +18,21 @@ def _totals() -> list[Column]:
 def run_summary(results: DataFrame, run: str = "run", with_failures: bool = False) -> DataFrame:
     """Per run: steps, ok, failed and total duration.
 
-    ``with_failures`` adds the failed modules with their errors as an array, for runs of declared steps;
-    :func:`failed_steps` has the same as rows.
+    ``with_failures`` adds the failed modules with their errors as an array of ``(module, error, n)``: repeats
+    are counted before they are listed, so a run's list has its distinct failures. :func:`failed_steps` has every
+    single one as a row.
     """
-    aggregates = _totals()
-    if with_failures:
-        failure = F.when(~F.col("success"), F.struct("module", "error"))
-        aggregates.append(F.sort_array(F.collect_list(failure)).alias("failures"))
-    return results.groupBy(run).agg(*aggregates)
+    if not with_failures:
+        return results.groupBy(run).agg(*_totals())
+    per_outcome = results.groupBy(run, "module", "error", "success").agg(F.count("*").alias("n"), F.sum("duration_s").alias("s"))
+    failure = F.when(~F.col("success"), F.struct("module", "error", "n"))
+    return per_outcome.groupBy(run).agg(
+        F.sum("n").alias("steps"),
+        F.sum(F.when(F.col("success"), F.col("n")).otherwise(0)).alias("ok"),
+        F.sum(F.when(F.col("success"), 0).otherwise(F.col("n"))).alias("failed"),
+        F.sum("s").alias("total_duration_s"),
+        F.sort_array(F.collect_list(failure)).alias("failures"),
+    )
 
 
 def failed_steps(results: DataFrame, run: str = "run") -> DataFrame:

@@ -14,7 +14,7 @@ from freshet.operators.chunks import chunks_in_order
 from freshet.operators.pending import EDGE, assign_chunks, pending
 from freshet.operators.schedules import Instant
 from freshet.plans.freshness import freshness_report, gate
-from freshet.session import scratch_dir
+from freshet.session import settled
 from freshet.sources.batches import read_pending, write_dated_by
 from freshet.sources.cursors import advance_cursors, load_cursors, save_cursors
 
@@ -57,15 +57,13 @@ def incremental_run(
     report = freshness_report(mine, cursors, manifest, feeds, consumers, as_of, threshold, with_files=False)
     plan = gate(report).select(*EDGE, "strategy")
     # fixed before the first cursor moves, and small: one row per pending batch
-    todo_path = scratch_dir(spark, "pending")
-    todo = assign_chunks(pending(mine, cursors, manifest), 1).withColumnRenamed("chunk_id", "round")
-    todo.join(plan, EDGE).select(*EDGE, "batch_date", "file_name", "round", "strategy").write.parquet(todo_path)
-    todo = spark.read.parquet(todo_path)
+    todo = assign_chunks(pending(mine, cursors, manifest), 1).withColumnRenamed("chunk_id", "round").join(plan, EDGE)
+    todo = settled(todo.select(*EDGE, "batch_date", "file_name", "round", "strategy"), "pending")
     saved = True
 
     def work(batches: DataFrame, _: int = 0) -> None:
         nonlocal saved
-        result = fn(read_pending(rows, batches, undated=True))
+        result = fn(read_pending(rows, batches, undated=True, settle=False))
         write_dated_by(result, out_root, "batch_date", by=["feed"])
         try:
             save_cursors(advance_cursors(batches), cursors_path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators rely on. Shuffle sizing is left to AQE: partitions are coalesced or
 # split at run time, so the same code fits a laptop and a large cluster.
@@ -45,3 +45,14 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new, not yet existing folder below the shared one."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """Write a frame to the shared folder and continue from there.
+
+    Its lineage ends at files that outlive any executor, and Spark knows its true size: a small list
+    is then broadcast to a large table instead of having that table shuffled towards it.
+    """
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.functions.names import FORMATS, batch_date, in_utc
+from freshet.session import settled
 
 MANIFEST = "feed string, batch_date date, file_name string, n_files long, n_bytes long"
 
@@ -96,20 +97,29 @@ def write_dated_by(
 
 
 def read_pending(
-    rows: DataFrame, pending: DataFrame, feed: str = "feed", date: str = "batch_date", undated: bool = False
+    rows: DataFrame,
+    pending: DataFrame,
+    feed: str = "feed",
+    date: str = "batch_date",
+    undated: bool = False,
+    settle: bool = True,
 ) -> DataFrame:
     """The rows that belong to pending batches.
 
     Equality on the partition columns lets Spark prune partitions at run time; a date range against
     a cursor table would not. Rows without a date belong to undated batches and come only with ``undated``.
+    The list of batches is settled first, once per batch however many consumers wait for it, so that its size
+    is known before the rows are touched; ``settle=False`` is for a list that is a stored table already.
     """
+    batches = pending.select("feed", "batch_date").distinct()
+    if settle:
+        batches = settled(batches, "pending")
     # the comparison is true for every date; it drops undated batches and marks this side as
     # selective, without which no run-time pruning is planned
-    dated = pending.where(F.col("batch_date") >= F.lit("0001-01-01").cast("date"))
-    # once per batch, however many consumers wait for it
-    wanted = dated.select(F.col("feed").alias(feed), F.col("batch_date").alias(date)).distinct()
+    dated = batches.where(F.col("batch_date") >= F.lit("0001-01-01").cast("date"))
+    wanted = dated.select(F.col("feed").alias(feed), F.col("batch_date").alias(date))
     found = rows.join(wanted, [feed, date], "left_semi")
     if not undated:
         return found
-    loose = pending.where(F.col("batch_date").isNull()).select(F.col("feed").alias(feed)).distinct()
+    loose = batches.where(F.col("batch_date").isNull()).select(F.col("feed").alias(feed))
     return found.unionByName(rows.where(F.col(date).isNull()).join(loose, feed, "left_semi"))

@@ -129,7 +129,7 @@ def test_summary(spark):
     df = spark.createDataFrame(rows, "run string, module string, success boolean, error string, duration_s double")
     got = {r.run: r for r in Y.run_summary(df, with_failures=True).collect()}
     assert (got["r1"].steps, got["r1"].ok, got["r1"].failed, round(got["r1"].total_duration_s, 1)) == (3, 2, 1, 66.1)
-    assert [tuple(f) for f in got["r1"].failures] == [("m2", "connection refused")] and got["r2"].failures == []
+    assert [tuple(f) for f in got["r1"].failures] == [("m2", "connection refused", 1)] and got["r2"].failures == []
     assert [tuple(r) for r in Y.failed_steps(df).collect()] == [("r1", "m2", "connection refused")]
     rolled = {(r.run, r.module): (r.level, r.steps) for r in Y.run_rollup(df).collect()}
     assert rolled[(None, None)] == (2, 4) and rolled[("r1", None)] == (1, 3) and rolled[("r1", "m2")] == (0, 1)
