@@ -80,6 +80,16 @@ def manifest(spark, sf):
     return m.select("feed", day("batch_date").alias("batch_date"), "n_rows", stamp("min_ts").alias("min_ts"), stamp("max_ts").alias("max_ts"))
 
 
+@query(f"""WITH {I.MANIFEST_EV} SELECT feed, {sql_day('batch_date')} AS batch_date, n_rows FROM manifest_ev""")
+def manifest_upserted(spark, sf):
+    """A manifest of the first days brought up to date with what came later; two days were republished."""
+    events, date = I.events(spark, sf), F.to_date("ts")
+    old = M.manifest_from_rows(events.where(date < "2024-01-18"), "event_type", "ts")
+    stale = old.withColumn("n_rows", F.when(F.col("batch_date") >= "2024-01-16", -1).otherwise(F.col("n_rows")))
+    new = M.manifest_from_rows(events.where(date >= "2024-01-16"), "event_type", "ts")
+    return M.upsert_manifest(stale, new).select("feed", day("batch_date").alias("batch_date"), "n_rows")
+
+
 @query(f"""SELECT event_type AS feed, {sql_stamp("date_trunc('hour', ts)")} AS batch_hour, count(*) AS n_rows
   FROM events GROUP BY event_type, date_trunc('hour', ts)""")
 def manifest_hourly(spark, sf):

@@ -25,6 +25,16 @@ def manifest_from_rows(df: DataFrame, feed: Column | str, ts: Column | str, grai
     )
 
 
+def upsert_manifest(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``new`` rows, plus ``old`` rows of batches that have no new one.
+
+    A stored manifest then follows its feeds at the cost of what was published, not of all their data.
+    """
+    renamed = new.select(F.col("feed").alias("_feed"), F.col("batch_date").alias("_date")).distinct()
+    same = (F.col("feed") == F.col("_feed")) & F.col("batch_date").eqNullSafe(F.col("_date"))
+    return new.unionByName(old.join(renamed, same, "left_anti"))
+
+
 def with_file_names(manifest: DataFrame, ext: str = ".parquet") -> DataFrame:
     """Add the conventional ``file_name`` of each batch."""
     name = F.concat("feed", F.lit("_"), F.date_format("batch_date", DATE_FORMAT), F.lit(ext))

@@ -49,6 +49,8 @@ def test_pending_read_prunes_partitions(spark, tmp_path):
     waiting = P.pending(I.edges_ev(spark, SF), I.cursors_ev(spark, SF), I.manifest_ev(spark, SF))
     found = read_pending(stored, waiting.where("consumer = 6"))
     assert "dynamicpruning" in plan(found)
+    # the list is stored, so its size is known and the rows stay where they are
+    assert "BroadcastHashJoin" in plan(found) and "SortMergeJoin" not in plan(found)
     # a literal date prunes before anything runs
     assert "PartitionFilters: [isnotnull(batch_date" in plan(stored.where("batch_date > DATE'2024-01-20'"))
     batches = {(r.feed, r.batch_date) for r in waiting.where("consumer = 6").collect()}
