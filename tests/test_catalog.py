@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as contract
+from catalog import QUERIES
 from compare import connect, differences
 
 SF = "/root/testdata/sf0.001"
@@ -19,7 +20,7 @@ def test_contract(spark):
     assert contract.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     oracles = contract.oracle_sql()
     if name in oracles:
