@@ -1,7 +1,8 @@
 """Exact dedup by content sort (native: no Python in any task).
 
 Texts are normalised by deleting white space. Spark samples splitters and range-partitions the normalised
-bytes, an external sort places equal texts side by side, and the window compares full neighbouring values.
+texts by their heads (then a hash, for texts that begin alike), an external sort places equal texts side by side,
+and the window compares full neighbouring values.
 A value that holds a large share of all rows is dealt over several range cells by a salt of its identifier,
 and the cells' results are merged afterwards by digest, one row per cell.
 """
@@ -17,6 +18,8 @@ from freshet.session import settled
 # A text held by more than one row in HOT_SHARE is dealt over cells. There can be no more than HOT_SHARE
 # such texts, so their list is bounded whatever the size of the input.
 HOT_SHARE = 500
+# characters of a text that take part in splitters
+HEAD = 24
 
 
 def normalised(text: Column) -> Column:
@@ -38,9 +41,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     counts = read.groupBy(F.xxhash64("_norm").alias("_hash")).agg(F.count(F.lit(1)).alias("_n"))
     hot = [r[0] for r in counts.where((F.col("_n") > 1) & (F.col("_n") * hot_share > total)).select("_hash").collect()]
     cells = F.when(F.xxhash64("_norm").isin(hot), F.pmod(F.xxhash64("_id", "_len"), F.lit(hot_share))) if hot else F.lit(None)
-    dealt = read.withColumn("_cell", F.coalesce(cells.cast("int"), F.lit(-1))).repartitionByRange("_norm", "_cell")
+    dealt = read.withColumn("_cell", F.coalesce(cells.cast("int"), F.lit(-1)))
+    # splitters go through the driver, so they are a short head of the text and its hash, never a whole text
+    dealt = dealt.withColumns({"_head": F.left("_norm", F.lit(HEAD)), "_hash": F.xxhash64("_norm")}).repartitionByRange("_head", "_hash", "_cell")
 
-    best = Window.partitionBy("_norm", "_cell").orderBy(F.col("_len").desc(), F.col("_id").asc_nulls_last())
+    best = Window.partitionBy("_head", "_hash", "_norm", "_cell").orderBy(F.col("_len").desc(), F.col("_id").asc_nulls_last())
     whole = best.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     local = dealt.select(
         "_id", "_len", "_cell", F.sha2("_norm", 256).alias("text_sha256"),
