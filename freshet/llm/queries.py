@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from freshet.llm.bpe import encode_decode
 from freshet.llm.exact_dedup import exact_groups
 from freshet.llm.substring_dedup import remove_repeats
 from freshet.llm.warc import read_warc, resolved, write_warc
 from freshet.session import scratch_dir
 
+TOKENIZER = "byte_bpe_50k.json"
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -82,4 +84,17 @@ def op4_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_groups(table(spark, sf, "documents"))
 
 
+def tokenizer_path() -> str:
+    """Where the public tokenizers are installed, which is the same on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+@query()
+def op9_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of every document and the text that they decode to."""
+    return encode_decode(table(spark, sf, "documents"), tokenizer_path(), columns=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
