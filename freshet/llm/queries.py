@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.llm.bpe import encode_decode
+from freshet.llm.decontaminate import find_contamination
 from freshet.llm.exact_dedup import exact_groups
 from freshet.llm.substring_dedup import remove_repeats
 from freshet.llm.warc import read_warc, resolved, write_warc
@@ -84,6 +85,31 @@ def op4_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_groups(table(spark, sf, "documents"))
 
 
+@query(
+    r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+         b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+         i AS (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS s FROM b WHERE len(w) > 0),
+         q AS (SELECT DISTINCT item_id, n, array_to_string(w[s:s + n - 1], ' ') AS g FROM i),
+         p AS (SELECT doc_id, w, z.n, unnest(range(1, len(w) - z.n + 2)) AS s FROM d, (SELECT DISTINCT n FROM q) z WHERE len(w) >= z.n),
+         x AS (SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS g FROM p),
+         h AS (SELECT doc_id, x.n, s, item_id FROM x JOIN q ON x.g = q.g AND x.n = q.n),
+         c AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS j FROM h) GROUP BY doc_id),
+         t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM h GROUP BY doc_id)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+           coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+    """
+)
+def op6_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    """How much of each document lies in windows of benchmark items, and of which."""
+    out = find_contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def tokenizer_path() -> str:
     """Where the public tokenizers are installed, which is the same on every executor."""
     import public_tokenizers
