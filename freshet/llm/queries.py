@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from freshet.llm.bpe import encode_decode
 from freshet.llm.decontaminate import find_contamination
 from freshet.llm.exact_dedup import exact_groups
+from freshet.llm.near_dedup import near_groups
 from freshet.llm.substring_dedup import remove_repeats
 from freshet.llm.warc import read_warc, resolved, write_warc
 from freshet.session import scratch_dir
@@ -52,6 +53,26 @@ def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query(
+    r"""
+    WITH RECURSIVE
+         d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+         s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[p:p + 4], ' ') END AS g
+               FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM d WHERE len(w) > 0)),
+         n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+         p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+         l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 85 * (x.n + y.n - c)),
+         e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+         r(v, m) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.b, r.m FROM r JOIN e ON r.v = e.a WHERE r.m < e.b),
+         c AS (SELECT v AS doc_id, min(m) AS component_id FROM r GROUP BY v)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+    """
+)
+def op2_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Components of documents that share most of their shingles."""
+    return near_groups(table(spark, sf, "documents"))
+
+
 _BASE32 = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0x' || substr(h, {1 + 5 * g}, 5))::BIGINT >> {15 - 5 * d}) % 32, 1)" for g in range(8) for d in range(4)
 )
