@@ -27,6 +27,10 @@ IS_BREAK = np.zeros(256, bool)
 IS_BREAK[:0x30] = IS_BREAK[0x3A:0x61] = IS_BREAK[0x7B:0x80] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+# second bytes, after 0xC3, of the capitals of the Latin-1 block
+ABOVE = np.zeros(256, bool)
+ABOVE[0x80:0x9F] = True
+ABOVE[0x97] = False
 
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
 _M1, _M2, _M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)

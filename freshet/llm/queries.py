@@ -11,6 +11,7 @@ from freshet.llm.bpe import encode_decode
 from freshet.llm.decontaminate import find_contamination
 from freshet.llm.exact_dedup import exact_groups
 from freshet.llm.near_dedup import near_groups
+from freshet.llm.quality import classify_quality
 from freshet.llm.substring_dedup import remove_repeats
 from freshet.llm.warc import read_warc, resolved, write_warc
 from freshet.session import scratch_dir
@@ -144,4 +145,10 @@ def op9_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return encode_decode(table(spark, sf, "documents"), tokenizer_path(), columns=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+@query()
+def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """The quality score of every document and whether it is kept."""
+    return classify_quality(table(spark, sf, "documents"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
