@@ -13,6 +13,7 @@ from freshet.llm.exact_dedup import exact_groups
 from freshet.llm.near_dedup import near_groups
 from freshet.llm.quality import classify_quality
 from freshet.llm.substring_dedup import remove_repeats
+from freshet.llm.toxicity import classify_toxicity
 from freshet.llm.warc import read_warc, resolved, write_warc
 from freshet.session import scratch_dir
 
@@ -145,6 +146,12 @@ def op9_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return encode_decode(table(spark, sf, "documents"), tokenizer_path(), columns=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+@query()
+def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """The toxicity score of every document."""
+    return classify_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query()
 def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     """The quality score of every document and whether it is kept."""
