@@ -13,6 +13,7 @@ from freshet.llm.exact_dedup import exact_groups
 from freshet.llm.near_dedup import near_groups
 from freshet.llm.quality import classify_quality
 from freshet.llm.substring_dedup import remove_repeats
+from freshet.llm.suffix_dedup import remove_repeated_bytes
 from freshet.llm.toxicity import classify_toxicity
 from freshet.llm.warc import read_warc, resolved, write_warc
 from freshet.session import scratch_dir
@@ -152,6 +153,13 @@ def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return classify_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query()
+def op8_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes of each document, those in passages that occur again, and what is left."""
+    out = remove_repeated_bytes(table(spark, sf, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query()
 def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     """The quality score of every document and whether it is kept."""
