@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.llm.bpe import encode_decode
+from freshet.llm.chat import format_chats
 from freshet.llm.decontaminate import find_contamination
 from freshet.llm.exact_dedup import exact_groups
 from freshet.llm.near_dedup import near_groups
@@ -153,6 +154,13 @@ def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return classify_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query()
+def op7_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    """Every turn of every conversation as repaired and rendered."""
+    out = format_chats(table(spark, sf, "conversations"))
+    return out.select("conv_id", "turn", "at", "role", "action", F.size("inserted").cast("long").alias("n_inserted"), "rendered", "cost")
+
+
 @query()
 def op8_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Bytes of each document, those in passages that occur again, and what is left."""
