@@ -23,7 +23,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject. A null or empty text is rejected."""
-    return score_quality(docs, fit_quality(docs)).where(F.col("quality_score") >= REJECT_BELOW).drop("quality_score")
+    scored = score_quality(docs, fit_quality(docs), score="_quality_score")
+    return scored.where(F.col("_quality_score") >= REJECT_BELOW).drop("_quality_score")
 
 
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:

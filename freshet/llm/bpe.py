@@ -29,9 +29,11 @@ PIECE = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?(?:(?!{SPACE}|\p{{L}}|\p{{N}})(?s:.))+|{SPACE}+(?!{NOT_SPACE})|{SPACE}+"
 )
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+# bytes of pieces that one index is built over; a longer piece has one of its own
+INDEX_BYTES = 256 << 10
 # pieces that a worker remembers; beyond either bound it starts afresh
-KNOWN_PIECES, KNOWN_BYTES = 400_000, 64 << 20
+KNOWN_PIECES, KNOWN_BYTES = 200_000, 24 << 20
 
 
 def byte_alphabet() -> list[str]:
@@ -170,10 +172,16 @@ class Bpe:
         for token, i in self.added.items():
             known[token] = str(i)
         new = list({w for p in parts for w in p if w not in known})
-        if new:
-            for word, ids in zip(new, self.encode_pieces([w.encode() for w in new])):
+        at = 0
+        while at < len(new):
+            pieces, size = [], 0
+            while at + len(pieces) < len(new) and size < INDEX_BYTES:
+                pieces.append(new[at + len(pieces)].encode())
+                size += len(pieces[-1])
+            for word, ids in zip(new[at:], self.encode_pieces(pieces)):
                 known[word] = ",".join(map(str, ids))
                 self.known_bytes += len(word) + len(known[word])
+            at += len(pieces)
         return [",".join([known[w] for w in p]) for p in parts]
 
     def decode(self, ids: str) -> str:

@@ -38,6 +38,7 @@ class LabelModel:
 def fit_label_model(votes: np.ndarray, prior: float, rounds: int = 30, smoothing: float = 1.0, correlated: bool = False, known: dict[int, float] | None = None, silence: bool = True) -> LabelModel:
     """Expectation-maximisation of voters' accuracies; votes are 0, 1 or ABSTAIN.
 
+    ``smoothing`` rows of every class stand for the belief that voters are better than chance; they matter in small samples.
     The start is the majority vote, rows without votes at the prior. Voters in ``known`` keep the accuracy given there, and
     if there are any, the start is theirs alone. With ``correlated``, voters that agree within a class
     beyond chance share their weight: each counts 1 / (1 + sum of its positive correlations) in the posterior. Without
@@ -51,9 +52,9 @@ def fit_label_model(votes: np.ndarray, prior: float, rounds: int = 30, smoothing
     shown = [(votes == k).astype(float) for k in (0, 1)]
     for _ in range(rounds):
         for c, q in enumerate((1 - p, p)):
-            some = q.sum() + 3 * smoothing
+            some = q.sum() + 4 * smoothing
             for k in (0, 1):
-                model.emit[c, :, k] = (q @ shown[k] + smoothing) / some
+                model.emit[c, :, k] = (q @ shown[k] + (smoothing if k == c else smoothing / 50)) / some
             model.emit[c, :, 2] = 1 - model.emit[c, :, 0] - model.emit[c, :, 1]
         for j, accuracy in (known or {}).items():
             model.emit[0, j], model.emit[1, j] = (accuracy, 1 - accuracy, 1.0), (1 - accuracy, accuracy, 1.0)

@@ -21,6 +21,7 @@ FIT_ROWS = 8_000
 WIDTH = 1 << 10  # hashed features
 PRIOR = 0.85  # share of good documents to start from
 REJECT_BELOW = 0.5
+BELIEF, SHRINK = 10.0, 0.1  # both count rows, and so matter only in small samples
 # A handful of words decides little: STEADY is added to every text's length, and the score starts at this log-odds.
 STEADY, WORDLESS = 8, 2.0
 
@@ -128,8 +129,8 @@ def fit_quality(docs: DataFrame, text_col: str = "text", fit_rows: int = FIT_ROW
         return np.zeros(WIDTH), 0.0
     votes = np.stack([np.frombuffer(v, np.int8) for v in got["votes"]])
     x = np.stack([np.frombuffer(v, np.float32) for v in got["x"]])
-    model = fit_label_model(votes, PRIOR)
-    return fit_linear(x, model.posterior(votes), l2=1e-5, rounds=600, intercept=WORDLESS)
+    model = fit_label_model(votes, PRIOR, smoothing=BELIEF)
+    return fit_linear(x, model.posterior(votes), l2=SHRINK / len(x), rounds=600, intercept=WORDLESS)
 
 
 def score_quality(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", score: str = "quality_score") -> DataFrame:
@@ -140,7 +141,7 @@ def score_quality(docs: DataFrame, model: tuple[np.ndarray, float], text_col: st
         for batch in batches:
             parts = []
             for part in slices(batch, text_col):
-                code, wo, facts = _measure(part.rename_columns({text_col: "text"}) if text_col != "text" else part)
+                code, wo, facts = _measure(part.select([text_col]).rename_columns(["text"]))
                 c = np.concatenate(([0.0], np.cumsum(w[_slots(code)])))
                 value = (c[wo[1:]] - c[wo[:-1]]) / (facts["words"] + STEADY) + b
                 parts.append(np.where(facts["words"] > 0, 1 / (1 + np.exp(-np.clip(value, -60, 60))), 0.0))

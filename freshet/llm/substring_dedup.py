@@ -116,23 +116,26 @@ def _pack(batches: Iterator[pa.RecordBatch], window: int, buckets: int, frequent
             a, b = order[1:], order[:-1]
             same = (look[a] == look[b]) & (end[a] - start[a] == end[b] - start[b])
             same[same] = equal_spans(room, start[a[same]], start[b[same]], (end - start)[a[same]])
-            again = np.zeros(len(first), bool)
+            again, twin = np.zeros(len(first), bool), np.zeros(len(first), bool)
             again[a[same]] = True
+            # a row that repeats identifier and text is the same document: nothing of it is said twice
+            word = first - wo[row[first]]
+            key_of = [x[row[first]] for x in (k, t)]
+            twin[a[same]] = (word[a] == word[b])[same] & (key_of[0][a] == key_of[0][b])[same] & (key_of[1][a] == key_of[1][b])[same]
             # ... and of earlier slices, for frequent minimisers
             for i in np.flatnonzero((least[first] >= _TOP) & ~again):
-                text, own = room[start[i] : end[i]].tobytes(), (k[row[first[i]]], t[row[first[i]]], first[i])
+                text, own = room[start[i] : end[i]].tobytes(), (key_of[0][i], key_of[1][i], word[i])
                 known = sent.get(text)
                 if known is not None and known <= own:
-                    again[i] = True
+                    again[i], twin[i] = True, known == own
                 elif known is not None or len(sent) < TASK_MEMORY:
                     sent[text] = own
 
-            word = first - wo[row[first]]
             count = last - first + window
             out: list[tuple[int, bytes, bytes | None]] = []
-            if again.any():
-                r = row[first[again]]
-                out.append((int(k[r[0]] % buckets), bundle(k=k[r], t=t[r], word=word[again], count=count[again]), None))
+            if (told := again & ~twin).any():
+                r = row[first[told]]
+                out.append((int(k[r[0]] % buckets), bundle(k=k[r], t=t[r], word=word[told], count=count[told]), None))
             bucket = (mix(least[first].copy()) % np.uint64(buckets)).astype(np.int64)
             sends = np.flatnonzero(~again)
             sends = sends[np.argsort(bucket[sends], kind="stable")]
@@ -144,15 +147,10 @@ def _pack(batches: Iterator[pa.RecordBatch], window: int, buckets: int, frequent
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))], ["bucket", "places", "strings"])
 
 
-def _exactly(room: np.ndarray, starts: np.ndarray, ends: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Which of the places in order repeat an earlier one, by their bytes; for hashes that collided."""
-    seen: set[bytes] = set()
-    out = np.zeros(len(order), bool)
-    for i, p in enumerate(order):
-        text = room[starts[p] : ends[p]].tobytes()
-        out[i] = text in seen
-        seen.add(text)
-    return out
+def _exactly(room: np.ndarray, starts: np.ndarray, ends: np.ndarray, order: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which of the windows in order repeat an earlier one, by their bytes; for hashes that collided."""
+    seen: dict[bytes, tuple] = {}
+    return np.array([seen.setdefault(room[starts[p] : ends[p]].tobytes(), own) != own for p, own in zip(order, map(tuple, place.T.tolist()))], bool)
 
 
 def _count_windows(table: pa.Table, window: int) -> pa.Table:
@@ -185,14 +183,19 @@ def _count_windows(table: pa.Table, window: int) -> pa.Table:
         size = we[a + window - 1] - ws[a]
         right = size == we[b + window - 1] - ws[b]
         right[right] = equal_spans(room, ws[a[right]], ws[b[right]], size[right])
-        repeat = np.zeros(len(at), bool)
-        repeat[later] = True
-        for value in np.unique(g[later[~right]]):
-            own = np.flatnonzero(g == value)
-            repeat[own] = _exactly(room, ws, np.append(we[window - 1 :], [0] * (window - 1)), at[own])
-        # runs of repeated windows, not across strings
         own = np.repeat(np.arange(len(order)), counts)
         heads = np.concatenate(([0], np.cumsum(counts)[:-1]))
+        # a window repeats the first of its equals, unless it is at the same place: then rows are repeated
+        begins = np.ones(len(at), bool)
+        begins[equal + 1] = False
+        leader = np.empty(len(at), np.int64)
+        leader[by] = by[np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))]
+        place = np.stack((k[order][own], t[order][own], word[order][own] + np.arange(len(at)) - heads[own]))
+        repeat = (place != place[:, leader]).any(axis=0)
+        for value in np.unique(g[later[~right]]):
+            some = np.flatnonzero(g == value)
+            repeat[some] = _exactly(room, ws, np.append(we[window - 1 :], [0] * (window - 1)), at[some], place[:, some])
+        # runs of repeated windows, not across strings
         gap = np.zeros(len(at) + len(order), bool)
         gap[np.arange(len(at)) + own] = repeat
         s, e = runs(gap)
