@@ -24,7 +24,7 @@ _ORDERS = """o AS (SELECT o_orderkey, o_custkey, o_totalprice, CASE WHEN o_order
   CASE WHEN o_orderkey % 21 IN (0, 3) THEN NULL ELSE o_orderpriority END AS priority,
   CASE o_orderkey % 4 WHEN 0 THEN '0 1 * * *' WHEN 1 THEN ' 0  1 * *  * ' WHEN 2 THEN '0 1 *' ELSE '0 0 1 * * *' END AS schedule, o_custkey % 5 AS position FROM orders)"""
 _CHECKED = f"""WITH {_ORDERS}, c AS (SELECT o.*, CASE WHEN status IS NULL OR priority IS NULL
-  THEN concat_ws(',', CASE WHEN status IS NULL THEN 'missing required field: status' END, CASE WHEN priority IS NULL THEN 'missing required field: priority' END)
+  THEN concat_ws(',', CASE WHEN status IS NULL THEN 'not given: status' END, CASE WHEN priority IS NULL THEN 'not given: priority' END)
   ELSE concat_ws(',', CASE WHEN status NOT IN ('O', 'F') THEN 'status must be O or F' END,
     CASE WHEN status = 'F' AND o_totalprice <= 100000 THEN 'finished orders need a price above 100000' END,
     CASE WHEN position < 1 THEN 'position must be at least 1' END, CASE WHEN o_orderkey % 4 > 1 THEN 'schedule needs five fields' END) END AS errors FROM o)"""
@@ -61,13 +61,13 @@ def validated_orders(spark, sf):
     return checked.select("o_orderkey", names("errors").alias("errors"))
 
 
-@query(f"""{_CHECKED} SELECT errors <> '' AS rejected, status AS status, count(*) AS n, round(sum(o_totalprice), 2) AS price
-FROM c WHERE status IS NOT NULL GROUP BY errors <> '', status""")
+@query(f"""{_CHECKED} SELECT errors <> '' AS rejected, coalesce(status, '') AS status, count(*) AS n, round(sum(o_totalprice), 2) AS price
+FROM c GROUP BY errors <> '', coalesce(status, '')""")
 def split_orders(spark, sf):
     """Good and rejected orders, counted per status."""
     good, rejected = C.split_valid(C.validate(declared_orders(spark, sf), ["status", "priority"], order_rules()))
     both = good.withColumn("rejected", F.lit(False)).unionByName(rejected.drop("errors").withColumn("rejected", F.lit(True)))
-    totals = both.where(F.col("status").isNotNull()).groupBy("rejected", "status")
+    totals = both.withColumn("status", F.coalesce("status", F.lit(""))).groupBy("rejected", "status")
     return totals.agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("price"))
 
 

@@ -71,12 +71,12 @@ def schedule_cadence(spark, sf):
 @query(f"""WITH {fires_sql('2024-02-26', '2024-03-05')},
 g AS (SELECT c_custkey AS id, date_diff('second', fire_ts, lead(fire_ts) OVER (PARTITION BY c_custkey ORDER BY fire_ts)) AS gap_s
   FROM customer JOIN fires ON {ON_KIND} WHERE fire_ts < TIMESTAMP '2024-03-05 00:00:00')
-SELECT id, min(gap_s) AS least, max(gap_s) AS most, count(gap_s) AS n_gaps FROM g GROUP BY id HAVING count(gap_s) > 0""")
+SELECT id, coalesce(min(gap_s), 0) AS least, coalesce(max(gap_s), 0) AS most, count(gap_s) AS n_gaps FROM g GROUP BY id""")
 def fire_gaps(spark, sf):
-    """Shortest and longest gap between a customer's fires."""
+    """Shortest and longest gap between a customer's fires; 0 gaps where there is a single fire."""
     fires = S.expand_schedule(customer_schedules(spark, sf), "2024-02-26", "2024-03-05")
-    gaps = S.fire_gaps(fires).where(F.col("gap_s").isNotNull())
-    return gaps.groupBy("id").agg(F.min("gap_s").alias("least"), F.max("gap_s").alias("most"), F.count("*").alias("n_gaps"))
+    least, most = (F.coalesce(f("gap_s"), F.lit(0).cast("long")) for f in (F.min, F.max))
+    return S.fire_gaps(fires).groupBy("id").agg(least.alias("least"), most.alias("most"), F.count("gap_s").alias("n_gaps"))
 
 
 @query(f"""WITH days AS (SELECT CAST(d AS DATE) AS d, dayofweek(d) AS dow, day(d) AS dom

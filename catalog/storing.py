@@ -13,17 +13,14 @@ from freshet.sources import batches as B
 from freshet.sources import cursors as C
 
 
-@query(f"""SELECT event_type AS feed, {sql_day('ts')} AS batch_date, 'batch_date=' || strftime(ts, '%Y-%m-%d') AS file_name, count(*) AS n_rows
+@query(f"""SELECT event_type AS feed, {sql_day('ts')} AS batch_date, 'feed=' || event_type || '/batch_date=' || strftime(ts, '%Y-%m-%d') AS file_name, count(*) AS n_rows
 FROM events GROUP BY ALL""")
 def dated_batches(spark, sf):
     """Events written as dated partitions per feed, listed from storage and counted on reading back."""
     root = scratch_dir(spark, "dated")
     rows = I.events(spark, sf).select(F.col("event_type").alias("feed"), "event_id", "ts", "value")
     B.write_dated_by(rows, root, "ts", by=["feed"])
-    listed = [B.list_batches(spark, f"{root}/feed={f}", feed=f) for f in I.EVENT_FEEDS]
-    found = listed[0]
-    for more in listed[1:]:
-        found = found.unionByName(more)
+    found = B.list_batches(spark, root)
     counts = spark.read.parquet(root).groupBy("feed", "batch_date").agg(F.count("*").alias("n_rows"))
     joined = found.join(counts, ["feed", "batch_date"], "left")
     return joined.select("feed", day("batch_date").alias("batch_date"), "file_name", "n_rows")

@@ -13,8 +13,8 @@ CHUNK_THRESHOLD = 10
 
 
 def cadence_relation(up_s: Column, down_s: Column) -> Column:
-    """``mandatory`` when the feed is slower than its consumer, ``accumulation`` when faster, else ``equal``."""
-    return F.when(up_s > down_s, MANDATORY).when(up_s < down_s, ACCUMULATION).otherwise(EQUAL)
+    """``mandatory`` when the feed is slower than its consumer, ``accumulation`` when faster, else ``equal``; null if a pace is."""
+    return F.when(up_s > down_s, MANDATORY).when(up_s < down_s, ACCUMULATION).when(up_s == down_s, EQUAL)
 
 
 def is_blocked(relation: Column, n_pending: Column) -> Column:

@@ -50,7 +50,7 @@ def validate(df: DataFrame, required: list[str], rules: dict[str, Column], out:
     If a required field is missing, only the missing fields are reported; otherwise every rule that is
     not true is, in the order given.
     """
-    missing = F.transform(missing_fields(required), lambda c: F.concat(F.lit("missing required field: "), c))
+    missing = F.transform(missing_fields(required), lambda c: F.concat(F.lit("not given: "), c))
     failed = F.array(*[F.when(F.coalesce(ok, F.lit(False)), None).otherwise(F.lit(text)) for text, ok in rules.items()])
     broken = F.filter(failed.cast("array<string>"), lambda m: m.isNotNull())
     return df.withColumn(out, F.when(F.size(missing) > 0, missing).otherwise(broken))

@@ -23,8 +23,8 @@ def process_chunks(
 
     ``fn`` sees bounded pieces of one chunk at a time and returns rows with the columns of ``schema``
     (a DDL string, without the keys). ``merge`` names the aggregate that puts each column's partial
-    values together, for example ``{"qty": "sum", "first": "min"}``. Rows are first brought together by
-    chunk, with large chunks split over several tasks; pieces are Arrow batches, so a chunk of any size fits.
+    values together, for example ``{"qty": "sum", "first": "min"}``. Rows stay where they are, sorted by chunk within their
+    partition: only partial results are shuffled. Pieces are Arrow batches, so a chunk of any size fits.
     """
     fields = StructType.fromDDL(schema)
     if set(merge) != set(fields.names):
@@ -41,8 +41,7 @@ def process_chunks(
 
     out = StructType([*[rows.schema[k] for k in keys], *fields])
     # sorted, so that an Arrow batch meets few chunks
-    gathered = rows.hint("rebalance", *keys).sortWithinPartitions(*keys)
-    partial = gathered.mapInPandas(pieces, out)
+    partial = rows.sortWithinPartitions(*keys).mapInPandas(pieces, out)
     return partial.groupBy(*keys).agg(*[getattr(F, how)(name).alias(name) for name, how in merge.items()])
 
 

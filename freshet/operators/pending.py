@@ -127,7 +127,7 @@ def assign_chunks(
     ``rows_per_block`` where a feed may hold very many undated batches.
     """
     if chunk_size < 1:
-        raise ValueError(f"chunk_size must be >= 1, got {chunk_size}")
+        raise ValueError(f"a chunk holds one batch at least; chunk_size is {chunk_size}")
     index = F.col("_rn") - 1
     return (
         row_numbers(batches, keys, ["batch_date", "file_name"], "_rn", rows_per_block)

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from freshet.functions import cron as C
 from freshet.functions.cadence import wall_seconds
 
-# Rare schedules need long horizons: 29 February can be 8 years away and two fires are needed.
+# Rare schedules need long horizons. The rarest day is 29 February, up to 8 years away and the next one up to 8 more, so a
+# schedule with fewer than two fires within 17 years has none at all.
 NEAR_DAYS, FAR_DAYS = 800, 366 * 17
 
 Instant = str | dt.datetime
@@ -101,13 +102,13 @@ def expand_schedule(schedules: DataFrame, start: Instant, end: Instant, id_col:
 
 
 def schedule_cadence(schedules: DataFrame, as_of: Instant, cron: str = "cron", out: str = "interval_s") -> DataFrame:
-    """Add the seconds between the first two fires after ``as_of``; null if the calendar has no two."""
+    """Add the seconds between the first two fires after ``as_of``; a schedule that never fires is an error."""
     now = _literal(as_of)
     upcoming = f"slice(filter({_fires(_closest_days(f'to_date({now})', 1))}, t -> t > {now}), 1, 2)"
     gap = wall_seconds(F.expr("get(_next, 1)")) - wall_seconds(F.expr("get(_next, 0)"))
-    return _per_expression(
-        schedules, cron, lambda p: p.selectExpr("_cron", f"{upcoming} AS _next").select("_cron", gap.cast("double").alias(out))
-    )
+    never = F.raise_error(F.concat(F.lit("schedule never fires: "), "_cron")).cast("double")
+    found = F.when(F.size("_next") == 2, gap.cast("double")).otherwise(never).alias(out)
+    return _per_expression(schedules, cron, lambda p: p.selectExpr("_cron", f"{upcoming} AS _next").select("_cron", found))
 
 
 def last_fire(schedules: DataFrame, as_of: Instant, cron: str = "cron", out: str = "last_fire") -> DataFrame:

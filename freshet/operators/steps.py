@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -50,9 +51,9 @@ def apply_steps(
     :func:`stored`) each step runs to its end before the next one starts; its result row then holds its
     row count, taken while writing, and its time. A failing step stops the run with :class:`StepFailed`.
     """
-    positions = [p for p, _, _ in steps]
-    if len(set(positions)) < len(positions):
-        raise ValueError(f"duplicate positions: {sorted({p for p in positions if positions.count(p) > 1})}")
+    taken = Counter(position for position, _, _ in steps)
+    if shared := sorted(position for position, n in taken.items() if n > 1):
+        raise ValueError(f"duplicate positions: {shared}")
     run = StepRun(df)
     for _, name, fn in sorted(steps, key=lambda s: s[0]):
         start = time.monotonic()

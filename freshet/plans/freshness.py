@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from freshet.functions import cadence as K
@@ -22,13 +22,16 @@ def with_cadence(schedules: DataFrame, as_of: Instant) -> DataFrame:
 def edge_cadences(edges: DataFrame, feeds: DataFrame, consumers: DataFrame, as_of: Instant) -> DataFrame:
     """Each edge (with whatever else it carries) and ``up_s, down_s, relation`` (and ``chunk_threshold`` if declared).
 
-    ``feeds`` has one row per feed, ``consumers`` one per consumer, each with ``cron`` or ``interval_s``. Edges
-    whose feed or consumer has no schedule drop out, as there is nothing to compare.
+    ``feeds`` has one row per feed, ``consumers`` one per consumer, each with ``cron`` or ``interval_s``. An edge whose feed or
+    consumer has no schedule is an error: dropped, it would never block and its batches would never be read.
     """
     up = with_cadence(feeds, as_of).select("feed", F.col("interval_s").alias("up_s"))
     extra = [c for c in ("chunk_threshold",) if c in consumers.columns]
     down = with_cadence(consumers, as_of).select("consumer", F.col("interval_s").alias("down_s"), *extra)
-    joined = edges.join(up, "feed").join(down, "consumer")
+    joined = edges.join(up, "feed", "left").join(down, "consumer", "left")
+    for pace, name in (("up_s", "feed"), ("down_s", "consumer")):
+        none = F.raise_error(F.concat(F.lit(f"no schedule for {name} "), F.col(name).cast("string"))).cast("double")
+        joined = joined.withColumn(pace, F.when(F.col(pace).isNotNull(), F.col(pace).cast("double")).otherwise(none))
     return joined.withColumn("relation", K.cadence_relation(F.col("up_s"), F.col("down_s")))
 
 
@@ -40,11 +43,11 @@ def freshness_report(
     consumers: DataFrame,
     as_of: Instant,
     threshold: int = K.CHUNK_THRESHOLD,
-    with_files: bool = True,
+    with_files: bool = False,
 ) -> DataFrame:
     """One row per edge: how the feed's pace relates to the consumer's, what is pending and what to do.
 
-    ``with_files=False`` leaves ``pending_files`` out and never builds file lists. A ``chunk_threshold``
+    ``with_files`` adds ``pending_files``, one list per edge; without it no file lists are built. A ``chunk_threshold``
     column of ``consumers`` overrides ``threshold``.
     """
     found = (pending_lists if with_files else pending_counts)(edges, cursors, manifest)
@@ -81,8 +84,9 @@ def gate(report: DataFrame, on_block: str = "fail") -> DataFrame:
     all their edges and lets the others go on.
     """
     if on_block == "drop":
-        blocked = any_blocked(report).where("any_blocked").select("consumer")
-        return report.join(blocked, "consumer", "left_anti")
+        # the report is computed once; a consumer's rows are the feeds that it declares
+        waits = F.bool_or("is_blocked").over(Window.partitionBy("consumer"))
+        return report.withColumn("_waits", waits).where("NOT _waits").drop("_waits")
     if on_block != "fail":
         raise ValueError(f"on_block must be 'fail' or 'drop', got {on_block!r}")
     count = report.where("is_blocked").count()

@@ -49,22 +49,41 @@ def incremental_run(
 
     ``rows`` carries ``feed`` and ``batch_date``, and so must the result of ``fn``; the output goes to
     ``feed=…/batch_date=…`` partitions. Edges with the ``parallel`` strategy run as one Spark job; the
-    others go batch by batch, oldest first. Output is written before the cursor moves and
-    replaces its partitions, so repeating a batch is harmless.
+    others go batch by batch, oldest first and all undated ones of a feed together, as their rows cannot be told apart.
+    In a parallel run the rows carry ``chunk_id``, which numbers consecutive chunks of as many batches as the consumer's
+    threshold; it is dropped again before writing. Output is written before the cursor moves and replaces its
+    partitions, so repeating a batch is harmless. Cursors and partitions hold dates, so hourly manifests are refused.
     """
+    if dict(manifest.dtypes)["batch_date"] != "date":
+        raise ValueError("batches of a finer grain than a day would overwrite each other; date the manifest by day")
     mine = edges.where(F.col("consumer") == consumer)
     cursors = load_cursors(spark, cursors_path)
-    report = freshness_report(mine, cursors, manifest, feeds, consumers, as_of, threshold, with_files=False)
+    # settled, as the gate and the plan both read it
+    report = settled(freshness_report(mine, cursors, manifest, feeds, consumers, as_of, threshold), "report")
     plan = gate(report).select(*EDGE, "strategy")
+    limit = F.lit(threshold)
+    if "chunk_threshold" in consumers.columns:
+        own = consumers.where(F.col("consumer") == consumer).select("consumer", "chunk_threshold")
+        plan, limit = plan.join(own, "consumer", "left"), F.coalesce("chunk_threshold", F.lit(threshold))
     # fixed before the first cursor moves, and small: one row per pending batch
-    todo = assign_chunks(pending(mine, cursors, manifest), 1).withColumnRenamed("chunk_id", "round").join(plan, EDGE)
-    todo = settled(todo.select(*EDGE, "batch_date", "file_name", "round", "strategy"), "pending")
+    found = pending(mine, cursors, manifest)
+    dates = assign_chunks(found.groupBy(*EDGE, "batch_date").agg(F.min("file_name").alias("file_name")), 1)
+    rounds_of = dates.select(*[F.col(c).alias(f"_{c}") for c in EDGE], F.col("batch_date").alias("_date"), F.col("chunk_id").alias("round"))
+    same = (F.col("consumer") == F.col("_consumer")) & (F.col("feed") == F.col("_feed")) & F.col("batch_date").eqNullSafe(F.col("_date"))
+    todo = found.join(rounds_of, same).join(plan, EDGE)
+    chunk = F.floor(F.col("round") / F.greatest(limit, F.lit(1))).alias("chunk_id")
+    todo = settled(todo.select(*EDGE, "batch_date", "file_name", "round", chunk, "strategy"), "pending")
     saved = True
 
-    def work(batches: DataFrame, _: int = 0) -> None:
+    def work(batches: DataFrame, _: int = 0, chunked: bool = False) -> None:
         nonlocal saved
-        result = fn(read_pending(rows, batches, undated=True, settle=False))
-        write_dated_by(result, out_root, "batch_date", by=["feed"])
+        found = read_pending(rows, batches, undated=True, settle=False)
+        if chunked:
+            # one row per date of a feed, so no row of the data is met twice
+            ids = batches.select(F.col("feed").alias("_feed"), F.col("batch_date").alias("_date"), "chunk_id").distinct()
+            found = found.join(ids, (found["feed"] == ids["_feed"]) & found["batch_date"].eqNullSafe(ids["_date"])).drop("_feed", "_date")
+        result = fn(found)
+        write_dated_by(result.drop("chunk_id") if chunked else result, out_root, "batch_date", by=["feed"])
         try:
             save_cursors(advance_cursors(batches), cursors_path)
             saved = True
@@ -76,7 +95,7 @@ def incremental_run(
     together = todo.where(F.col("strategy") == K.PARALLEL)
     rounds = 0
     if not together.isEmpty():
-        work(together)
+        work(together, chunked=True)
         rounds += 1
     one_by_one = todo.where(F.col("strategy") == K.SEQUENTIAL)
     rounds += chunks_in_order(one_by_one, work, "round")

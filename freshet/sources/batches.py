@@ -23,9 +23,10 @@ def file_system(spark: SparkSession, path: str):
 def list_batches(spark: SparkSession, root: str, glob: str = "*.parquet", feed: str | None = None) -> DataFrame:
     """Manifest of the batches below ``root``; a root that does not exist has none.
 
-    A batch written by Spark is a folder of part files and counts once, under the folder's name. Dates
-    come from that name, never from modification times or from parts of ``root``. Without ``feed`` the
-    name before the date is the feed. File contents are not read.
+    A batch written by Spark is a folder of part files and counts once, under the folder's path below ``root``; any other file
+    is a batch of its own, however deep it lies. Dates come from that path, never from modification times or from parts
+    of ``root``. Without ``feed`` a ``feed=…`` folder of the path is the feed, or else the last name up to the date. File
+    contents are not read.
     """
     fs, top = file_system(spark, root)
     if not fs.exists(top):
@@ -34,8 +35,12 @@ def list_batches(spark: SparkSession, root: str, glob: str = "*.parquet", feed:
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     )
     prefix = len(top.toString().rstrip("/")) + 2
-    name = F.split_part(F.substr("path", F.lit(prefix)), F.lit("/"), F.lit(1))
-    base = F.regexp_replace(F.regexp_replace("file_name", r"[_=]?[0-9]{4}-[0-9]{2}-[0-9]{2}.*$", ""), r"\.[^.]*$", "")
+    below = F.substr("path", F.lit(prefix))
+    # part files stand for their folder; right below root each is on its own
+    name = F.when(below.rlike("/part-[^/]*$"), F.regexp_replace(below, "/[^/]*$", "")).otherwise(below)
+    last = F.regexp_extract("file_name", "([^/]*)$", 1)
+    base = F.regexp_replace(F.regexp_replace(last, r"[_=]?[0-9]{4}-[0-9]{2}-[0-9]{2}.*$", ""), r"\.[^.]*$", "")
+    base = F.coalesce(F.nullif(F.regexp_extract("file_name", "(?:^|/)feed=([^/]+)/", 1), F.lit("")), base)
     return (
         files.select(name.alias("file_name"), "length")
         .groupBy("file_name")

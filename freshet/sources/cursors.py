@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,13 @@ DOCUMENT = (
 )
 
 
+def _utc(text: str) -> Column:
+    """An instant from text, read as UTC where it names no zone, whatever the session's zone; null if it is none."""
+    zoned = F.col(text).rlike(r"(?:Z|[+-][0-9]{2}:?[0-9]{2})$")
+    whole = F.when(F.col(text).rlike(r"^[0-9-]+$"), F.concat(text, F.lit("T00:00:00"))).otherwise(F.col(text))
+    return F.try_to_timestamp(F.when(zoned, F.col(text)).otherwise(F.concat(whole, F.lit("Z"))))
+
+
 def cursors_from_documents(docs: DataFrame) -> DataFrame:
     """Cursor rows from parsed documents; times without a zone are UTC."""
     return docs.select(
@@ -26,7 +35,7 @@ def cursors_from_documents(docs: DataFrame) -> DataFrame:
         F.col("upstream_job_id").alias("feed"),
         F.coalesce("last_consumed_file", F.lit("")).alias("last_file"),
         batch_date("last_consumed_file").alias("last_date"),
-        F.try_to_timestamp("last_consumed_at").alias("last_at"),
+        _utc("last_consumed_at").alias("last_at"),
         F.coalesce("files_pending", F.array().cast("array<string>")).alias("pending"),
     )
 
@@ -64,6 +73,13 @@ def versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(found)
 
 
+def _numbers(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of all version folders, finished or not."""
+    fs, top = file_system(spark, path)
+    names = [e.getPath().getName() for e in fs.listStatus(top)] if fs.exists(top) else []
+    return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit())
+
+
 def _version_path(path: str, number: int) -> str:
     return f"{path.rstrip('/')}/v{number:08d}"
 
@@ -84,18 +100,27 @@ def upsert_cursors(old: DataFrame, new: DataFrame) -> DataFrame:
     return new.unionByName(old.join(new, EDGE, "left_anti"))
 
 
-def save_cursors(cursors: DataFrame, path: str, fmt: str = "parquet") -> int:
+def save_cursors(cursors: DataFrame, path: str, fmt: str = "parquet", forward: bool = False) -> int:
     """Upsert by (consumer, feed) into a new version and return its number.
 
-    Readers keep seeing the previous version until the new one is complete. A writer that meets the
-    same version number fails instead of overwriting.
+    Readers keep seeing the previous version until the new one is complete: it is written under a name of its own and
+    renamed at the end. What a crash left behind is passed over, by number. Of two writers with the same number the later fails. With
+    ``forward``, a dated cursor never moves back: the row with the later date stays.
     """
+    if dict(cursors.dtypes).get("last_date", "date") != "date":
+        raise ValueError("cursors hold dates; batches of a finer grain have no place in them")
     spark = cursors.sparkSession
-    known = versions(spark, path)
     typed = cursors.to(spark.createDataFrame([], CURSOR).schema)
-    merged = upsert_cursors(load_cursors(spark, path, fmt), typed)
-    number = known[-1] + 1 if known else 1
-    merged.write.mode("errorifexists").format(fmt).save(_version_path(path, number))
+    old = load_cursors(spark, path, fmt)
+    if forward:
+        ahead = old.select(*EDGE, F.col("last_date").alias("_date")).where("_date IS NOT NULL")
+        typed = typed.join(ahead, EDGE, "left").where("_date IS NULL OR last_date > _date").drop("_date")
+    number = max(_numbers(spark, path), default=0) + 1
+    fs, top = file_system(spark, path)
+    draft, final = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (f"{path.rstrip('/')}/_draft-{uuid.uuid4().hex}", _version_path(path, number)))
+    upsert_cursors(old, typed).write.format(fmt).save(draft.toString())
+    if fs.exists(final) or not fs.rename(draft, final):
+        raise FileExistsError(f"another writer saved version {number} of {top}")
     return number
 
 

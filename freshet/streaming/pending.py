@@ -31,7 +31,7 @@ def stream_pending(
     ``fn(rows, trigger)`` gets the rows of at most ``max_batches`` files with ``feed, file_name, batch_date``; 1 goes
     file by file. It may be called again with the same trigger number after a failure, so it should replace
     its output. ``checkpoint`` defaults to a folder per edge in the shared one; consumers never affect
-    each other. With ``cursors_path`` the cursor table follows after each trigger.
+    each other. With ``cursors_path`` the cursor table follows after each trigger, and only forward.
 
     The file source hands files out by modification time and takes late ones too. Where consumption must
     follow the dates in the names across triggers, use :func:`freshet.plans.incremental.incremental_run`.
@@ -55,7 +55,7 @@ def stream_pending(
         fn(batch, trigger)
         if cursors_path:
             done = batch.select(F.lit(consumer).alias("consumer"), "feed", "batch_date", "file_name").distinct()
-            save_cursors(advance_cursors(done), cursors_path)
+            save_cursors(advance_cursors(done), cursors_path, forward=True)
 
     where = checkpoint or f"{shared_dir(spark)}/streams/{consumer}/{feed}"
     return (

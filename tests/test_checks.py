@@ -43,8 +43,8 @@ def rules():
         ({"schedule": " 0  1 * *   * "}, []),
         ({"schedule": ""}, []),
         # a missing field hides all other messages, and all missing fields are named
-        ({"id": None, "position": 0}, ["missing required field: id"]),
-        ({"id": None, "schedule": None, "mode": "x"}, ["missing required field: id", "missing required field: schedule"]),
+        ({"id": None, "position": 0}, ["not given: id"]),
+        ({"id": None, "schedule": None, "mode": "x"}, ["not given: id", "not given: schedule"]),
         # a rule without an answer is a failed rule
         ({"mode": None}, ["mode"]),
     ],
@@ -118,7 +118,7 @@ def test_layout(spark):
     df = spark.createDataFrame(rows, "g string, position int, member string, exclusive boolean, enabled boolean")
     found = C.layout_check(df, ["position"], {}, "g", "position", "exclusive", ["member"], "enabled")
     assert {tuple(r) for r in found.collect()} == {
-        ("k", "invalid", "f", "missing required field: position"),
+        ("k", "invalid", "f", "not given: position"),
         ("g", "duplicate", "2", "2"),
         ("g", "exclusive", "", "3"),
     }

@@ -117,6 +117,7 @@ def report(spark, manifest, known=(), **kw):
     feeds = spark.createDataFrame([("up", "0 * * * *"), ("slow", "0 0 * * 0")], "feed string, cron string")
     consumers = spark.createDataFrame([("daily", "0 1 * * *", 3), ("weekly", "0 3 * * 0", None)], "consumer string, cron string, chunk_threshold int")
     pairs = [("daily", "up"), ("daily", "slow"), ("weekly", "up"), ("weekly", "slow")]
+    kw.setdefault("with_files", True)
     return R.freshness_report(edges(spark, *pairs), cursors(spark, *known, ("x", "y", "")), manifest, feeds, consumers, "2026-05-04 12:00:00", **kw)
 
 

@@ -88,7 +88,8 @@ def test_known_cadences(spark):
     assert got == dict(rows)
     # no such day: nothing to measure
     never = spark.createDataFrame([("0 0 31 2 *",)], "cron string")
-    assert S.schedule_cadence(never, "2024-01-31").first().interval_s is None
+    with pytest.raises(Exception, match="never fires"):
+        S.schedule_cadence(never, "2024-01-31").collect()
     assert S.expand_schedule(never.withColumn("id", never.cron), "2024-01-01", "2024-12-31").count() == 0
 
 

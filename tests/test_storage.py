@@ -30,7 +30,7 @@ def test_write_and_list(spark, tmp_path):
     df.write.parquet(f"{root}/loose.parquet")
     df.coalesce(1).write.parquet(f"{root}/nested/deep")
     rows = {r.file_name: r for r in B.list_batches(spark, root).collect()}
-    assert set(rows) == {"data_2026-05-03.parquet", "data_2026-05-04.parquet", "loose.parquet", "nested"}
+    assert set(rows) == {"data_2026-05-03.parquet", "data_2026-05-04.parquet", "loose.parquet", "nested/deep"}
     # the dated folder above does not leak into the batches' dates
     assert rows["data_2026-05-03.parquet"].batch_date == DAY and rows["loose.parquet"].batch_date is None
     assert rows["data_2026-05-03.parquet"].feed == "data" and rows["loose.parquet"].feed == "loose"
@@ -65,9 +65,51 @@ def test_cursor_table(spark, tmp_path):
     cursor_rows(spark, ("a", "b_c", "y3")).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{path}/v00000003")
     assert C.versions(spark, path) == [1, 2]
     assert {r.last_file for r in C.load_cursors(spark, path).collect()} == {"x1", "y2", "z1"}
-    # and a second writer of the same version fails
-    with pytest.raises(Exception, match="already exists"):
-        C.save_cursors(cursor_rows(spark, ("q", "r", "s")), path)
+    # and the next save passes over it
+    assert C.save_cursors(cursor_rows(spark, ("q", "r", "s")), path) == 4
+    assert {r.last_file for r in C.load_cursors(spark, path).collect()} == {"x1", "y2", "z1", "s"}
+    assert {r.last_at for r in C.load_cursors(spark, path).collect()} == {dt.datetime(2026, 5, 3, 10)}
+
+
+def test_cursor_only_forward(spark, tmp_path):
+    path = str(tmp_path / "cursors")
+    C.save_cursors(cursor_rows(spark, ("c", "f", "x_2026-05-03")), path, forward=True)
+    older = cursor_rows(spark, ("c", "f", "x_2026-05-01"), ("c", "g", "y")).withColumn("last_date", F.lit("2026-05-01").cast("date"))
+    C.save_cursors(older, path, forward=True)
+    assert {(r.feed, r.last_file) for r in C.load_cursors(spark, path).collect()} == {("f", "x_2026-05-03"), ("g", "y")}
+    hourly = older.withColumn("last_date", F.lit("2026-05-01 03:00:00").cast("timestamp_ntz"))
+    with pytest.raises(ValueError, match="finer grain"):
+        C.save_cursors(hourly, path)
+
+
+def test_cursor_times_without_zone_are_utc(spark):
+    docs = spark.createDataFrame(
+        [("a", "f", "x", t, []) for t in ("2026-05-03T10:00:00", "2026-05-03 10:00:00Z", "2026-05-03T12:00:00+02:00", "2026-05-03", "soon", None)], C.DOCUMENT
+    )
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = [r[0] for r in C.cursors_from_documents(docs).select(F.unix_timestamp("last_at")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    ten = 1777802400
+    assert got == [ten, ten, ten, ten - 36000, None, None]
+
+
+def test_nested_batches(spark, tmp_path):
+    root = str(tmp_path / "in 2020-01-01")
+    for day in (5, 6):
+        spark.range(3).coalesce(1).write.parquet(f"{root}/incoming/sales_2024-01-{day:02d}.parquet")
+    spark.range(4).write.parquet(f"{root}/feed=a/batch_date=2024-02-01")
+    (tmp_path / "in 2020-01-01" / "flat_2024-03-01.parquet").write_bytes(b"x")
+    (tmp_path / "in 2020-01-01" / "deep").mkdir()
+    (tmp_path / "in 2020-01-01" / "deep" / "b_2024-03-02.parquet").write_bytes(b"xy")
+    got = {(r.feed, str(r.batch_date), r.file_name, r.n_files >= 1) for r in B.list_batches(spark, root).collect()}
+    assert got == {
+        ("sales", "2024-01-05", "incoming/sales_2024-01-05.parquet", True), ("sales", "2024-01-06", "incoming/sales_2024-01-06.parquet", True),
+        ("a", "2024-02-01", "feed=a/batch_date=2024-02-01", True), ("flat", "2024-03-01", "flat_2024-03-01.parquet", True),
+        ("b", "2024-03-02", "deep/b_2024-03-02.parquet", True),
+    }
 
 
 def test_old_versions_can_go(spark, tmp_path):
@@ -155,6 +197,43 @@ def test_incremental_loop(spark, loop):
     assert spark.read.parquet(f"{out}/other").agg(F.sum("v")).first()[0] == written.agg(F.sum("v")).first()[0]
 
 
+def test_loop_loses_nothing(spark, loop, tmp_path):
+    run, edges, manifest, data, out, path, _ = loop
+    # chunks of the parallel run, and undated batches of a feed in one round
+    seen = []
+
+    def note(df):
+        if "chunk_id" in df.columns:
+            seen.extend((r.feed, r.chunk_id, r.n) for r in df.groupBy("feed", "chunk_id").agg(F.count("*").alias("n")).collect())
+        return df
+
+    done = run(fn=note)
+    assert sorted(seen) == [("hourly", 0, 10), ("hourly", 1, 4)] and done.rounds == 5
+    written = spark.read.parquet(f"{out}/c")
+    assert "chunk_id" not in written.columns and written.count() == data.count()
+    feeds = spark.createDataFrame([("hourly", "0 * * * *")], "feed string, cron string")
+    consumers = spark.createDataFrame([("c", "0 1 * * *")], "consumer string, cron string")
+    args = (data, lambda df: df, str(tmp_path / "o"), str(tmp_path / "p"), "2026-05-20")
+    with pytest.raises(Exception, match="no schedule for feed"):
+        incremental_run(spark, "c", edges, manifest, feeds, consumers, *args)
+    never = feeds.withColumn("cron", F.lit("0 0 31 2 *"))
+    with pytest.raises(Exception, match="never fires"):
+        incremental_run(spark, "c", edges.where("feed = 'hourly'"), manifest, never, consumers, *args)
+    hourly = manifest.withColumn("batch_date", F.col("batch_date").cast("timestamp_ntz"))
+    with pytest.raises(ValueError, match="finer grain"):
+        incremental_run(spark, "c", edges, hourly, feeds, consumers, *args)
+
+
+def test_undated_batches_are_read_once(spark, tmp_path):
+    data = spark.createDataFrame([("f", None, v) for v in range(6)], "feed string, batch_date date, v int")
+    manifest = spark.createDataFrame([("f", None, n) for n in "abc"], "feed string, batch_date date, file_name string")
+    edges = spark.createDataFrame([("c", "f")], "consumer string, feed string")
+    paces = [spark.createDataFrame([(k, 86400.0)], f"{n} string, interval_s double") for k, n in (("f", "feed"), ("c", "consumer"))]
+    out = str(tmp_path / "o")
+    done = incremental_run(spark, "c", edges, manifest, *paces, data, lambda df: df, out, str(tmp_path / "p"), "2026-05-20")
+    assert done.rounds == 1 and spark.read.parquet(out).count() == 6
+
+
 def test_failure_keeps_what_was_done(spark, loop):
     run, edges, manifest, data, out, path, _ = loop
     rounds = []
