@@ -165,8 +165,8 @@ def pending_lists(spark, sf):
   QUALIFY row_number() OVER (PARTITION BY consumer, feed ORDER BY batch_date NULLS FIRST, file_name) <= 3""")
 def oldest_pending(spark, sf):
     """The three oldest batches of every edge, undated ones first."""
-    found = P.pending(I.edges_or(spark, sf), I.cursors_or(spark, sf), I.manifest_or(spark, sf))
-    return P.oldest_pending(found, 3).select("consumer", "feed", "file_name")
+    found = P.oldest_of_edges(I.edges_or(spark, sf), I.cursors_or(spark, sf), I.manifest_or(spark, sf), 3)
+    return found.select("consumer", "feed", "file_name")
 
 
 @query(f"""WITH {I.PENDING_OR} SELECT feed, file_name, {sql_day('batch_date')} AS batch_date, n_rows
@@ -196,7 +196,7 @@ GROUP BY e.event_type, {sql_day('e.ts')}""")
 def read_pending_rows(spark, sf):
     """Events of every batch that some nation still has to read."""
     rows = I.events(spark, sf).select(F.col("event_type").alias("feed"), F.to_date("ts").alias("batch_date"), "value")
-    waiting = P.pending(I.edges_ev(spark, sf), I.cursors_ev(spark, sf), I.manifest_ev(spark, sf))
+    waiting = P.needed_batches(I.edges_ev(spark, sf), I.cursors_ev(spark, sf), I.manifest_ev(spark, sf))
     found = read_pending(rows, waiting).groupBy("feed", "batch_date")
     totals = found.agg(F.count("*").alias("n_rows"), F.round(F.sum("value"), 2).alias("total"))
     return totals.withColumn("batch_date", day("batch_date"))

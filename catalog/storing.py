@@ -43,7 +43,7 @@ def dated_formats(spark, sf):
   {sql_day('max(batch_date)')} AS last_date FROM pending_or GROUP BY consumer, feed""")
 def advanced_cursors(spark, sf):
     """Where the cursors stand once everything pending is done; undated batches never win."""
-    found = P.pending(I.edges_or(spark, sf), I.cursors_or(spark, sf), I.manifest_or(spark, sf))
+    found = P.newest_pending(I.edges_or(spark, sf), I.cursors_or(spark, sf), I.manifest_or(spark, sf))
     return C.advance_cursors(found).select("consumer", "feed", "last_file", day("last_date").alias("last_date"))
 
 
@@ -57,7 +57,7 @@ def saved_cursors(spark, sf):
     none = F.array().cast("array<string>")
     start = I.cursors_ev(spark, sf).withColumn("last_at", F.lit(None).cast("timestamp")).withColumn("pending", none)
     C.save_cursors(start, path)
-    found = P.pending(I.edges_ev(spark, sf), I.cursors_ev(spark, sf), I.manifest_ev(spark, sf))
+    found = P.newest_pending(I.edges_ev(spark, sf), I.cursors_ev(spark, sf), I.manifest_ev(spark, sf))
     C.save_cursors(C.advance_cursors(found), path)
     return C.load_cursors(spark, path).select("consumer", "feed", "last_file", day("last_date").alias("last_date"))
 

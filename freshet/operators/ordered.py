@@ -27,8 +27,8 @@ ROWS_PER_BLOCK = 1 << 22
 MIN_CUTS = 4
 MAX_CUTS = 4095
 SEARCH_STEPS = [2048, 1024, 512, 256, 128, 64, 32, 16, 8, 4, 2, 1]
-# number of blocks up to which cut points and block summaries are broadcast (a few MB each)
-BROADCAST_BLOCKS = 100_000
+# up to how many blocks and bytes (as text) cut points are broadcast
+BROADCAST_BLOCKS, BROADCAST_BYTES = 100_000, 16 << 20
 
 BLOCK = "_block"
 _HOT = "_hot"
@@ -36,16 +36,12 @@ _HOT = "_hot"
 
 @dataclass(frozen=True)
 class Blocked:
-    """Rows with their block. Without hot keys there is no block column and ``is_split`` is false.
-
-    ``is_small`` says that all blocks of the hot keys together are few enough to broadcast.
-    """
+    """Rows with their block. Without hot keys there is no block column and ``is_split`` is false."""
 
     df: DataFrame
     part: list[str]
     order: list[str]
     is_split: bool = False
-    is_small: bool = False
 
     @property
     def keys(self) -> list[str]:
@@ -72,8 +68,9 @@ class Blocked:
         return self.across().rowsBetween(Window.unboundedPreceding, -1)
 
     def attach(self, rows: DataFrame, summary: DataFrame) -> DataFrame:
-        """Put block summaries next to their rows; cold rows get nulls."""
-        return null_safe_join(rows, F.broadcast(summary) if self.is_small else summary, self.keys)
+        """Put block summaries next to their rows; cold rows get nulls. Summaries carry values of the data, so their size is left
+        to Spark, which broadcasts them if they are small at run time."""
+        return null_safe_join(rows, summary, self.keys)
 
     def on(self, rows: DataFrame) -> Blocked:
         """The same blocks over rows that went through further steps."""
@@ -91,13 +88,14 @@ def split(df: DataFrame, part: list[str], order: list[str], rows_per_block: int
     whole = Blocked(df, part, order)
     if rows_per_block is None:
         return whole
-    cuts = _cut_points(df, part, order, rows_per_block)
-    if cuts.isEmpty():
+    # stored first: looking whether there are any cuts must not search for them twice
+    stored = settled(_cut_points(df, part, order, rows_per_block), "cuts")
+    row = F.struct(*part, "_cuts")
+    found = stored.agg(F.sum(F.size("_cuts") + 1), F.sum(F.octet_length(F.to_json(row)))).first()
+    if found[0] is None:
         return whole
-    stored = settled(cuts, "cuts")
-    # a key with n cuts has n + 1 blocks, so this bounds the cut table and every block summary.
-    # Beyond it Spark joins on the key and AQE splits the hot side
-    small = stored.agg(F.sum(F.size("_cuts") + 1)).first()[0] <= BROADCAST_BLOCKS
+    # a key with n cuts has n + 1 blocks. Beyond either bound Spark joins on the key and AQE splits the hot side
+    small = found[0] <= BROADCAST_BLOCKS and found[1] <= BROADCAST_BYTES
     side = F.broadcast(stored) if small else stored
     # a row's block is the number of cut points at or before it: a binary search, one column per
     # halving so that every step compiles to a single comparison
@@ -106,8 +104,8 @@ def split(df: DataFrame, part: list[str], order: list[str], rows_per_block: int
         blocked = blocked.withColumn(
             BLOCK, F.expr(f"{BLOCK} + CASE WHEN get(_cuts, {BLOCK} + {step - 1}) <= _at THEN {step} ELSE 0 END")
         )
-    blocked = blocked.drop("_cuts", "_at")
-    return Blocked(blocked, part, order, True, small)
+    # written once: every block summary reads these rows, not the source and the search again
+    return Blocked(settled(blocked.drop("_cuts", "_at"), "blocks"), part, order, True)
 
 
 def _cut_points(df: DataFrame, part: list[str], order: list[str], rows_per_block: int) -> DataFrame:

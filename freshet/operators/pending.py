@@ -49,6 +49,49 @@ def pending(edges: DataFrame, cursors: DataFrame, manifest: DataFrame, keep_idle
     return known.join(batches, on_feed & new, "left" if keep_idle else "inner").drop("_feed")
 
 
+def needed_batches(edges: DataFrame, cursors: DataFrame, manifest: DataFrame) -> DataFrame:
+    """The batches that at least one edge still has to consume, each once: those after the feed's least cursor.
+
+    Edges collapse to one row per feed before they meet the manifest, so there is no row per edge and batch.
+    """
+    since = F.when(has_run("last_file"), F.col("last_date"))
+    known = edges_with_cursors(edges, cursors).groupBy(F.col("feed").alias("_feed"))
+    least = known.agg(F.min(since).alias("_since"), F.bool_or(since.isNull()).alias("_all"))
+    new = F.col("_all") | F.coalesce(F.col("batch_date") > F.col("_since"), F.lit(False))
+    return manifest.join(least, (F.col("feed") == F.col("_feed")) & new).drop("_feed", "_since", "_all")
+
+
+def newest_pending(edges: DataFrame, cursors: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``consumer, feed, batch_date, file_name``: the newest pending batch of each edge that has any, undated only if all are.
+
+    This is where a cursor stands after everything pending is done, at one row per edge.
+    """
+    dated, loose = F.col("batch_date").isNotNull(), F.col("batch_date").isNull()
+    feeds = manifest.groupBy(F.col("feed").alias("_feed")).agg(
+        F.max(F.when(dated, F.struct("batch_date", "file_name"))).alias("_dated"), F.max(F.when(loose, F.col("file_name"))).alias("_loose")
+    )
+    date = F.col("_dated.batch_date")
+    new = is_pending(F.col("last_file"), F.col("last_date"), date)
+    joined = edges_with_cursors(edges, cursors).join(feeds, F.col("feed") == F.col("_feed")).where(new)
+    return joined.select(*EDGE, date.alias("batch_date"), F.coalesce("_dated.file_name", "_loose").alias("file_name"))
+
+
+def oldest_of_edges(edges: DataFrame, cursors: DataFrame, manifest: DataFrame, k: int = 1) -> DataFrame:
+    """The ``k`` oldest pending batches of each edge with the manifest's columns, without pairing edges with batches.
+
+    A feed's batches are ranked once; what an edge has pending is the end of that ranking, so the count of pending batches
+    gives its first rank, and ``k`` ranks per edge are looked up.
+    """
+    if k < 1:
+        raise ValueError(f"k must be >= 1, got {k}")
+    ranked = row_numbers(manifest, ["feed"], ["batch_date", "file_name"], "_rank")
+    totals = manifest.groupBy(F.col("feed").alias("_feed")).agg(F.count("*").alias("_total"))
+    first = F.col("_total") - F.col("pending_count") + 1
+    wanted = pending_counts(edges, cursors, manifest).where("pending_count > 0").join(totals, F.col("feed") == F.col("_feed"))
+    ranks = F.explode(F.sequence(first, F.least(first + (k - 1), F.col("_total")))).alias("_rank")
+    return wanted.select(*EDGE, ranks).join(ranked, ["feed", "_rank"]).drop("_rank")
+
+
 def pending_rows(rows: DataFrame, edges: DataFrame, cursors: DataFrame) -> DataFrame:
     """Rows (with ``consumer, feed, batch_date``) that their own consumer has not consumed yet.
 

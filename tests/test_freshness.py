@@ -10,6 +10,7 @@ from freshet.functions.names import batch_date
 from freshet.operators import pending as P
 from freshet.operators.manifest import latest_batch, manifest_from_rows, observed_cadence, with_file_names
 from freshet.plans import freshness as R
+from freshet.sources import cursors as C
 
 FILES = ["data_2026-05-01.parquet", "data_2026-05-03.parquet", "data_2026-05-02.parquet", "loose.parquet"]
 
@@ -187,3 +188,16 @@ def test_batches_are_utc_days_in_any_session_zone(spark):
         assert schedule_cadence(crons, "2024-03-30 12:00:00").first().interval_s == 86400.0
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_short_cuts_agree_with_the_pairs(spark, manifest):
+    links = edges(spark, *[(c, f) for c in ("a", "b", "c", "d") for f in ("up", "slow")])
+    known = cursors(spark, ("a", "up", "data_2026-05-02.parquet"), ("b", "up", "undated"), ("c", "slow", "week_2026-05-30.parquet"))
+    pairs = P.pending(links, known, manifest)
+    rows = lambda df, *c: sorted(map(str, df.select(*c).distinct().collect()))
+    assert rows(P.needed_batches(links, known, manifest), "feed", "file_name") == rows(pairs, "feed", "file_name")
+    for k in (1, 2, 9):
+        short = P.oldest_of_edges(links, known, manifest, k)
+        assert rows(short, "consumer", "feed", "file_name") == rows(P.oldest_pending(pairs, k), "consumer", "feed", "file_name")
+    newest, done = (C.advance_cursors(x).select("consumer", "feed", "last_file", "last_date") for x in (P.newest_pending(links, known, manifest), pairs))
+    assert rows(newest, "*") == rows(done, "*")
