@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog import inputs as I
 from catalog.registry import day, query, sql_day
 from freshet.operators import pending as P
+from freshet.operators.manifest import with_file_names
 from freshet.plans.incremental import incremental_run
 from freshet.session import scratch_dir
 from freshet.sources import batches as B
@@ -82,3 +83,42 @@ def incremental_totals(spark, sf):
     incremental_run(spark, "monthly", edges, manifest, I.feeds_ev(spark, sf), consumers, rows, totals, out, path, I.AS_OF)
     written = spark.read.parquet(out)
     return written.select("feed", day("batch_date").alias("batch_date"), "n_rows", F.round("total", 2).alias("total"))
+
+
+@query(f"""WITH d AS (SELECT event_type AS feed, CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY ALL),
+c AS (SELECT *, (row_number() OVER (PARTITION BY feed ORDER BY d) - 1) // 10 AS chunk FROM d)
+SELECT feed, CAST(chunk AS BIGINT) AS chunk, count(*) AS n_batches, CAST(sum(n) AS BIGINT) AS n_rows, {sql_day('min(d)')} AS first_date FROM c GROUP BY feed, chunk""")
+def incremental_chunks(spark, sf):
+    """A monthly consumer's backlog in chunks of ten batches, as its function sees them."""
+    out, path = scratch_dir(spark, "chunks"), scratch_dir(spark, "cursors")
+    edges = I.feeds_ev(spark, sf).select(F.lit("monthly").alias("consumer"), "feed")
+    consumers = edges.select("consumer").distinct().withColumns({"cron": F.lit("0 0 1 * *"), "chunk_threshold": F.lit(10)})
+    rows = I.events(spark, sf).select(F.col("event_type").alias("feed"), F.to_date("ts").alias("batch_date"))
+
+    def count(df):
+        return df.groupBy("feed", "batch_date", F.col("chunk_id").alias("chunk")).agg(F.count("*").alias("n_rows"))
+
+    incremental_run(spark, "monthly", edges, I.manifest_ev(spark, sf), I.feeds_ev(spark, sf), consumers, rows, count, out, path, I.AS_OF)
+    found = spark.read.parquet(out).groupBy("feed", "chunk")
+    return found.agg(F.count("*").alias("n_batches"), F.sum("n_rows").alias("n_rows"), day(F.min("batch_date")).alias("first_date"))
+
+
+@query(f"""SELECT o_orderstatus AS feed, {sql_day("date_trunc('year', o_orderdate)")} AS batch_date, count(*) AS n_rows,
+  round(sum(o_totalprice), 2) AS total, {sql_day("max(date_trunc('year', o_orderdate)) OVER (PARTITION BY o_orderstatus)")} AS last_date
+FROM orders GROUP BY o_orderstatus, date_trunc('year', o_orderdate)""")
+def incremental_sequential(spark, sf):
+    """A consumer of the feeds' own pace, year by year: what it wrote and where its cursors stand."""
+    out, path = scratch_dir(spark, "yearly"), scratch_dir(spark, "cursors")
+    year = F.date_trunc("year", "o_orderdate").cast("date")
+    rows = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderstatus").alias("feed"), year.alias("batch_date"), "o_totalprice")
+    manifest = with_file_names(rows.groupBy("feed", "batch_date").agg(F.count("*").alias("n_rows")))
+    feeds = rows.select("feed").distinct().withColumn("interval_s", F.lit(365 * 86400.0))
+    edges = feeds.select(F.lit("yearly").alias("consumer"), "feed")
+    consumers = edges.select("consumer").distinct().withColumn("interval_s", F.lit(365 * 86400.0))
+
+    def totals(df):
+        return df.groupBy("feed", "batch_date").agg(F.count("*").alias("n_rows"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+    incremental_run(spark, "yearly", edges, manifest, feeds, consumers, rows, totals, out, path, I.AS_OF)
+    stand = C.load_cursors(spark, path).select("feed", day("last_date").alias("last_date"))
+    return spark.read.parquet(out).join(stand, "feed").select("feed", day("batch_date").alias("batch_date"), "n_rows", "total", "last_date")
