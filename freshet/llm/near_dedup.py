@@ -30,6 +30,8 @@ SIMILARITY = 85  # per cent
 BANDS, ROWS = 25, 5
 # Registers estimate a similarity of 0.85 with a standard error of 0.032; links below this estimate are six of these away.
 LEAST_ESTIMATE = 0.65
+# agreeing registers of a link are 85 % of all, give or take 3 %; below this share none is likely
+LEAST_AGREED = 0.55
 BLOCK = 256
 
 SKETCH = "id long, k long, t long, node binary, n long, registers binary"
@@ -82,7 +84,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in range(ROWS):
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + values[:, :, r])
         own = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), batch.column("node").take(own)], ["band", "node"])
+        number = pa.array(np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows))
+        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), number, batch.column("node").take(own)], ["band", "number", "node"])
 
 
 def _alike(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -103,43 +106,61 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
 
+def _set(z: bytes) -> np.ndarray:
+    """The sorted hashes of the distinct shingles of a packed text."""
+    part = pa.RecordBatch.from_arrays([pa.array([zstandard.decompress(z).decode()])], ["text"])
+    return next(_shingles(part))[1]
+
+
+def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= SIMILARITY * (len(a) + len(b) - both)
+
+
 def _block(table: pa.Table) -> pa.Table:
-    """Likely pairs across two blocks of a group (or within one), of nodes in different components."""
-    side, root = table.column("side").to_numpy(), np.array(table.column("root").to_pylist(), object)
+    """Links across two blocks of a group (or within one), of nodes in different components.
+
+    A pair is compared in the first band that it shares, and confirmed here: only links leave the task.
+    """
+    side, number = table.column("side").to_numpy(), table.column("number")[0].as_py()
     node, n = table.column("node").combine_chunks(), table.column("n").to_numpy()
-    registers = _matrix(table.column("registers").combine_chunks())
+    root = np.unique([r.hex() for r in table.column("root").to_pylist()], return_inverse=True)[1]
+    registers, texts = _matrix(table.column("registers").combine_chunks()), table.column("z")
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    for i, x in enumerate(left):
-        others = right if len(right) else left[i + 1 :]
-        others = others[root[others] != root[x]]
-        if len(others):
-            good = _alike(np.broadcast_to(registers[x], (len(others), BANDS * ROWS)), registers[others], np.broadcast_to(n[x], len(others)), n[others])
-            found.append((np.full(int(good.sum()), x), others[good]))
-    a = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
-    b = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
+    within = not len(right)
+    right = left if within else right
+    sets: dict[int, np.ndarray] = {}
+    found: list[tuple[int, int]] = []
+    for at in range(0, len(left), 32):
+        some = left[at : at + 32]
+        equal = registers[some][:, None, :] == registers[right][None, :, :]
+        first = equal.reshape(len(some), len(right), BANDS, ROWS).all(axis=3).argmax(axis=2)
+        # far fewer agreements than any estimate worth a look would have
+        near = (equal.sum(axis=2) >= LEAST_AGREED * BANDS * ROWS) & (first == number) & (root[some][:, None] != root[right][None, :])
+        x, y = np.nonzero(near)
+        x, y = some[x], right[y]
+        if within:
+            x, y = x[x < y], y[x < y]
+        good = _alike(registers[x], registers[y], n[x], n[y])
+        for i, j in zip(x[good].tolist(), y[good].tolist()):
+            for k in (i, j):
+                if k not in sets:
+                    sets[k] = _set(texts[k].as_py())
+            if _linked(sets[i], sets[j]):
+                found.append((i, j))
+    a, b = np.array(found, np.int64).reshape(-1, 2).T
     return pa.table([node.take(pa.array(a)), node.take(pa.array(b))], names=["a", "b"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs whose full shingle sets are similar enough."""
+    """The pairs whose full shingle sets are similar enough; pairs come sorted by a."""
     last: tuple[bytes | None, np.ndarray] = (None, np.zeros(0, np.uint64))
     for batch in batches:
         keep = []
         for za, zb in zip(batch.column("za"), batch.column("zb")):
-            sets = []
-            for z in (za.as_py(), zb.as_py()):
-                if z is not last[0] and z != last[0]:
-                    text = zstandard.decompress(z).decode()
-                    part = pa.RecordBatch.from_arrays([pa.array([text])], ["text"])
-                    found = next(_shingles(part))[1]
-                    if not sets:
-                        last = (z, found)
-                else:
-                    found = last[1]
-                sets.append(found)
-            both = len(np.intersect1d(*sets, assume_unique=True))
-            keep.append(100 * both >= SIMILARITY * (len(sets[0]) + len(sets[1]) - both))
+            if (z := za.as_py()) != last[0]:
+                last = (z, _set(z))
+            keep.append(_linked(last[1], _set(zb.as_py())))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -159,7 +180,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     marks = nodes.select("node", "n", "registers")
 
     # groups of at least two, each with a hub; a group that many nodes share is one row here
-    banded = nodes.select("node", "registers").mapInArrow(_bands, "band long, node binary")
+    banded = nodes.select("node", "registers").mapInArrow(_bands, "band long, number int, node binary")
     hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     grouped = settled(banded.join(hubs, "band"), "band-groups")
     spokes = grouped.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
@@ -171,18 +192,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     roots = components(links)
 
     # nodes of one group that are still apart; those of groups of two have met already
-    placed = grouped.where("size > 2").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    placed = grouped.where("size > 2").join(roots, "node", "left").select("band", "number", "node", F.coalesce("root", "node").alias("root"))
     apart = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo != hi")
     apart = settled(placed.join(apart.select("band", F.ceil(F.col("size") / BLOCK).alias("blocks")), "band"), "apart")
     if not apart.isEmpty():
         own = F.pmod(F.xxhash64("node"), F.col("blocks"))
         dealt = apart.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "root")
-        rest = dealt.join(marks, "node").groupBy("band", "i", "j").applyInArrow(lambda group: _block(group), "a binary, b binary")
-        # every pair once, whichever bands it shares; pairs that have met a hub together are known
-        rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        rest = settled(rest.join(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
-        more = settled(_confirmed(rest, nodes, texts), "more-links")
+        dealt = dealt.select("band", "number", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "root")
+        packed = _texts_of(apart.select("node").distinct(), nodes, texts)
+        blocks = dealt.join(marks, "node").join(packed, "node").groupBy("band", "i", "j")
+        more = settled(blocks.applyInArrow(lambda group: _block(group), "a binary, b binary"), "more-links")
         roots = components(links.union(more)) if not more.isEmpty() else roots
 
     full = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -192,12 +211,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _texts_of(wanted: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, z: the packed text of every wanted node."""
+    needed = nodes.select("node", "k", "t").join(wanted, "node", "left_semi")
+    # rows that repeat id and text are one document: any of them will do
+    return settled(texts.join(needed, ["k", "t"]).groupBy("node").agg(F.first("z").alias("z")), "texts")
+
+
 def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Joins pairs to the texts of their nodes and keeps the links."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    needed = nodes.select("node", "k", "t").join(ends, "node", "left_semi")
-    # rows that repeat id and text are one document: any of them will do
-    held = settled(texts.join(needed, ["k", "t"]).groupBy("node").agg(F.first("z").alias("z")), "texts")
+    held = _texts_of(ends, nodes, texts)
     a, b = (held.select(F.col("node").alias(x), F.col("z").alias(f"z{x}")) for x in "ab")
     joined = pairs.join(a, "a").join(b, "b").select("a", "b", "za", "zb").sortWithinPartitions("a")
     return joined.mapInArrow(_confirm, "a binary, b binary")

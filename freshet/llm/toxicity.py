@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from freshet.llm.common import ABOVE, IS_BREAK, LOWER, eights, hash_spans, mix, padded, raw, slices, words
 from freshet.llm.labelmodel import ABSTAIN, fit_label_model, fit_linear
 
-FIT_ROWS = 12_000  # labelled rows that the model is fitted on, at most about
+FIT_ROWS = 8_000  # labelled rows that the model is fitted on, at most about
 PREFIXES = (4, 5, 6, 7)  # bytes of word beginnings
 SLOTS = 1 << 20
 VOTERS = 120  # lexicon voters, at most
@@ -115,7 +115,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     y = sample["y"].to_numpy()
     lists = [np.frombuffer(s, np.int32) for s in sample["slots"]]
     facts = np.stack([np.frombuffer(f, np.float64) for f in sample["facts"]])
-    flat, row = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    flat, row = np.concatenate(lists), np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
+    del sample, lists[1:]
     yes = np.bincount(flat[y[row] == 1], minlength=SLOTS)
     no = np.bincount(flat[y[row] == 0], minlength=SLOTS)
     n1, n0 = (y == 1).sum(), (y == 0).sum()
@@ -125,10 +126,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     mined = np.flatnonzero((odds > LEAST_ODDS) & (sure > LEAST_SURE))
     mined = mined[np.argsort(-sure[mined], kind="stable")]
     chosen = np.unique(np.concatenate((mined[:FEATURES], seeds)))
-    at = np.full(SLOTS, -1)
+    at = np.full(SLOTS, -1, np.int32)
     at[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(lists), len(chosen)), np.float32)
-    used = at[flat] >= 0
+    x = np.zeros((len(y), len(chosen)), np.float32)
+    used = np.flatnonzero(at[flat] >= 0)
     x[row[used], at[flat[used]]] = 1
 
     voters = at[np.unique(np.concatenate((mined[:VOTERS], seeds)))]
