@@ -18,6 +18,9 @@ from freshet.llm.quality import REJECT_BELOW, fit_quality, score_quality
 from freshet.llm.queries import table, tokenizer_path
 from freshet.session import scratch_dir
 
+# per cent; op2 has a threshold of its own
+SIMILARITY = 80
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -39,8 +42,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest identifier of every group of near-duplicates."""
-    return _only(docs, near_groups(docs.select("doc_id", "text")).where("kept"))
+    """The document with the smallest identifier of every group of near-duplicates, linked from a similarity of 0.80 on."""
+    return _only(docs, near_groups(docs.select("doc_id", "text"), similarity=SIMILARITY).where("kept"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,9 @@ registers; every link is then confirmed on the full shingle sets.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +28,37 @@ from freshet.session import settled
 
 SHINGLE = 5
 SIMILARITY = 85  # per cent
-# A pair of similarity 0.85 agrees in no band with probability (1 - 0.85 ** ROWS) ** BANDS = 4e-7.
-BANDS, ROWS = 25, 5
-# Registers estimate a similarity of 0.85 with a standard error of 0.032; links below this estimate are six of these away.
-LEAST_ESTIMATE = 0.65
-# agreeing registers of a link are 85 % of all, give or take 3 %; below this share none is likely
-LEAST_AGREED = 0.55
+ROWS = 5
+MISSED = 4.5e-7  # at most this share of pairs at the threshold itself meets in no band
 BLOCK = 256
 
+@dataclass(frozen=True)
+class Bound:
+    """The similarity in per cent from which texts are linked, and what the candidates of that threshold need."""
+
+    similarity: int
+
+    @property
+    def bands(self) -> int:
+        """A pair at the threshold agrees in no band with probability (1 - similarity ** ROWS) ** bands: 25 bands at 85, 40 at 80."""
+        return 5 * math.ceil(math.log(MISSED) / math.log(1 - (self.similarity / 100) ** ROWS) / 5)
+
+    def _below(self, errors: int) -> float:
+        """So many standard errors of the registers below the threshold, rounded down to a twentieth."""
+        share = self.similarity / 100
+        return math.floor(20 * (share - errors * math.sqrt(share * (1 - share) / (self.bands * ROWS)))) / 20
+
+    @property
+    def estimate(self) -> float:
+        """No link is estimated below this: 0.65 at 85, 0.60 at 80."""
+        return self._below(6)
+
+    @property
+    def agreed(self) -> float:
+        """No link agrees in a smaller share of its registers: 0.55 at 85, 0.50 at 80."""
+        return self._below(9)
+
+
 SKETCH = "id long, k long, t long, node binary, n long, registers binary"
 
 
@@ -54,8 +79,8 @@ def _shingles(part: pa.RecordBatch) -> Iterator[tuple[bytes, np.ndarray]]:
             yield digest, mix(np.array([int.from_bytes(digest[:8], "little")], np.uint64)) if b > a else np.zeros(0, np.uint64)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sketch = SetSketch(BANDS * ROWS)
+def _sketch(batches: Iterator[pa.RecordBatch], bands: int) -> Iterator[pa.RecordBatch]:
+    sketch = SetSketch(bands * ROWS)
     for batch in batches:
         for part in slices(batch, "text"):
             nodes, sizes, registers = [], [], []
@@ -69,40 +94,40 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.Array, bands: int) -> np.ndarray:
     data, _ = raw(column)
-    return data.view(np.uint16).reshape(len(column), BANDS * ROWS)
+    return data.view(np.uint16).reshape(len(column), bands * ROWS)
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bands(batches: Iterator[pa.RecordBatch], bands: int) -> Iterator[pa.RecordBatch]:
     """A row per node and band, keyed by the band's registers."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        values = _matrix(batch.column("registers")).astype(np.uint64).reshape(batch.num_rows, BANDS, ROWS)
-        key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (batch.num_rows, BANDS)).copy()
+        values = _matrix(batch.column("registers"), bands).astype(np.uint64).reshape(batch.num_rows, bands, ROWS)
+        key = np.broadcast_to(np.arange(bands, dtype=np.uint64), (batch.num_rows, bands)).copy()
         for r in range(ROWS):
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + values[:, :, r])
-        own = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
-        number = pa.array(np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows))
+        own = pa.array(np.repeat(np.arange(batch.num_rows), bands))
+        number = pa.array(np.tile(np.arange(bands, dtype=np.int32), batch.num_rows))
         yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), number, batch.column("node").take(own)], ["band", "number", "node"])
 
 
-def _alike(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+def _alike(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, bound: Bound) -> np.ndarray:
     """Whether pairs can be links, by size and by the likelihood of their registers."""
-    good = 100 * np.minimum(na, nb) >= SIMILARITY * np.maximum(na, nb)
+    good = 100 * np.minimum(na, nb) >= bound.similarity * np.maximum(na, nb)
     at = np.flatnonzero(good)
     if len(at):
         a, b = ra[at], rb[at]
-        good[at] = jaccard((a > b).sum(1), (a < b).sum(1), (a == b).sum(1), na[at], nb[at]) >= LEAST_ESTIMATE
+        good[at] = jaccard((a > b).sum(1), (a < b).sum(1), (a == b).sum(1), na[at], nb[at]) >= bound.estimate
     return good
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _likely(batches: Iterator[pa.RecordBatch], bound: Bound) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            good = _alike(_matrix(batch.column("ra")), _matrix(batch.column("rb")), na, nb)
+            good = _alike(_matrix(batch.column("ra"), bound.bands), _matrix(batch.column("rb"), bound.bands), na, nb, bound)
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
 
@@ -112,12 +137,12 @@ def _set(z: bytes) -> np.ndarray:
     return next(_shingles(part))[1]
 
 
-def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+def _linked(a: np.ndarray, b: np.ndarray, bound: Bound) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= SIMILARITY * (len(a) + len(b) - both)
+    return 100 * both >= bound.similarity * (len(a) + len(b) - both)
 
 
-def _block(table: pa.Table) -> pa.Table:
+def _block(table: pa.Table, bound: Bound) -> pa.Table:
     """Links across two blocks of a group (or within one), of nodes in different components.
 
     A pair is compared in the first band that it shares, and confirmed here: only links leave the task.
@@ -125,7 +150,7 @@ def _block(table: pa.Table) -> pa.Table:
     side, number = table.column("side").to_numpy(), table.column("number")[0].as_py()
     node, n = table.column("node").combine_chunks(), table.column("n").to_numpy()
     root = np.unique([r.hex() for r in table.column("root").to_pylist()], return_inverse=True)[1]
-    registers, texts = _matrix(table.column("registers").combine_chunks()), table.column("z")
+    registers, texts = _matrix(table.column("registers").combine_chunks(), bound.bands), table.column("z")
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     within = not len(right)
     right = left if within else right
@@ -134,25 +159,25 @@ def _block(table: pa.Table) -> pa.Table:
     for at in range(0, len(left), 32):
         some = left[at : at + 32]
         equal = registers[some][:, None, :] == registers[right][None, :, :]
-        first = equal.reshape(len(some), len(right), BANDS, ROWS).all(axis=3).argmax(axis=2)
+        first = equal.reshape(len(some), len(right), bound.bands, ROWS).all(axis=3).argmax(axis=2)
         # far fewer agreements than any estimate worth a look would have
-        near = (equal.sum(axis=2) >= LEAST_AGREED * BANDS * ROWS) & (first == number) & (root[some][:, None] != root[right][None, :])
+        near = (equal.sum(axis=2) >= bound.agreed * bound.bands * ROWS) & (first == number) & (root[some][:, None] != root[right][None, :])
         x, y = np.nonzero(near)
         x, y = some[x], right[y]
         if within:
             x, y = x[x < y], y[x < y]
-        good = _alike(registers[x], registers[y], n[x], n[y])
+        good = _alike(registers[x], registers[y], n[x], n[y], bound)
         for i, j in zip(x[good].tolist(), y[good].tolist()):
             for k in (i, j):
                 if k not in sets:
                     sets[k] = _set(texts[k].as_py())
-            if _linked(sets[i], sets[j]):
+            if _linked(sets[i], sets[j], bound):
                 found.append((i, j))
     a, b = np.array(found, np.int64).reshape(-1, 2).T
     return pa.table([node.take(pa.array(a)), node.take(pa.array(b))], names=["a", "b"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(batches: Iterator[pa.RecordBatch], bound: Bound) -> Iterator[pa.RecordBatch]:
     """The pairs whose full shingle sets are similar enough; pairs come sorted by a."""
     last: tuple[bytes | None, np.ndarray] = (None, np.zeros(0, np.uint64))
     for batch in batches:
@@ -160,35 +185,36 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for za, zb in zip(batch.column("za"), batch.column("zb")):
             if (z := za.as_py()) != last[0]:
                 last = (z, _set(z))
-            keep.append(_linked(last[1], _set(zb.as_py())))
+            keep.append(_linked(last[1], _set(zb.as_py()), bound))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, kept.
 
     Shingles are five words in lower case (A-Z), words being separated by white space; a shorter text is one shingle.
-    Texts with a similarity of 0.85 or more are linked; component_id is the smallest id reachable over links and
+    Texts with a similarity of ``similarity`` per cent or more are linked; component_id is the smallest id reachable over links and
     kept says that it is the row's own. A text without words, or null, is linked with nothing. A null id comes after all
     others, and is its component's id only if no member has another. Rows that repeat an id share its result if their
     texts are equal, and are linked like any others if not. Other columns are ignored.
     """
+    bound = Bound(similarity)
     keys = keyed(docs, id_col, text_col)
-    rows = settled(keys.mapInArrow(_sketch, SKETCH), "sketches")
+    rows = settled(keys.mapInArrow(lambda part: _sketch(part, bound.bands), SKETCH), "sketches")
     classes = rows.where("n > 0").groupBy("node").agg(F.min(F.struct("k", "t")).alias("d"), F.max("n").alias("n"), F.first("registers").alias("registers"))
     nodes = settled(classes.select("node", "d.k", "d.t", "n", "registers"), "nodes")
     marks = nodes.select("node", "n", "registers")
 
     # groups of at least two, each with a hub; a group that many nodes share is one row here
-    banded = nodes.select("node", "registers").mapInArrow(_bands, "band long, number int, node binary")
+    banded = nodes.select("node", "registers").mapInArrow(lambda part: _bands(part, bound.bands), "band long, number int, node binary")
     hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     grouped = settled(banded.join(hubs, "band"), "band-groups")
     spokes = grouped.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
 
     pa_, pb_ = (marks.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}")) for x in "ab")
-    likely = settled(spokes.join(pa_, "a").join(pb_, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely, "a binary, b binary"), "likely")
+    likely = settled(spokes.join(pa_, "a").join(pb_, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(lambda part: _likely(part, bound), "a binary, b binary"), "likely")
     texts = squeezed(keys)
-    links = settled(_confirmed(likely, nodes, texts), "links")
+    links = settled(_confirmed(likely, nodes, texts, bound), "links")
     roots = components(links)
 
     # nodes of one group that are still apart; those of groups of two have met already
@@ -201,7 +227,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         dealt = dealt.select("band", "number", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "root")
         packed = _texts_of(apart.select("node").distinct(), nodes, texts)
         blocks = dealt.join(marks, "node").join(packed, "node").groupBy("band", "i", "j")
-        more = settled(blocks.applyInArrow(lambda group: _block(group), "a binary, b binary"), "more-links")
+        more = settled(blocks.applyInArrow(lambda group: _block(group, bound), "a binary, b binary"), "more-links")
         roots = components(links.union(more)) if not more.isEmpty() else roots
 
     full = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -218,10 +244,10 @@ def _texts_of(wanted: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFram
     return settled(texts.join(needed, ["k", "t"]).groupBy("node").agg(F.first("z").alias("z")), "texts")
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, bound: Bound) -> DataFrame:
     """Joins pairs to the texts of their nodes and keeps the links."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     held = _texts_of(ends, nodes, texts)
     a, b = (held.select(F.col("node").alias(x), F.col("z").alias(f"z{x}")) for x in "ab")
     joined = pairs.join(a, "a").join(b, "b").select("a", "b", "za", "zb").sortWithinPartitions("a")
-    return joined.mapInArrow(_confirm, "a binary, b binary")
+    return joined.mapInArrow(lambda part: _confirm(part, bound), "a binary, b binary")
