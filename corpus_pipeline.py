@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.llm.bpe import encode_decode
+from freshet.llm.common import doc_key
 from freshet.llm.decontaminate import find_contamination
 from freshet.llm.exact_dedup import exact_groups
 from freshet.llm.near_dedup import near_groups
 from freshet.llm.quality import REJECT_BELOW, fit_quality, score_quality
 from freshet.llm.queries import table, tokenizer_path
-from freshet.session import scratch_dir
+from freshet.session import scratch_dir, settled
 
 # per cent; op2 has a threshold of its own
 SIMILARITY = 80
@@ -30,25 +31,41 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("_quality_score") >= REJECT_BELOW).drop("_quality_score")
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose identifier is among ``kept``; a null identifier matches a null one."""
-    ids = kept.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept"]), "left_semi")
+def _only(docs: DataFrame, decided: DataFrame, once: bool = False) -> DataFrame:
+    """The rows of ``docs`` that ``decided`` keeps by their key of identifier and text; with ``once``, one row of every key.
+
+    Of rows that repeat a key the least stays, by their columns from left to right.
+    """
+    keys = decided.groupBy("k", "t").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("kept")
+    keys = settled(keys.select(F.col("k").alias("_kept_k"), F.col("t").alias("_kept_t"), "n"), "kept-keys")
+
+    def rows(of: DataFrame) -> DataFrame:
+        k, t = doc_key("doc_id", "text")
+        return docs.join(of, (k == of["_kept_k"]) & (t == of["_kept_t"]), "left_semi")
+
+    if not once:
+        return rows(keys.drop("n"))
+    repeated = keys.where("n > 1").drop("n")
+    if repeated.isEmpty():
+        return rows(keys.drop("n"))
+    least = rows(repeated).groupBy(*doc_key("doc_id", "text")).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row"))
+    return rows(keys.where("n = 1").drop("n")).unionByName(least.select("_row.*"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of equal texts. Rows that repeat a kept identifier stay together."""
-    return _only(docs, exact_groups(docs.select("doc_id", "text")).where("kept"))
+    """One row of every group of equal texts."""
+    return _only(docs, exact_groups(docs.select("doc_id", "text"), with_key=True), once=True)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest identifier of every group of near-duplicates, linked from a similarity of 0.80 on."""
-    return _only(docs, near_groups(docs.select("doc_id", "text"), similarity=SIMILARITY).where("kept"))
+    """One row of every group of near-duplicates, linked from a similarity of 0.80 on: the one with the smallest identifier."""
+    return _only(docs, near_groups(docs.select("doc_id", "text"), similarity=SIMILARITY, with_key=True), once=True)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
-    return _only(docs, find_contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).where("n_hit = 0"))
+    """Rows without any window of a benchmark item."""
+    found = find_contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"), with_key=True)
+    return _only(docs, found.select("k", "t", (F.col("n_hit") == 0).alias("kept")))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

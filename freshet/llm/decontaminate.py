@@ -91,13 +91,13 @@ class _Grams:
         return np.concatenate(tokens), np.concatenate(places)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", with_key: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_hit, items (sorted as strings), spans (covered word ranges).
 
     Words are runs of ASCII letters and digits and of anything beyond ASCII, in lower case. A word is hit if it lies
     in an occurrence of a window. Null texts have no words; an item without words has no windows; an item with a null
     id has windows but is not listed; items that repeat an id are one. Rows of ``docs`` that repeat id and text get
-    the same result. An empty benchmark hits nothing. Other columns are ignored.
+    the same result. An empty benchmark hits nothing. Other columns are ignored. ``with_key`` adds k and t, the key of ``doc_key``.
     """
     read = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     listed = settled(read.mapInArrow(_windows, "item string, w string, n long, tokens array<long>"), "windows")
@@ -163,4 +163,5 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         F.coalesce(covered, F.lit(0)).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         F.coalesce("spans", F.array().cast("array<struct<s: long, e: long>>")).alias("spans"),
+        *(["k", "t"] if with_key else []),
     )

@@ -189,14 +189,15 @@ def _confirm(batches: Iterator[pa.RecordBatch], bound: Bound) -> Iterator[pa.Rec
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY, with_key: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, kept.
 
     Shingles are five words in lower case (A-Z), words being separated by white space; a shorter text is one shingle.
     Texts with a similarity of ``similarity`` per cent or more are linked; component_id is the smallest id reachable over links and
     kept says that it is the row's own. A text without words, or null, is linked with nothing. A null id comes after all
     others, and is its component's id only if no member has another. Rows that repeat an id share its result if their
-    texts are equal, and are linked like any others if not. Other columns are ignored.
+    texts are equal, and are linked like any others if not. Other columns are ignored. ``with_key`` adds k and t, the key of
+    ``doc_key``, and kept is then true for one key of a component, the least: of texts that share its id one stays.
     """
     bound = Bound(similarity)
     keys = keyed(docs, id_col, text_col)
@@ -231,10 +232,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         roots = components(links.union(more)) if not more.isEmpty() else roots
 
     full = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = full.where("n > 0").groupBy("root").agg(F.min("k").alias("least"))
+    least = full.where("n > 0").groupBy("root").agg(F.min("k").alias("least"), *([F.min(F.struct("k", "t")).alias("least_key")] if with_key else []))
     own = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("k"))
     out = full.join(least, "root", "left").withColumn("component_id", F.when(own != NO_ID, own))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    kept = F.col("id").eqNullSafe(F.col("component_id"))
+    if with_key:
+        kept = (F.col("n") == 0) | (F.struct("k", "t") == F.col("least_key"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), *(["k", "t"] if with_key else []))
 
 
 def _texts_of(wanted: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:

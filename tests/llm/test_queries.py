@@ -149,3 +149,30 @@ def test_pipeline_links_from_80_per_cent(spark, make_docs):
     # of 296 shingles every change takes 5: similarities of 0.844, 0.816 and 0.762
     texts = [" ".join(base), copy(*range(20, 270, 50)), copy(*range(20, 270, 45)), copy(*range(20, 270, 32)[:8])]
     assert sorted(r["doc_id"] for r in run_stage(spark, 2, make_docs(texts)).collect()) == [0, 3]
+
+
+def test_pipeline_decides_by_row(spark, make_docs):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    a, b = (" ".join(f"{x}{n}" for n in range(300)) for x in "ab")
+    near_a = a.replace("a150 ", "other ")
+    rows = [(1, a), (1, a), (1, b), (2, near_a), (0, b), (None, "c d e"), (None, "c d e"), (None, "c d  e"), (4, None), (4, ""), (3, "fine"), (3, "x " + item)]
+    docs = make_docs([x for _, x in rows], [i for i, _ in rows])
+
+    def left(n, docs):
+        out = run_stage(spark, n, docs)
+        assert out.columns == docs.columns
+        return out, sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr)
+
+    # equal rows are one, and a copy goes although another row of its identifier stays
+    exact, got = left(1, docs)
+    assert [x for x in got if x[0] != 4] == sorted([(1, a), (2, near_a), (0, b), (None, "c d  e"), (3, "fine"), (3, "x " + item)], key=repr)
+    assert len([x for x in got if x[0] == 4]) == 1
+    _, got = left(2, docs)
+    assert [x for x in got if x[0] not in (4, None)] == sorted([(1, a), (0, b), (3, "fine"), (3, "x " + item)], key=repr)
+    assert len([x for x in got if x[0] == 4]) == 1 and len([x for x in got if x[0] is None]) == 1
+    # within one identifier, too
+    _, got = left(2, make_docs([a, near_a], [1, 1]))
+    assert len(got) == 1
+    # only the contaminated row goes; repeated clean rows are not this stage's to decide
+    _, got = left(3, docs)
+    assert got == sorted([x for x in rows if x[1] != "x " + item], key=repr)
