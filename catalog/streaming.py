@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.registry import day, query, sql_day, sql_stamp, stamp
+from catalog.registry import day, query, sql_day, sql_stamp, stamp, table
 from freshet.session import scratch_dir
+from freshet.sources.cursors import load_cursors
 from freshet.streaming.freshness import keep_updates, latest_updates, stream_freshness
 from freshet.streaming.pending import stream_pending
 
@@ -36,3 +37,28 @@ def streamed_batches(spark, sf):
     checkpoint = scratch_dir(spark, "checkpoint")
     stream_pending(spark, sf, EVENTS, "reader", "events", handle, glob="events.parquet", checkpoint=checkpoint).awaitTermination()
     return spark.read.parquet(out).drop("trigger")
+
+
+@query("""SELECT consumer, 'batch_date=' || week AS file_name, n_rows, total, max(week) OVER () AS last_date
+FROM (SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, count(*) AS n_rows, round(sum(value), 2) AS total FROM events WHERE ts IS NOT NULL GROUP BY 1)
+CROSS JOIN (VALUES ('fast'), ('slow')) c(consumer)""")
+def streamed_dated_batches(spark, sf):
+    """Weekly batches of several part files, consumed by two streams of different pace, with a cursor table."""
+    root, cursors = scratch_dir(spark, "dated"), scratch_dir(spark, "cursors")
+    events = table(spark, sf, "events").where("ts IS NOT NULL")
+    weekly = events.withColumn("batch_date", F.to_date(F.date_trunc("week", "ts")))
+    weekly.repartition(3, "event_id").write.partitionBy("batch_date").parquet(root)
+    found = None
+    for consumer, files in (("slow", 2), ("fast", 7)):
+        out = scratch_dir(spark, "batches")
+
+        def handle(rows, trigger, out=out):
+            rows.groupBy("file_name").agg(F.count("*").alias("n_rows"), F.sum("value").alias("total")).write.mode("overwrite").parquet(f"{out}/trigger={trigger}")
+
+        checkpoint = scratch_dir(spark, "checkpoint")
+        stream_pending(spark, root, EVENTS, consumer, "events", handle, files, cursors_path=cursors, checkpoint=checkpoint).awaitTermination()
+        totals = spark.read.parquet(out).groupBy("file_name").agg(F.sum("n_rows").alias("n_rows"), F.round(F.sum("total"), 2).alias("total"))
+        totals = totals.select(F.lit(consumer).alias("consumer"), "file_name", "n_rows", "total")
+        found = totals if found is None else found.unionByName(totals)
+    at = load_cursors(spark, cursors).select("consumer", day("last_date").alias("last_date"))
+    return found.join(at, "consumer", "left").select("consumer", "file_name", "n_rows", "total", "last_date")

@@ -20,6 +20,21 @@ def file_system(spark: SparkSession, path: str):
     return fs, fs.makeQualified(where)
 
 
+def batch_name(below: Column) -> Column:
+    """The batch of a file, from its path below the root: part files stand for their folder; right below the root each is on its own."""
+    return F.when(below.rlike("/part-[^/]*$"), F.regexp_replace(below, "/[^/]*$", "")).otherwise(below)
+
+
+def batch_files(spark: SparkSession, root: str, glob: str = "*.parquet") -> DataFrame:
+    """below (the path below an existing ``root``), file_name (the batch) and length of every file."""
+    _, top = file_system(spark, root)
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    )
+    below = F.substr("path", F.lit(len(top.toString().rstrip("/")) + 2))
+    return files.select(below.alias("below"), batch_name(below).alias("file_name"), "length")
+
+
 def list_batches(spark: SparkSession, root: str, glob: str = "*.parquet", feed: str | None = None) -> DataFrame:
     """Manifest of the batches below ``root``; a root that does not exist has none.
 
@@ -31,18 +46,11 @@ def list_batches(spark: SparkSession, root: str, glob: str = "*.parquet", feed:
     fs, top = file_system(spark, root)
     if not fs.exists(top):
         return spark.createDataFrame([], MANIFEST)
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    )
-    prefix = len(top.toString().rstrip("/")) + 2
-    below = F.substr("path", F.lit(prefix))
-    # part files stand for their folder; right below root each is on its own
-    name = F.when(below.rlike("/part-[^/]*$"), F.regexp_replace(below, "/[^/]*$", "")).otherwise(below)
     last = F.regexp_extract("file_name", "([^/]*)$", 1)
     base = F.regexp_replace(F.regexp_replace(last, r"[_=]?[0-9]{4}-[0-9]{2}-[0-9]{2}.*$", ""), r"\.[^.]*$", "")
     base = F.coalesce(F.nullif(F.regexp_extract("file_name", "(?:^|/)feed=([^/]+)/", 1), F.lit("")), base)
     return (
-        files.select(name.alias("file_name"), "length")
+        batch_files(spark, root, glob)
         .groupBy("file_name")
         .agg(F.count("*").alias("n_files"), F.sum("length").alias("n_bytes"))
         .select(

@@ -4,16 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from freshet.functions.names import batch_date
 from freshet.session import shared_dir
-from freshet.sources.batches import file_system
+from freshet.sources.batches import batch_files, batch_name, file_system
 from freshet.sources.cursors import advance_cursors, save_cursors
 
 
+def _below(path: Column, inside: str) -> Column:
+    """A file's path below the root whose encoded path is ``inside``, decoded as listings have it."""
+    relative = F.substr(path, F.instr(path, inside) + len(inside))
+    return F.url_decode(F.replace(relative, F.lit("+"), F.lit("%2B")))
+
+
+def _finished(spark: SparkSession, root: str, glob: str, inside: str, log: str) -> DataFrame:
+    """file_name, batch_date of the batches that a cursor may cover: wholly read, and dated before every listed batch that is not.
+
+    What has been read comes from the stream's own log of files, so that files without rows count, too.
+    """
+    entries = spark.read.text(log).where("value LIKE '{%'").select(F.get_json_object("value", "$.path").alias("path"))
+    read = entries.select(_below(F.col("path"), inside).alias("below")).distinct()
+    left = batch_files(spark, root, glob).join(read, "below", "left_anti").select("file_name").distinct()
+    whole = read.select(batch_name(F.col("below")).alias("file_name")).distinct().join(left, "file_name", "left_anti")
+    whole = whole.withColumn("batch_date", batch_date("file_name"))
+    limit = left.agg(F.min(batch_date("file_name"))).first()[0]
+    return whole if limit is None else whole.where(F.col("batch_date").isNull() | (F.col("batch_date") < F.lit(limit)))
+
+
 def stream_pending(
     spark: SparkSession,
     root: str,
@@ -28,18 +48,17 @@ def stream_pending(
 ) -> StreamingQuery:
     """Process the batch files of a feed that this consumer has not seen, then stop.
 
-    ``fn(rows, trigger)`` gets the rows of at most ``max_batches`` files with ``feed, file_name, batch_date``; 1 goes
-    file by file. It may be called again with the same trigger number after a failure, so it should replace
+    ``fn(rows, trigger)`` gets the rows of at most ``max_batches`` files with ``feed, file_name, batch_date``, named as in
+    ``list_batches``; 1 goes file by file, and a batch of several files may come in several calls. It may be called again with the same trigger number after a failure, so it should replace
     its output. ``checkpoint`` defaults to a folder per edge in the shared one; consumers never affect
-    each other. With ``cursors_path`` the cursor table follows after each trigger, and only forward.
+    each other. With ``cursors_path`` the cursor table follows after each trigger, only forward, and only up to
+    the last date before which every listed batch has been read whole: what a stopped stream has not read stays pending.
 
     The file source hands files out by modification time and takes late ones too. Where consumption must
     follow the dates in the names across triggers, use :func:`freshet.plans.incremental.incremental_run`.
     """
     _, top = file_system(spark, root)
     inside = top.toUri().getRawPath().rstrip("/") + "/"
-    path = F.col("_metadata.file_path")
-    relative = F.substr(path, F.instr(path, inside) + len(inside))
     rows = (
         spark.readStream.schema(schema)
         .option("maxFilesPerTrigger", max_batches)
@@ -47,17 +66,19 @@ def stream_pending(
         .option("recursiveFileLookup", True)
         .parquet(root)
         .withColumn("feed", F.lit(feed))
-        .withColumn("file_name", F.split_part(relative, F.lit("/"), F.lit(1)))
+        .withColumn("file_name", batch_name(_below(F.col("_metadata.file_path"), inside)))
         .withColumn("batch_date", batch_date("file_name"))
     )
 
+    where = checkpoint or f"{shared_dir(spark)}/streams/{consumer}/{feed}"
+
     def handle(batch: DataFrame, trigger: int) -> None:
         fn(batch, trigger)
         if cursors_path:
-            done = batch.select(F.lit(consumer).alias("consumer"), "feed", "batch_date", "file_name").distinct()
+            whole = _finished(spark, root, glob, inside, f"{where}/sources/0")
+            done = whole.select(F.lit(consumer).alias("consumer"), F.lit(feed).alias("feed"), "batch_date", "file_name")
             save_cursors(advance_cursors(done), cursors_path, forward=True)
 
-    where = checkpoint or f"{shared_dir(spark)}/streams/{consumer}/{feed}"
     return (
         rows.writeStream.foreachBatch(handle)
         .option("checkpointLocation", where)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -290,3 +291,53 @@ def test_stream_pending(spark, tmp_path):
     assert seen["a"][2:] == [[("2026-05-03", 7)]] and len(seen["b"]) == 3
     got = {r.consumer: r.last_file for r in C.load_cursors(spark, path).collect()}
     assert got == {"a": "x_2026-05-03.parquet", "b": "x_2026-05-03.parquet"}
+
+
+def test_stream_cursor_waits_for_whole_batches(spark, tmp_path):
+    root, path = tmp_path / "feed", str(tmp_path / "cursors")
+    # by modification time: two files of the 2nd, two of the 3rd, then the two of the 1st; folders lie deeper and have odd names
+    for at, day in enumerate((2, 3, 1)):
+        folder = root / "a+b c" / f"x_2026-05-{day:02d}.parquet"
+        spark.range(4, numPartitions=2).write.parquet(str(folder))
+        for n, part in enumerate(sorted(folder.glob("part-*"))):
+            os.utime(part, (1_700_000_000 + 100 * at + 10 * n,) * 2)
+
+    def consume(fail_at=None):
+        def fn(rows, trigger):
+            names.update(r.file_name for r in rows.select("file_name").distinct().collect())
+            if trigger == fail_at:
+                raise RuntimeError("stopped")
+
+        q = stream_pending(spark, str(root), "id long", "c", "x", fn, 1, cursors_path=path, checkpoint=str(tmp_path / "cp"))
+        if fail_at is None:
+            return q.awaitTermination()
+        with pytest.raises(Exception, match="stopped"):
+            q.awaitTermination()
+
+    names = set()
+    consume(fail_at=4)
+    # both later batches are read, but the first one is still pending
+    assert C.load_cursors(spark, path).count() == 0
+    consume(fail_at=5)
+    assert C.load_cursors(spark, path).count() == 0
+    consume()
+    assert [(r.last_file, str(r.last_date)) for r in C.load_cursors(spark, path).collect()] == [("a+b c/x_2026-05-03.parquet", "2026-05-03")]
+    assert names == {r.file_name for r in B.list_batches(spark, str(root)).collect()}
+
+
+def test_stream_cursor_stops_before_a_part_read_batch(spark, tmp_path):
+    root, path = tmp_path / "feed", str(tmp_path / "cursors")
+    for day in (1, 2):
+        folder = root / f"x_2026-05-{day:02d}.parquet"
+        spark.range(4, numPartitions=2).write.parquet(str(folder))
+        for n, part in enumerate(sorted(folder.glob("part-*"))):
+            os.utime(part, (1_700_000_000 + 100 * day + 10 * n,) * 2)
+
+    def fn(rows, trigger):
+        if trigger == 3:
+            raise RuntimeError("stopped")
+
+    q = stream_pending(spark, str(root), "id long", "c", "x", fn, 1, cursors_path=path, checkpoint=str(tmp_path / "cp"))
+    with pytest.raises(Exception, match="stopped"):
+        q.awaitTermination()
+    assert [str(r.last_date) for r in C.load_cursors(spark, path).collect()] == ["2026-05-01"]
