@@ -11,15 +11,17 @@ from freshet.llm.bpe import encode_decode
 from freshet.llm.chat import format_chats
 from freshet.llm.decontaminate import find_contamination
 from freshet.llm.exact_dedup import exact_groups
+from freshet.llm.filter_audit import audit_filters
 from freshet.llm.near_dedup import near_groups
 from freshet.llm.quality import classify_quality
 from freshet.llm.substring_dedup import remove_repeats
 from freshet.llm.suffix_dedup import remove_repeated_bytes
+from freshet.llm.token_files import read_tokens, write_tokens
 from freshet.llm.toxicity import classify_toxicity
 from freshet.llm.warc import read_warc, resolved, write_warc
 from freshet.session import scratch_dir
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, WORD_TOKENIZER = "byte_bpe_50k.json", "word_bpe_49k.json"
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -135,11 +137,11 @@ def op6_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     """Where the public tokenizers are installed, which is the same on every executor."""
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 @query()
@@ -174,4 +176,42 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     return classify_quality(table(spark, sf, "documents"))
 
 
+@query(
+    r"""
+    WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+         l AS (SELECT doc_id, max((quality = 1)::INT) AS g, max((toxic = 1)::INT) AS x FROM labels GROUP BY doc_id),
+         f AS (SELECT t.part, coalesce(l.g, 0) AS g, coalesce(l.x, 0) AS tox, len(w) < 50 AS "A", 100 * len(list_distinct(w)) < 65 * len(w) AS "B",
+                      100 * (length(t.x) - length(regexp_replace(t.x, '[A-Z]', '', 'g'))) > 5 * length(t.x) AS "C",
+                      regexp_matches(t.x, '[#$%&*|]') AS "D", doc_id > min(doc_id) OVER (PARTITION BY t.x) AS "E" FROM t LEFT JOIN l USING (doc_id)),
+         m AS (SELECT part, (CASE WHEN "A" THEN 'A' ELSE '' END) || (CASE WHEN "B" THEN 'B' ELSE '' END) || (CASE WHEN "C" THEN 'C' ELSE '' END)
+                      || (CASE WHEN "D" THEN 'D' ELSE '' END) || (CASE WHEN "E" THEN 'E' ELSE '' END) AS fails, count(*) AS n, sum(g) AS g, sum(tox) AS t
+               FROM f GROUP BY ALL),
+         a AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+         o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM a, a b, a c, a d, a e
+               WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+         s AS (SELECT part, filter_order, step, filter_order[step] AS own, n, g, t, fails = filter_order[step] AS alone, contains(fails, filter_order[step]) AS hit,
+                      fails <> '' AND translate(fails, filter_order[1:step - 1], '') <> fails AS gone
+               FROM m, o, (SELECT unnest(range(1, 6)) AS step)),
+         r AS (SELECT part, filter_order, step, any_value(own) AS own, sum(CASE WHEN NOT gone AND NOT hit THEN n ELSE 0 END) AS kept, sum(CASE WHEN hit AND NOT gone THEN n ELSE 0 END) AS removed,
+                      sum(CASE WHEN hit AND gone THEN n ELSE 0 END) AS redundant, sum(CASE WHEN alone THEN n ELSE 0 END) AS unique_fails,
+                      sum(CASE WHEN hit AND NOT gone THEN g ELSE 0 END) AS good_lost, sum(CASE WHEN hit AND NOT gone THEN t ELSE 0 END) AS toxic_lost
+               FROM s GROUP BY part, filter_order, step)
+    SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+           good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+    FROM r
+    """
+)
+def op12_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """What five filters remove in every order, by source, and what each is worth."""
+    return audit_filters(table(spark, sf, "documents"), table(spark, sf, "labels")).drop("potential", "potential_without")
+
+
+@query()
+def op11_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's place among all token ids, their number and checksum, as read back from files."""
+    path = scratch_dir(spark, "tokens")
+    write_tokens(table(spark, sf, "documents"), path, tokenizer_path(WORD_TOKENIZER))
+    return read_tokens(spark, path).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
