@@ -13,6 +13,7 @@ from freshet.llm.decontaminate import find_contamination
 from freshet.llm.exact_dedup import exact_groups
 from freshet.llm.filter_audit import audit_filters
 from freshet.llm.near_dedup import near_groups
+from freshet.llm.prefix_trie import conversation_trie
 from freshet.llm.quality import classify_quality
 from freshet.llm.substring_dedup import remove_repeats
 from freshet.llm.suffix_dedup import remove_repeated_bytes
@@ -214,4 +215,39 @@ def op11_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return read_tokens(spark, path).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query(
+    """
+    WITH RECURSIVE
+         crc AS (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS v FROM range(256) t(i)),
+         tab AS (SELECT list(v ORDER BY i) AS t FROM crc),
+         o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p,
+                      coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+         h AS (SELECT c, n, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                      lambda a, b: xor(a // 256, t[xor(a % 256, b) + 1])), 4294967295) % 9 AS h
+               FROM (SELECT c, count(*) AS n FROM o GROUP BY c), tab),
+         k AS (SELECT h.c, h.n, h.h, least(h.h, coalesce(b.n, 0)) AS taken, h.c - h.c % 5 AS base FROM h LEFT JOIN h b ON b.c = h.c - h.c % 5),
+         r AS (SELECT k.c, o.p AS d, o.role, o.text FROM k JOIN o ON o.c = k.base AND o.p <= k.taken
+               UNION ALL SELECT k.c, o.p - k.h + k.taken, o.role, o.text FROM k JOIN o ON o.c = k.c AND o.p > k.h),
+         s AS (SELECT c, d, text, list(length(role) || ':' || role || length(text) || ':' || text) OVER w AS path FROM r
+               WINDOW w AS (PARTITION BY c ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+         m AS (SELECT c, d, sha256(array_to_string(path, '')) AS node, strlen(text) AS bytes FROM s UNION ALL SELECT c, 0, '', 0 FROM k),
+         x AS (SELECT c, max(d) AS last FROM m GROUP BY c),
+         nd AS (SELECT d, node, min(c) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+                       string_agg(CASE WHEN d = last THEN c::VARCHAR END, ',' ORDER BY c) AS ends FROM m JOIN x USING (c) GROUP BY d, node),
+         up AS (SELECT nd.*, a.node AS pnode FROM nd LEFT JOIN m a ON a.c = nd.conv_id AND a.d = nd.d - 1),
+         kids AS (SELECT d - 1 AS d, pnode AS node, count(*) AS n_children FROM up WHERE d > 0 GROUP BY ALL),
+         f AS (SELECT up.*, coalesce(n_children, 0) AS n_children FROM up LEFT JOIN kids USING (d, node)),
+         -- every node to itself and all nodes above it: the prefixes of its smallest member
+         sub AS (SELECT a.d, a.node, sum(CASE WHEN f.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((f.n_convs - 1) * f.bytes) AS saved_tokens
+                 FROM f JOIN m a ON a.c = f.conv_id AND a.d <= f.d GROUP BY a.d, a.node)
+    SELECT f.conv_id, f.d::BIGINT AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children::BIGINT AS n_children, sub.n_leaves::BIGINT AS n_leaves, sub.saved_tokens::BIGINT AS saved_tokens,
+           sha256(coalesce(f.ends, '')) AS ends_sha256
+    FROM f JOIN sub USING (d, node) LEFT JOIN nd p ON p.d = f.d - 1 AND p.node = f.pnode
+    """
+)
+def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes of the trie of rebuilt conversations, with what sharing their turns saves."""
+    return conversation_trie(table(spark, sf, "conversations"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
