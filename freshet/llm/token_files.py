@@ -8,8 +8,11 @@ documents of every block. ``write_tokens`` collects these indexes next to the fi
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -20,7 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from freshet.llm.common import NO_ID, doc_key, raw, slices
+from freshet.llm.bpe import byte_alphabet
+from freshet.llm.common import NO_ID, doc_key, slices
 from freshet.llm.packed import bundle, unbundle
 from freshet.session import settled
 
@@ -34,15 +38,23 @@ _BLOCK, _INDEX = b"TB1", b"TI1"
 # kind, planes, mask; file, block, first id of the file, ids, first document of the file, documents, length of the document part
 _HEAD = struct.Struct("<3sBB7q")
 _MASKED_FROM = 5
-# words that a worker remembers, and the longest of them
-KNOWN_WORDS, KNOWN_LENGTH = 400_000, 128
+# words that a worker remembers, about, and the longest of them
+KNOWN_WORDS, KNOWN_LENGTH = 1_000_000, 64
+# Fixed value: how the tokenizer that WordEncoder knows best cuts a text into pieces.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# letters of ASCII and the Latin-1 block, which normalisation leaves alone but for their case, and marks behind them
+LATIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?()]*)")
 SLICE_BYTES = 1 << 20
 # ids that fetch_ids returns at most: it is for a look at some, not for reading a corpus
 FETCH_IDS = 1 << 22
 
 
 class WordEncoder:
-    """A tokenizer of the ``tokenizers`` library that drops white space: every distinct word is encoded once and remembered."""
+    """A tokenizer of the ``tokenizers`` library that drops white space: every distinct word is encoded once and remembered.
+
+    A word of Latin letters, perhaps with marks behind it, is one or two pieces for a tokenizer that lower-cases and parts letters
+    from marks; these go straight to its model. All other words take the library's whole way.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -52,25 +64,56 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         # blanks around and between words must neither leave a trace nor join what they part
-        if self._ids(["a\n b\tc "])[0] != b"".join(self._ids(["a", "b", "c"])):
+        if self._whole(["a\n b\tc "])[0] != b"".join(self._whole(["a", "b", "c"])):
             raise ValueError("not a tokenizer that drops white space")
+        self.direct = self._is_direct(path)
+        self.bytes = {b: c for b, c in enumerate(byte_alphabet())}
         self.known: dict[bytes, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    @staticmethod
+    def _is_direct(path: str) -> bool:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = [[x["type"] for x in (spec.get(k) or {}).get(v, [])] for k, v in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+        pattern = (spec["pre_tokenizer"]["pretokenizers"][0].get("pattern") or {}).get("Regex") if steps[1] else None
+        return steps == [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]] and pattern == PIECES and spec["model"].get("dropout") is None
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        texts, out, rest = [w.decode() for w in words], {}, []
+        tokens = self.tokenizer.model.tokenize
+        for word, text in zip(words, texts):
+            found = LATIN.fullmatch(text) if self.direct and len(word) <= KNOWN_LENGTH else None
+            if found is None:
+                rest.append((word, text))
+                continue
+            letters, marks = found.group(1).lower(), found.group(2)
+            if not letters.isascii():
+                letters = letters.encode().decode("latin-1").translate(self.bytes)
+            ids = [x.id for x in tokens(letters)]
+            if marks:
+                ids += [x.id for x in tokens(marks)]
+            out[word] = array("I", ids).tobytes()
+        out.update(zip([w for w, _ in rest], self._whole([x for _, x in rest])))
+        self.known.update((w, i) for w, i in out.items() if len(w) <= KNOWN_LENGTH)
+        return out
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """The ids of every text as little-endian unsigned 32-bit integers."""
-        # white space of ASCII parts words in every such tokenizer; all else is left to the library
-        parts = [x.encode().split() for x in texts]
         if len(self.known) > KNOWN_WORDS:
             self.known.clear()
-        known = self.known
-        new = list({w for p in parts for w in p if w not in known})
-        fresh = dict(zip(new, self._ids([w.decode() for w in new])))
-        known.update((w, i) for w, i in fresh.items() if len(w) <= KNOWN_LENGTH)
-        fresh.update((w, known[w]) for p in parts for w in p if w not in fresh)
-        return [b"".join([fresh[w] for w in p]) for p in parts]
+        known, out = self.known, []
+        for text in texts:
+            # white space of ASCII parts words in every such tokenizer; all else is left to the library
+            words = text.encode().split()
+            ids = list(map(known.get, words))
+            if None in ids:
+                fresh = self._learn(list({w for w, i in zip(words, ids) if i is None}))
+                ids = [fresh[w] if i is None else i for w, i in zip(words, ids)]
+            out.append(b"".join(ids))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -167,9 +210,9 @@ def _pack(batches: Iterator[pa.RecordBatch], block_ids: int, planes: str) -> Ite
     block = first = first_doc = offset = 0
     index: list[tuple[int, int, int, int, int, int]] = []
 
-    def record(n: int) -> pa.RecordBatch:
+    def record(n: int, end: bool = False) -> pa.RecordBatch:
         nonlocal held, docs, places, block, first, first_doc, offset
-        here = int(np.searchsorted(places, n))
+        here = len(docs) if end else int(np.searchsorted(places, n))
         value = block_record(file, block, first, held[:n], first_doc, docs[:here], places[:here], planes)
         index.append((offset, len(value), first, n, first_doc, here))
         held, docs, places = held[n:], docs[here:], places[here:] - n
@@ -187,7 +230,7 @@ def _pack(batches: Iterator[pa.RecordBatch], block_ids: int, planes: str) -> Ite
             while len(held) > block_ids:
                 yield record(block_ids)
     if len(docs) or len(held):
-        yield record(len(held))
+        yield record(len(held), end=True)
     if index:
         columns = dict(zip(("offset", "length", "first", "n_ids", "first_doc", "n_docs"), np.array(index, np.int64).T))
         value = _sealed((_INDEX, 0, file, block, 0, first, 0, first_doc, 0), bundle(**columns))

@@ -30,7 +30,7 @@ def test_query(spark, con, name):
 def test_contract():
     known = contract.queries()
     assert set(QUERIES) <= set(known) and "pipeline" in known
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_chat_query_keeps_every_turn(spark):
