@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.registry import table
@@ -14,7 +14,11 @@ AS_OF = "2024-01-31 12:00:00"
 
 # --- events: feed = event type, consumer = nation ---------------------------------------------
 
-EVENT_FEEDS = ["click", "view", "purchase", "error", "signup"]
+
+def declared(df: DataFrame, feed: Column) -> Column:
+    """The feeds that occur in a table, as the array that consumers declare; one name per feed comes to the driver."""
+    found = df.select(feed.alias("feed")).where("feed IS NOT NULL").distinct().orderBy("feed").collect()
+    return F.array(*[F.lit(r["feed"]) for r in found]).cast("array<string>")
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
@@ -33,7 +37,7 @@ def feeds_ev(spark: SparkSession, sf: str) -> DataFrame:
         .when(F.col("feed") == "error", "0 1 * * *")
         .otherwise("0 0 * * 0")
     )
-    return events(spark, sf).select(F.col("event_type").alias("feed")).distinct().withColumn("cron", cron)
+    return events(spark, sf).select(F.col("event_type").alias("feed")).where("feed IS NOT NULL").distinct().withColumn("cron", cron)
 
 
 def consumers_ev(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,8 +49,8 @@ def consumers_ev(spark: SparkSession, sf: str) -> DataFrame:
         .when(region == 3, "0 */6 * * *")
         .otherwise("0 0 1 * *")
     )
-    declared = F.filter(F.array(*map(F.lit, EVENT_FEEDS)), lambda f: (key + F.length(f)) % 2 == 0)
-    return table(spark, sf, "nation").select(key.alias("consumer"), cron.alias("cron"), declared.alias("feeds"))
+    feeds = F.filter(declared(events(spark, sf), F.col("event_type")), lambda f: (key + F.length(f)) % 2 == 0)
+    return table(spark, sf, "nation").select(key.alias("consumer"), cron.alias("cron"), feeds.alias("feeds"))
 
 
 def edges_ev(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,7 +61,7 @@ def cursors_ev(spark: SparkSession, sf: str) -> DataFrame:
     """Some nations never ran, some hold a name without a date, some are past the last batch."""
     n = F.col("consumer")
     nation = table(spark, sf, "nation").select(F.col("n_nationkey").alias("consumer"))
-    feeds = nation.where(n % 6 != 5).withColumn("feed", F.explode(F.array(*map(F.lit, EVENT_FEEDS))))
+    feeds = nation.where(n % 6 != 5).withColumn("feed", F.explode(declared(events(spark, sf), F.col("event_type"))))
     date = F.date_add(F.lit("2024-01-01").cast("date"), (n * 7) % 32)
     file = F.when(n % 8 == 3, "manual_load").otherwise(dated_name(F.col("feed"), date, ".parquet"))
     return feeds.withColumn("last_file", file).withColumn("last_date", batch_date("last_file"))
@@ -68,8 +72,8 @@ MANIFEST_EV = """manifest_ev AS (
          event_type || '_' || CAST(CAST(ts AS DATE) AS VARCHAR) || '.parquet' AS file_name
   FROM events GROUP BY event_type, CAST(ts AS DATE))"""
 FEEDS_EV = """feeds_ev AS (
-  SELECT feed, CAST(s AS DOUBLE) AS interval_s FROM (VALUES ('click', 3600), ('view', 21600), ('purchase', 86400),
-    ('error', 86400), ('signup', 604800)) AS t(feed, s))"""
+  SELECT feed, CAST(CASE feed WHEN 'click' THEN 3600 WHEN 'view' THEN 21600 WHEN 'purchase' THEN 86400 WHEN 'error' THEN 86400 ELSE 604800 END AS DOUBLE) AS interval_s
+  FROM (SELECT DISTINCT event_type AS feed FROM events WHERE event_type IS NOT NULL))"""
 CONSUMERS_EV = """consumers_ev AS (
   SELECT n_nationkey AS consumer, CAST(CASE n_regionkey WHEN 0 THEN 3600 WHEN 1 THEN 86400 WHEN 2 THEN 604800
     WHEN 3 THEN 21600 ELSE 2505600 END AS DOUBLE) AS interval_s FROM nation)"""
@@ -105,8 +109,6 @@ report AS (
 
 # --- lineitem: feed = return flag and line status, consumer = supplier ------------------------
 
-LINE_FEEDS = ["AF", "AO", "NF", "NO", "RF", "RO"]
-
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "lineitem")
@@ -118,7 +120,7 @@ def manifest_li(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def edges_li(spark: SparkSession, sf: str) -> DataFrame:
-    feeds = F.array(*map(F.lit, LINE_FEEDS)).alias("feeds")
+    feeds = declared(lines(spark, sf), F.col("feed")).alias("feeds")
     return explode_edges(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("consumer"), feeds))
 
 
@@ -134,7 +136,7 @@ MANIFEST_LI = """manifest_li AS (
   SELECT l_returnflag || l_linestatus AS feed, CAST(l_shipdate AS DATE) AS batch_date, count(*) AS n_rows,
          l_returnflag || l_linestatus || '_' || CAST(CAST(l_shipdate AS DATE) AS VARCHAR) || '.parquet' AS file_name
   FROM lineitem GROUP BY 1, 2, 4)"""
-KNOWN_LI = """feeds_li AS (SELECT feed FROM (VALUES ('AF'), ('AO'), ('NF'), ('NO'), ('RF'), ('RO')) AS t(feed)),
+KNOWN_LI = """feeds_li AS (SELECT DISTINCT l_returnflag || l_linestatus AS feed FROM lineitem WHERE l_returnflag || l_linestatus IS NOT NULL),
 known_li AS (
   SELECT s_suppkey AS consumer, feed,
     CASE WHEN s_suppkey % 10 IN (8, 9) THEN NULL ELSE DATE '1995-01-02' + CAST((s_suppkey * 23) % 2500 AS INT) END AS last_date
@@ -157,7 +159,7 @@ def manifest_or(spark: SparkSession, sf: str) -> DataFrame:
 
 def edges_or(spark: SparkSession, sf: str) -> DataFrame:
     """Every nation reads every priority."""
-    feeds = F.array(*[F.lit(p) for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")])
+    feeds = declared(table(spark, sf, "orders"), F.col("o_orderpriority"))
     return explode_edges(table(spark, sf, "nation").select(F.col("n_nationkey").alias("consumer"), feeds.alias("feeds")))
 
 

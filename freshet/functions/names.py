@@ -9,6 +9,10 @@ from pyspark.sql.types import TimestampType
 # Fixed values of the naming convention: data written by other producers relies on them.
 DATE_PATTERN = "([0-9]{4}-[0-9]{2}-[0-9]{2})"
 DATE_FORMAT = "yyyy-MM-dd"
+# names of hourly batches carry the hour behind the date
+HOUR_PATTERN = "([0-9]{4}-[0-9]{2}-[0-9]{2})T([0-9]{2})"
+HOUR_FORMAT = "yyyy-MM-dd'T'HH"
+GRAINS = ("day", "hour")
 FORMATS = {".parquet": "parquet", ".csv": "csv", ".json": "json", ".orc": "orc"}
 
 
@@ -21,6 +25,32 @@ def batch_date(name: Column | str) -> Column:
     return F.when(F.year(parsed) >= 1, parsed)
 
 
+def batch_hour(name: Column | str) -> Column:
+    """Start of the hour of the first ``YYYY-MM-DDTHH`` in a name or path, a zone-free time in UTC; null when that match is no real hour.
+
+    A name with a date only belongs to no hour.
+    """
+    date, hour = (F.regexp_extract(_col(name), HOUR_PATTERN, i) for i in (1, 2))
+    parsed = F.try_to_date(date, DATE_FORMAT)
+    # outside the year range of dates, or beyond 23 o'clock: no hour
+    good = (F.year(parsed) >= 1) & (hour.try_cast("int") < 24)
+    return F.when(good, F.concat(date, F.lit(" "), hour, F.lit(":00:00")).try_cast("timestamp_ntz"))
+
+
+def checked_grain(grain: str) -> str:
+    if grain not in GRAINS:
+        raise ValueError(f"grain must be 'day' or 'hour', got {grain!r}")
+    return grain
+
+
+def grain_of(df: DataFrame, date: str = "batch_date") -> str:
+    """The grain of a table's batches, by the type of their date: a date, or a zone-free time for hours."""
+    kind = dict(df.dtypes)[date]
+    if kind not in ("date", "timestamp_ntz"):
+        raise ValueError(f"{date} must be a date, or a timestamp_ntz for hours, not {kind}")
+    return "day" if kind == "date" else "hour"
+
+
 def dated_name(base: Column | str, as_of: Column | None, ext: Column | str) -> Column:
     """Name of a batch. ``base`` and ``ext`` given as ``str`` are literals; ``as_of=None`` is today in UTC."""
     day = F.to_date(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())) if as_of is None else as_of

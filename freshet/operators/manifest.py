@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.functions.cadence import wall_seconds
-from freshet.functions.names import DATE_FORMAT, in_utc
+from freshet.functions.names import DATE_FORMAT, HOUR_FORMAT, checked_grain, grain_of, in_utc
 
 
 def manifest_from_rows(df: DataFrame, feed: Column | str, ts: Column | str, grain: str = "day") -> DataFrame:
@@ -16,8 +16,7 @@ def manifest_from_rows(df: DataFrame, feed: Column | str, ts: Column | str, grai
     zone-free time. Counts and extremes combine before the shuffle, so a hot feed sends one row per task and batch.
     """
     feed, ts = (F.col(c) if isinstance(c, str) else c for c in (feed, ts))
-    if grain not in ("day", "hour"):
-        raise ValueError(f"grain must be 'day' or 'hour', got {grain!r}")
+    checked_grain(grain)
     utc = in_utc(df, ts)
     dated = utc.cast("date") if grain == "day" else F.date_trunc("hour", utc).cast("timestamp_ntz")
     return df.groupBy(feed.alias("feed"), dated.alias("batch_date")).agg(
@@ -36,8 +35,9 @@ def upsert_manifest(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def with_file_names(manifest: DataFrame, ext: str = ".parquet") -> DataFrame:
-    """Add the conventional ``file_name`` of each batch."""
-    name = F.concat("feed", F.lit("_"), F.date_format("batch_date", DATE_FORMAT), F.lit(ext))
+    """Add the conventional ``file_name`` of each batch, with the hour if batches are hourly."""
+    pattern = DATE_FORMAT if grain_of(manifest) == "day" else HOUR_FORMAT
+    name = F.concat("feed", F.lit("_"), F.date_format("batch_date", pattern), F.lit(ext))
     return manifest.withColumn("file_name", name)
 
 

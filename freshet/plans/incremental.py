@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.functions import cadence as K
+from freshet.functions.names import grain_of
 from freshet.operators.chunks import chunks_in_order
 from freshet.operators.pending import EDGE, assign_chunks, pending
 from freshet.operators.schedules import Instant
@@ -21,6 +22,13 @@ from freshet.sources.cursors import advance_cursors, load_cursors, save_cursors
 log = logging.getLogger(__name__)
 
 
+def _grain(manifest: DataFrame, rows: DataFrame) -> str:
+    grain = grain_of(manifest)
+    if grain_of(rows) != grain:
+        raise ValueError(f"the manifest has batches by {grain}, the rows have not")
+    return grain
+
+
 @dataclass
 class IncrementalRun:
     """What a run did. ``cursor_saved`` is false if the last save failed; the next run then repeats those batches."""
@@ -52,12 +60,12 @@ def incremental_run(
     others go batch by batch, oldest first and all undated ones of a feed together, as their rows cannot be told apart.
     In a parallel run the rows carry ``chunk_id``, which numbers consecutive chunks of as many batches as the consumer's
     threshold; it is dropped again before writing. Output is written before the cursor moves and replaces its
-    partitions, so repeating a batch is harmless. Cursors and partitions hold dates, so hourly manifests are refused.
+    partitions, so repeating a batch is harmless. Batches are days, or hours if batch_date is a timestamp_ntz in the manifest, in the rows
+    and in what ``fn`` returns; hours have cursors and partitions (``batch_date=…/batch_hour=…``) of their own.
     """
-    if dict(manifest.dtypes)["batch_date"] != "date":
-        raise ValueError("batches of a finer grain than a day would overwrite each other; date the manifest by day")
+    grain = _grain(manifest, rows)
     mine = edges.where(F.col("consumer") == consumer)
-    cursors = load_cursors(spark, cursors_path)
+    cursors = load_cursors(spark, cursors_path, grain=grain)
     # settled, as the gate and the plan both read it
     report = settled(freshness_report(mine, cursors, manifest, feeds, consumers, as_of, threshold), "report")
     plan = gate(report).select(*EDGE, "strategy")
@@ -83,7 +91,7 @@ def incremental_run(
             ids = batches.select(F.col("feed").alias("_feed"), F.col("batch_date").alias("_date"), "chunk_id").distinct()
             found = found.join(ids, (found["feed"] == ids["_feed"]) & found["batch_date"].eqNullSafe(ids["_date"])).drop("_feed", "_date")
         result = fn(found)
-        write_dated_by(result.drop("chunk_id") if chunked else result, out_root, "batch_date", by=["feed"])
+        write_dated_by(result.drop("chunk_id") if chunked else result, out_root, "batch_date", by=["feed"], grain=grain)
         try:
             save_cursors(advance_cursors(batches), cursors_path)
             saved = True
@@ -100,3 +108,63 @@ def incremental_run(
     one_by_one = todo.where(F.col("strategy") == K.SEQUENTIAL)
     rounds += chunks_in_order(one_by_one, work, "round")
     return IncrementalRun(consumer, todo, rounds, saved)
+
+
+@dataclass
+class SharedRun:
+    """What a run for several consumers did: the processed (consumer, feed, batch) rows, and the edges that had to wait."""
+
+    processed: DataFrame
+    waiting: DataFrame
+    cursor_saved: bool
+
+
+def incremental_run_all(
+    spark: SparkSession,
+    edges: DataFrame,
+    manifest: DataFrame,
+    feeds: DataFrame,
+    consumers: DataFrame,
+    rows: DataFrame,
+    fn: Callable[[DataFrame], DataFrame],
+    out_root: str,
+    cursors_path: str,
+    as_of: Instant,
+    threshold: int = K.CHUNK_THRESHOLD,
+    per_consumer: bool = False,
+) -> SharedRun:
+    """Process what all consumers have not consumed yet, reading every batch once however many wait for it.
+
+    A consumer with a blocked edge waits with all its edges, the others go on. The union of the needed batches is read once. By
+    default ``fn`` sees each of these rows once, and its result, which must carry ``feed`` and ``batch_date``, is copied to every consumer that waits
+    for the batch; with ``per_consumer`` the rows themselves are, with a column ``consumer`` that the result must carry, too. The output goes to
+    ``consumer=…/feed=…/batch_date=…``, in one job for all; then all cursors move in one save. Edges that have to go batch by batch
+    belong into :func:`incremental_run`.
+    """
+    grain = _grain(manifest, rows)
+    cursors = load_cursors(spark, cursors_path, grain=grain)
+    report = settled(freshness_report(edges, cursors, manifest, feeds, consumers, as_of, threshold), "report")
+    going = gate(report, "drop").select(*EDGE)
+    waiting = report.select(*EDGE, "is_blocked").join(going, EDGE, "left_anti")
+    # one row per edge and batch: the calendar bounds it, and it is read three times
+    todo = settled(pending(going, cursors, manifest).select(*EDGE, "batch_date", "file_name"), "pending")
+    names = todo.select(*EDGE, "batch_date").distinct().select(
+        F.col("consumer"), F.col("feed").alias("_feed"), F.col("batch_date").alias("_date")
+    )
+
+    def fanned(df: DataFrame) -> DataFrame:
+        return df.join(names, (F.col("feed") == F.col("_feed")) & F.col("batch_date").eqNullSafe(F.col("_date"))).drop("_feed", "_date")
+
+    if per_consumer:
+        # the join with the edges' batches is the choice of the needed ones, too
+        result = fn(fanned(rows))
+    else:
+        result = fanned(fn(read_pending(rows, todo, undated=True, settle=False)))
+    write_dated_by(result, out_root, "batch_date", by=["consumer", "feed"], grain=grain)
+    saved = True
+    try:
+        save_cursors(advance_cursors(todo), cursors_path)
+    except Exception:
+        log.exception("cursors not saved")
+        saved = False
+    return SharedRun(todo, waiting, saved)

@@ -1,4 +1,4 @@
-"""Cursors: the last consumed batch of each (consumer, feed) pair."""
+"""Cursors: the last consumed batch of each (consumer, feed) pair, kept as a log of what changed."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from freshet.operators.pending import EDGE
 from freshet.sources.batches import file_system
 
 CURSOR = (
-    "consumer string, feed string, last_file string, last_date date, last_at timestamp, pending array<string>"
+    "consumer string, feed string, last_file string, last_date date, last_at timestamp, pending array<string>, last_hour timestamp_ntz"
 )
 # Field names of cursor documents kept one JSON object per file.
 DOCUMENT = (
@@ -59,40 +59,78 @@ def read_cursor_documents(spark: SparkSession, path: str) -> DataFrame:
     return cursors_from_documents(docs.where("pipeline_id IS NOT NULL AND upstream_job_id IS NOT NULL"))
 
 
+# a save with this number's multiple writes all cursors; readers need the saves since the last one of these
+SNAPSHOT_EVERY = 16
+_LOGGED = CURSOR + ", version long"
+
+
+def _path(spark: SparkSession, text: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(text)
+
+
 def versions(spark: SparkSession, path: str) -> list[int]:
-    """Committed versions, oldest first. The job commit writes ``_SUCCESS`` last, so it marks a whole version."""
-    fs, top = file_system(spark, path)
-    if not fs.exists(top):
-        return []
-    found = []
-    for entry in fs.listStatus(top):
-        name = entry.getPath().getName()
-        done = spark._jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS")
-        if name.startswith("v") and name[1:].isdigit() and fs.exists(done):
-            found.append(int(name[1:]))
-    return sorted(found)
-
-
-def _numbers(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of all version folders, finished or not."""
-    fs, top = file_system(spark, path)
+    """Numbers of the committed saves that are still there, oldest first."""
+    fs, top = file_system(spark, f"{path.rstrip('/')}/commits")
     names = [e.getPath().getName() for e in fs.listStatus(top)] if fs.exists(top) else []
-    return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit())
+    return sorted(int(n) for n in names if n.isdigit())
+
+
+def _commit_path(path: str, number: int) -> str:
+    return f"{path.rstrip('/')}/commits/{number:010d}"
+
 
+def _commit(spark: SparkSession, path: str, number: int) -> tuple[str, str]:
+    """Kind (delta or snapshot) and data folder of a save; none, if its writer broke off between creating and writing the file."""
+    fs, where = file_system(spark, _commit_path(path, number))
+    stream = fs.open(where)
+    try:
+        kind, _, data = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").partition(" ")
+    finally:
+        stream.close()
+    return kind, data
 
-def _version_path(path: str, number: int) -> str:
-    return f"{path.rstrip('/')}/v{number:08d}"
 
+def _since_snapshot(spark: SparkSession, path: str) -> tuple[int, list[str]]:
+    """The newest number and the data folders that make up the table: the newest snapshot and the deltas after it."""
+    known, folders = versions(spark, path), []
+    for number in reversed(known):
+        kind, data = _commit(spark, path, number)
+        if data:
+            folders.append(f"{path.rstrip('/')}/data/{data}")
+        if kind == "snapshot":
+            break
+    return (known[-1] if known else 0), folders
 
-def load_cursors(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """All cursors of the newest committed version; none if nothing was ever saved.
 
-    A pair without a row has never run, see :func:`freshet.operators.pending.edges_with_cursors`.
+def _newest(rows: DataFrame) -> DataFrame:
+    rest = [c for c in rows.columns if c not in EDGE]
+    return rows.groupBy(*EDGE).agg(F.max_by(F.struct(*rest), "version").alias("_row")).select(*EDGE, "_row.*")
+
+
+def _logged(spark: SparkSession, folders: list[str], fmt: str) -> DataFrame:
+    if not folders:
+        return spark.createDataFrame([], _LOGGED)
+    return _newest(spark.read.schema(_LOGGED).format(fmt).load(folders))
+
+
+def load_cursors(spark: SparkSession, path: str, fmt: str = "parquet", grain: str = "day") -> DataFrame:
+    """All cursors, each as last saved; none if nothing was ever saved.
+
+    A pair without a row has never run, see :func:`freshet.operators.pending.edges_with_cursors`. With the grain ``hour`` last_date is the
+    start of the last hour; a cursor that was saved by day stands at the end of its day then.
     """
-    known = versions(spark, path)
-    if not known:
-        return spark.createDataFrame([], CURSOR)
-    return spark.read.schema(CURSOR).format(fmt).load(_version_path(path, known[-1]))
+    if grain not in ("day", "hour"):
+        raise ValueError(f"grain must be 'day' or 'hour', got {grain!r}")
+    rows = _logged(spark, _since_snapshot(spark, path)[1], fmt).drop("version")
+    if grain == "day":
+        return rows
+    end_of_day = F.expr("CAST(last_date AS TIMESTAMP_NTZ) + INTERVAL 23 HOURS")
+    return rows.withColumn("last_date", F.coalesce("last_hour", end_of_day))
+
+
+def changed_cursors(spark: SparkSession, path: str, after: int, fmt: str = "parquet") -> DataFrame:
+    """Cursors that were saved after version ``after``, with that version."""
+    return _logged(spark, _since_snapshot(spark, path)[1], fmt).where(F.col("version") > after)
 
 
 def upsert_cursors(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -100,41 +138,83 @@ def upsert_cursors(old: DataFrame, new: DataFrame) -> DataFrame:
     return new.unionByName(old.join(new, EDGE, "left_anti"))
 
 
+def _typed(cursors: DataFrame) -> DataFrame:
+    """Rows of the cursor table's columns; a last_date that is an instant is its hour, and the date that of the hour."""
+    kind = dict(cursors.dtypes).get("last_date", "date")
+    if kind == "timestamp_ntz":
+        cursors = cursors.withColumn("last_hour", F.date_trunc("hour", "last_date").cast("timestamp_ntz")).withColumn("last_date", F.to_date("last_date"))
+    elif kind != "date":
+        raise ValueError(f"last_date is a date, or a timestamp_ntz for hours, not {kind}")
+    if "last_hour" not in cursors.columns:
+        cursors = cursors.withColumn("last_hour", F.lit(None).cast("timestamp_ntz"))
+    return cursors.to(cursors.sparkSession.createDataFrame([], CURSOR).schema)
+
+
 def save_cursors(cursors: DataFrame, path: str, fmt: str = "parquet", forward: bool = False) -> int:
-    """Upsert by (consumer, feed) into a new version and return its number.
+    """Append these (consumer, feed) pairs to the log of cursors, and return the save's number.
 
-    Readers keep seeing the previous version until the new one is complete: it is written under a name of its own and
-    renamed at the end. What a crash left behind is passed over, by number. Of two writers with the same number the later fails. With
-    ``forward``, a dated cursor never moves back: the row with the later date stays.
+    Only the given pairs are written, but for every ``SNAPSHOT_EVERY``-th save, which writes all of them and drops what no reader
+    needs any more: saves before the last snapshot but one. Data is written under a name of its own and becomes visible by a file with the
+    next number, which only one writer can create: of two at a time the later fails, and what a crash left behind is never
+    seen. With ``forward``, a dated cursor never moves back: the row with the later date stays.
     """
-    if dict(cursors.dtypes).get("last_date", "date") != "date":
-        raise ValueError("cursors hold dates; batches of a finer grain have no place in them")
     spark = cursors.sparkSession
-    typed = cursors.to(spark.createDataFrame([], CURSOR).schema)
-    old = load_cursors(spark, path, fmt)
+    typed = _typed(cursors)
+    last, folders = _since_snapshot(spark, path)
     if forward:
-        ahead = old.select(*EDGE, F.col("last_date").alias("_date")).where("_date IS NOT NULL")
-        typed = typed.join(ahead, EDGE, "left").where("_date IS NULL OR last_date > _date").drop("_date")
-    number = max(_numbers(spark, path), default=0) + 1
-    fs, top = file_system(spark, path)
-    draft, final = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (f"{path.rstrip('/')}/_draft-{uuid.uuid4().hex}", _version_path(path, number)))
-    upsert_cursors(old, typed).write.format(fmt).save(draft.toString())
-    if fs.exists(final) or not fs.rename(draft, final):
-        raise FileExistsError(f"another writer saved version {number} of {top}")
+        place = F.coalesce("last_hour", F.expr("CAST(last_date AS TIMESTAMP_NTZ)"))
+        ahead = _logged(spark, folders, fmt).select(*EDGE, place.alias("_place")).where("_place IS NOT NULL")
+        typed = typed.join(ahead, EDGE, "left").where(F.col("_place").isNull() | (place > F.col("_place"))).drop("_place")
+    number = last + 1
+    kind = "snapshot" if number % SNAPSHOT_EVERY == 0 else "delta"
+    rows = typed.withColumn("version", F.lit(number).cast("long"))
+    if kind == "snapshot":
+        rows = _newest(_logged(spark, folders, fmt).unionByName(rows))
+    data = f"{number:010d}-{uuid.uuid4().hex}"
+    rows.write.format(fmt).save(f"{path.rstrip('/')}/data/{data}")
+    fs, where = file_system(spark, _commit_path(path, number))
+    try:
+        stream = fs.create(where, False)
+    except Exception as exc:
+        raise FileExistsError(f"another writer saved version {number} of {path}") from exc
+    stream.write(bytearray(f"{kind} {data}", "utf-8"))
+    stream.close()
+    if kind == "snapshot":
+        drop_old_versions(spark, path, SNAPSHOT_EVERY)
     return number
 
 
-def drop_old_versions(spark: SparkSession, path: str, keep: int = 3) -> list[int]:
-    """Delete all but the ``keep`` newest committed versions."""
+def drop_old_versions(spark: SparkSession, path: str, keep: int = SNAPSHOT_EVERY) -> list[int]:
+    """Delete saves that none of the ``keep`` newest ones builds on; returns their numbers.
+
+    Frames that were loaded before such a save and not read yet lose their files.
+    """
     if keep < 1:
         raise ValueError(f"keep must be >= 1, got {keep}")
+    known = versions(spark, path)
+    snapshots = [n for n in known[: max(len(known) - keep + 1, 0)] if n % SNAPSHOT_EVERY == 0]
+    old = [n for n in known if snapshots and n < snapshots[-1]]
     fs, _ = file_system(spark, path)
-    old = versions(spark, path)[:-keep]
     for number in old:
-        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(_version_path(path, number)), True)
+        data = _commit(spark, path, number)[1]
+        fs.delete(_path(spark, _commit_path(path, number)), False)
+        if data:
+            fs.delete(_path(spark, f"{path.rstrip('/')}/data/{data}"), True)
     return old
 
 
+def record_check(found: DataFrame, path: str, fmt: str = "parquet") -> int:
+    """Write what a check found pending (``consumer, feed, pending_files``) next to the cursors, which stay where they are.
+
+    A pair that has never run gets a row without a last file, which is still a pair that has never run.
+    """
+    spark = found.sparkSession
+    last, folders = _since_snapshot(spark, path)
+    known = _logged(spark, folders, fmt).drop("pending", "version")
+    rows = found.select(*EDGE, F.coalesce("pending_files", F.array().cast("array<string>")).alias("pending")).join(known, EDGE, "left")
+    return save_cursors(rows.withColumn("last_file", F.coalesce("last_file", F.lit(""))), path, fmt)
+
+
 def advance_cursors(processed: DataFrame, now: Column | None = None) -> DataFrame:
     """Cursors after ``processed`` batches (``consumer, feed, batch_date, file_name``) succeeded.
 

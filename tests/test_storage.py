@@ -2,16 +2,17 @@
 
 import datetime as dt
 import json
-import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from freshet.operators import manifest as M
 from freshet.operators.pending import pending
 from freshet.plans.freshness import Blocked
-from freshet.plans.incremental import incremental_run
+from freshet.plans.incremental import incremental_run, incremental_run_all
 from freshet.sources import batches as B
 from freshet.sources import cursors as C
+from freshet.streaming import freshness as FR
 from freshet.streaming.pending import stream_pending
 
 DAY = dt.date(2026, 5, 3)
@@ -62,9 +63,10 @@ def test_cursor_table(spark, tmp_path):
     assert C.save_cursors(cursor_rows(spark, ("a", "b_c", "y2"), ("n", "f", "z1")), path) == 2
     got = {(r.consumer, r.feed): r.last_file for r in C.load_cursors(spark, path).collect()}
     assert got == {("a_b", "c"): "x1", ("a", "b_c"): "y2", ("n", "f"): "z1"}
-    # a version whose write did not finish is not seen
-    cursor_rows(spark, ("a", "b_c", "y3")).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{path}/v00000003")
+    # what a writer left behind that broke off is not seen: data without a commit, a commit without its text
+    cursor_rows(spark, ("a", "b_c", "y3")).write.parquet(f"{path}/data/0000000003-lost")
     assert C.versions(spark, path) == [1, 2]
+    (tmp_path / "cursors" / "commits" / "0000000003").write_text("")
     assert {r.last_file for r in C.load_cursors(spark, path).collect()} == {"x1", "y2", "z1"}
     # and the next save passes over it
     assert C.save_cursors(cursor_rows(spark, ("q", "r", "s")), path) == 4
@@ -72,15 +74,63 @@ def test_cursor_table(spark, tmp_path):
     assert {r.last_at for r in C.load_cursors(spark, path).collect()} == {dt.datetime(2026, 5, 3, 10)}
 
 
+def test_a_save_writes_what_changed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(C, "SNAPSHOT_EVERY", 4)
+    path = str(tmp_path / "cursors")
+    C.save_cursors(cursor_rows(spark, *[(f"c{i}", "f", "x0") for i in range(20)]), path)
+    written = []
+    for n in range(2, 11):
+        C.save_cursors(cursor_rows(spark, (f"c{n % 3}", "f", f"x{n}")), path)
+        kind, data = C._commit(spark, path, n)
+        written.append((kind, spark.read.parquet(f"{path}/data/{data}").count()))
+    assert written == [("snapshot", 20) if n % 4 == 0 else ("delta", 1) for n in range(2, 11)]
+    # the second snapshot let go of what was before the first one
+    assert C.versions(spark, path) == list(range(4, 11)) and len(list((tmp_path / "cursors" / "data").iterdir())) == 7
+    got = {r.consumer: r.last_file for r in C.load_cursors(spark, path).collect()}
+    assert len(got) == 20 and (got["c0"], got["c1"], got["c2"], got["c9"]) == ("x9", "x10", "x8", "x0")
+    assert {r.consumer for r in C.changed_cursors(spark, path, 8).collect()} == {"c0", "c1"}
+
+
+def test_one_writer_at_a_time(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "cursors")
+    C.save_cursors(cursor_rows(spark, ("c", "f", "x1")), path)
+    stale = C._since_snapshot(spark, path)
+    C.save_cursors(cursor_rows(spark, ("c", "f", "x2")), path)
+    monkeypatch.setattr(C, "_since_snapshot", lambda *_: stale)
+    with pytest.raises(FileExistsError, match="version 2"):
+        C.save_cursors(cursor_rows(spark, ("c", "f", "x3")), path)
+    monkeypatch.undo()
+    assert C.load_cursors(spark, path).first().last_file == "x2"
+
+
+def test_check_is_recorded(spark, tmp_path):
+    path = str(tmp_path / "cursors")
+    C.save_cursors(cursor_rows(spark, ("c", "f", "x_2026-05-03")), path)
+    found = spark.createDataFrame([("c", "f", ["a", "b"]), ("n", "f", None)], "consumer string, feed string, pending_files array<string>")
+    C.record_check(found, path)
+    got = {r.consumer: (r.last_file, r.last_date, r.pending) for r in C.load_cursors(spark, path).collect()}
+    assert got == {"c": ("x_2026-05-03", DAY, ["a", "b"]), "n": ("", None, [])}
+    edges = spark.createDataFrame([("n", "f")], "consumer string, feed string")
+    manifest = spark.createDataFrame([("f", DAY, "m")], "feed string, batch_date date, file_name string")
+    assert pending(edges, C.load_cursors(spark, path), manifest).count() == 1
+
+
 def test_cursor_only_forward(spark, tmp_path):
     path = str(tmp_path / "cursors")
     C.save_cursors(cursor_rows(spark, ("c", "f", "x_2026-05-03")), path, forward=True)
     older = cursor_rows(spark, ("c", "f", "x_2026-05-01"), ("c", "g", "y")).withColumn("last_date", F.lit("2026-05-01").cast("date"))
     C.save_cursors(older, path, forward=True)
     assert {(r.feed, r.last_file) for r in C.load_cursors(spark, path).collect()} == {("f", "x_2026-05-03"), ("g", "y")}
-    hourly = older.withColumn("last_date", F.lit("2026-05-01 03:00:00").cast("timestamp_ntz"))
-    with pytest.raises(ValueError, match="finer grain"):
-        C.save_cursors(hourly, path)
+    # hours are places of their own; a cursor by day stands at the end of its day
+    hourly = cursor_rows(spark, ("c", "h", "x")).withColumn("last_date", F.lit("2026-05-01 03:00:00").cast("timestamp_ntz"))
+    C.save_cursors(hourly, path, forward=True)
+    C.save_cursors(hourly.withColumn("last_date", F.lit("2026-05-01 02:00:00").cast("timestamp_ntz")), path, forward=True)
+    at = {r.feed: r.last_date for r in C.load_cursors(spark, path, grain="hour").collect()}
+    assert at == {"f": dt.datetime(2026, 5, 3, 23), "g": dt.datetime(2026, 5, 1, 23), "h": dt.datetime(2026, 5, 1, 3)}
+    assert {r.feed: str(r.last_date) for r in C.load_cursors(spark, path).collect()}["h"] == "2026-05-01"
+    for bad in (lambda: C.load_cursors(spark, path, grain="minute"), lambda: C.save_cursors(older.withColumn("last_date", F.lit("x")), path)):
+        with pytest.raises(ValueError):
+            bad()
 
 
 def test_cursor_times_without_zone_are_utc(spark):
@@ -113,13 +163,19 @@ def test_nested_batches(spark, tmp_path):
     }
 
 
-def test_old_versions_can_go(spark, tmp_path):
+def test_old_versions_can_go(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "cursors")
-    for i in range(4):
+    monkeypatch.setattr(C, "SNAPSHOT_EVERY", 3)
+    monkeypatch.setattr(C, "drop_old_versions", lambda *_: [])
+    for i in range(5):
         C.save_cursors(cursor_rows(spark, ("c", "f", f"x{i}")), path)
+    monkeypatch.undo()
+    monkeypatch.setattr(C, "SNAPSHOT_EVERY", 3)
+    # the third newest is the snapshot on which the newer ones build
+    assert C.drop_old_versions(spark, path, keep=4) == []
     assert C.drop_old_versions(spark, path, keep=2) == [1, 2]
-    assert C.versions(spark, path) == [3, 4]
-    assert C.load_cursors(spark, path).first().last_file == "x3"
+    assert C.versions(spark, path) == [3, 4, 5]
+    assert C.load_cursors(spark, path).first().last_file == "x4"
     with pytest.raises(ValueError):
         C.drop_old_versions(spark, path, keep=0)
 
@@ -221,10 +277,77 @@ def test_loop_loses_nothing(spark, loop, tmp_path):
     with pytest.raises(Exception, match="never fires"):
         incremental_run(spark, "c", edges.where("feed = 'hourly'"), manifest, never, consumers, *args)
     hourly = manifest.withColumn("batch_date", F.col("batch_date").cast("timestamp_ntz"))
-    with pytest.raises(ValueError, match="finer grain"):
+    with pytest.raises(ValueError, match="by hour"):
         incremental_run(spark, "c", edges, hourly, feeds, consumers, *args)
 
 
+def test_hourly_batches_one_by_one(spark, tmp_path):
+    data = spark.createDataFrame([("f", f"2026-05-0{d} {h:02d}:00:00", d * 100 + h) for d in (1, 2) for h in range(3)], "feed string, t string, v int")
+    data = data.select("feed", F.col("t").cast("timestamp_ntz").alias("batch_date"), "v")
+    manifest = M.with_file_names(data.select("feed", "batch_date"))
+    edges = spark.createDataFrame([("c", "f")], "consumer string, feed string")
+    paces = [spark.createDataFrame([(k, 3600.0)], f"{n} string, interval_s double") for k, n in (("f", "feed"), ("c", "consumer"))]
+    out, path, seen = str(tmp_path / "o"), str(tmp_path / "p"), []
+
+    def fn(df):
+        seen.append(sorted(r.v for r in df.collect()))
+        return df
+
+    before = manifest.where("batch_date < TIMESTAMP_NTZ'2026-05-01 02:00:00'")
+    assert incremental_run(spark, "c", edges, before, *paces, data, fn, out, path, "2026-05-20").rounds == 2
+    assert [r.last_file for r in C.load_cursors(spark, path).collect()] == ["f_2026-05-01T01.parquet"]
+    assert incremental_run(spark, "c", edges, manifest, *paces, data, fn, out, path, "2026-05-20").rounds == 4
+    assert seen == [[100], [101], [102], [200], [201], [202]]
+    back = spark.read.parquet(out)
+    assert sorted((str(r.batch_date), r.batch_hour, r.v) for r in back.collect()) == [(f"2026-05-0{d}", h, d * 100 + h) for d in (1, 2) for h in range(3)]
+    todo = manifest.where("hour(batch_date) = 2")
+    found = B.read_pending(back, todo, hour="batch_hour")
+    assert sorted(r.v for r in found.collect()) == [102, 202]
+
+
+def test_run_for_all_consumers(spark, loop, tmp_path):
+    run, edges, manifest, data, out, path, _ = loop
+    feeds = spark.createDataFrame([("hourly", "0 * * * *"), ("daily", "0 0 * * *"), ("weekly", "0 0 * * 0")], "feed string, cron string")
+    consumers = spark.createDataFrame([("c", "0 1 * * *"), ("other", "0 1 * * *")], "consumer string, cron string")
+    for each in (False, True):
+        out, path = str(tmp_path / f"all{each}"), str(tmp_path / f"at{each}")
+        # one consumer has had the weekly batch, so its slower feed has nothing new: it waits with all its edges
+        had = manifest.where("feed = 'weekly'").withColumn("consumer", F.lit("other"))
+        C.save_cursors(C.advance_cursors(had), path)
+        seen = []
+
+        def totals(df):
+            seen.append(df.agg(F.sum("v")).first()[0])
+            keys = ["consumer", "feed", "batch_date"] if each else ["feed", "batch_date"]
+            return df.groupBy(*keys).agg(F.sum("v").alias("v"))
+
+        args = (edges, manifest, feeds, consumers, data, totals, out, path, "2026-05-20")
+        done = incremental_run_all(spark, *args, per_consumer=each)
+        assert done.cursor_saved and {(r.consumer, r.is_blocked) for r in done.waiting.collect()} == {("other", True), ("other", False)}
+        assert spark.read.parquet(out).agg(F.sum("v")).first()[0] == data.agg(F.sum("v")).first()[0] == seen[0]
+        assert pending(edges.where("consumer = 'c'"), C.load_cursors(spark, path), manifest).count() == 0
+        both = str(tmp_path / f"both{each}")
+        incremental_run_all(spark, edges, manifest, feeds, consumers, data, totals, both, str(tmp_path / f"new{each}"), "2026-05-20", per_consumer=each)
+        per = {r.consumer: r.v for r in spark.read.parquet(both).groupBy("consumer").agg(F.sum("v").alias("v")).collect()}
+        assert per == {c: data.agg(F.sum("v")).first()[0] for c in ("c", "other")}
+
+
+def test_listing_again(spark, tmp_path):
+    root = tmp_path / "published"
+    spark.range(4).selectExpr("id", "'a' AS feed", "date_add(DATE'2026-05-01', CAST(id AS INT)) AS batch_date").write.partitionBy("feed", "batch_date").parquet(str(root))
+    stored, n = B.relist_batches(spark, str(root), spark.createDataFrame([], B.MANIFEST))
+    assert n == 4 and sorted(map(tuple, stored.collect())) == sorted(map(tuple, B.list_batches(spark, str(root)).collect()))
+    # a late batch, a new one in a folder of its own, a file beside them, and the newest one grows
+    for day in ("2026-04-01", "2026-05-04"):
+        spark.range(1).coalesce(1).write.mode("append").parquet(str(root / "feed=a" / f"batch_date={day}"))
+    spark.range(1).coalesce(1).write.parquet(str(root / "deep" / "b_2026-05-01.parquet" / "more"))
+    (root / "c_2026-05-09.parquet").write_bytes(b"xyz")
+    again, n = B.relist_batches(spark, str(root), stored)
+    assert n == 3 and sorted(map(tuple, again.collect()), key=repr) == sorted(map(tuple, B.list_batches(spark, str(root)).collect()), key=repr)
+    assert B.relist_batches(spark, str(root), again)[1] == 2
+    assert B.relist_batches(spark, str(tmp_path / "none"), stored)[1] == 0
+
+
 def test_undated_batches_are_read_once(spark, tmp_path):
     data = spark.createDataFrame([("f", None, v) for v in range(6)], "feed string, batch_date date, v int")
     manifest = spark.createDataFrame([("f", None, n) for n in "abc"], "feed string, batch_date date, file_name string")
@@ -293,51 +416,85 @@ def test_stream_pending(spark, tmp_path):
     assert got == {"a": "x_2026-05-03.parquet", "b": "x_2026-05-03.parquet"}
 
 
-def test_stream_cursor_waits_for_whole_batches(spark, tmp_path):
-    root, path = tmp_path / "feed", str(tmp_path / "cursors")
-    # by modification time: two files of the 2nd, two of the 3rd, then the two of the 1st; folders lie deeper and have odd names
-    for at, day in enumerate((2, 3, 1)):
-        folder = root / "a+b c" / f"x_2026-05-{day:02d}.parquet"
+def written(spark, root, *days):
+    for day in days:
+        folder = root / f"x_2026-05-{day:02d}.parquet"
         spark.range(4, numPartitions=2).write.parquet(str(folder))
-        for n, part in enumerate(sorted(folder.glob("part-*"))):
-            os.utime(part, (1_700_000_000 + 100 * at + 10 * n,) * 2)
 
-    def consume(fail_at=None):
+
+def test_stream_goes_by_date(spark, tmp_path):
+    root, path = tmp_path / "feed", str(tmp_path / "cursors")
+    written(spark, root / "a+b c", 4, 3, 2, 1)
+    spark.range(1).coalesce(1).write.parquet(str(root / "loose.parquet"))
+    # two batches of one date stay together
+    spark.range(2).coalesce(1).write.parquet(str(root / "y_2026-05-02.parquet"))
+    calls = []
+
+    def consume(fail_at=None, batches=1, consumer="c"):
         def fn(rows, trigger):
-            names.update(r.file_name for r in rows.select("file_name").distinct().collect())
+            calls.append((trigger, sorted((r.file_name, r.n) for r in rows.groupBy("file_name").agg(F.count("*").alias("n")).collect())))
             if trigger == fail_at:
                 raise RuntimeError("stopped")
 
-        q = stream_pending(spark, str(root), "id long", "c", "x", fn, 1, cursors_path=path, checkpoint=str(tmp_path / "cp"))
+        q = stream_pending(spark, str(root), "id long", consumer, "x", fn, batches, cursors_path=path, checkpoint=str(tmp_path / "cp" / consumer))
         if fail_at is None:
             return q.awaitTermination()
         with pytest.raises(Exception, match="stopped"):
             q.awaitTermination()
 
-    names = set()
-    consume(fail_at=4)
-    # both later batches are read, but the first one is still pending
-    assert C.load_cursors(spark, path).count() == 0
-    consume(fail_at=5)
-    assert C.load_cursors(spark, path).count() == 0
-    consume()
-    assert [(r.last_file, str(r.last_date)) for r in C.load_cursors(spark, path).collect()] == [("a+b c/x_2026-05-03.parquet", "2026-05-03")]
-    assert names == {r.file_name for r in B.list_batches(spark, str(root)).collect()}
+    def at():
+        return {r.consumer: str(r.last_date) for r in C.load_cursors(spark, path).collect()}
 
-
-def test_stream_cursor_stops_before_a_part_read_batch(spark, tmp_path):
-    root, path = tmp_path / "feed", str(tmp_path / "cursors")
-    for day in (1, 2):
-        folder = root / f"x_2026-05-{day:02d}.parquet"
-        spark.range(4, numPartitions=2).write.parquet(str(folder))
-        for n, part in enumerate(sorted(folder.glob("part-*"))):
-            os.utime(part, (1_700_000_000 + 100 * day + 10 * n,) * 2)
-
-    def fn(rows, trigger):
-        if trigger == 3:
-            raise RuntimeError("stopped")
-
-    q = stream_pending(spark, str(root), "id long", "c", "x", fn, 1, cursors_path=path, checkpoint=str(tmp_path / "cp"))
-    with pytest.raises(Exception, match="stopped"):
-        q.awaitTermination()
-    assert [str(r.last_date) for r in C.load_cursors(spark, path).collect()] == ["2026-05-01"]
+    names = [f"a+b c/x_2026-05-{d:02d}.parquet" for d in range(1, 5)]
+    plan = [[("loose.parquet", 1)], [(names[0], 4)], [(names[1], 4), ("y_2026-05-02.parquet", 2)], [(names[2], 4)], [(names[3], 4)]]
+    consume(fail_at=2)
+    assert calls == list(enumerate(plan[:3])) and at() == {"c": "2026-05-01"}
+    # the failed trigger comes again, with the batches it was planned with, though one more of its date was published
+    spark.range(7).coalesce(1).write.parquet(str(root / "z_2026-05-02.parquet"))
+    calls.clear()
+    consume()
+    assert calls == [(2, plan[2]), (3, [("z_2026-05-02.parquet", 7)]), (4, plan[3]), (5, plan[4])]
+    assert at() == {"c": "2026-05-04"}
+    calls.clear()
+    # nothing new, and what is dated before the cursor is not
+    consume()
+    assert calls == []
+    written(spark, root, 9, 8, 7)
+    consume(batches=2)
+    assert [t for t, _ in calls] == [6, 7] and [[n for n, _ in c[1]] for c in calls] == [["x_2026-05-07.parquet", "x_2026-05-08.parquet"], ["x_2026-05-09.parquet"]]
+    calls.clear()
+    consume(batches=100, consumer="d")
+    assert [len(c[1]) for c in calls] == [1, 9] and at() == {"c": "2026-05-09", "d": "2026-05-09"}
+    with pytest.raises(ValueError):
+        consume(batches=0)
+    q = stream_pending(spark, str(tmp_path / "none"), "id long", "c", "x", lambda *_: calls.append(1), cursors_path=path)
+    q.awaitTermination()
+
+
+def test_followed_feeds(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(FR, "COMPACT_EVERY", 3)
+    root, path, cursors = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cursors")
+    edges = spark.createDataFrame([("c", "a"), ("c", "b"), ("d", "a"), ("d", "none")], "consumer string, feed string")
+
+    def arrive(*rows):
+        rows = [(f, dt.datetime.fromisoformat(t) if t else None) for f, t in rows]
+        spark.createDataFrame(rows, "feed string, ts timestamp_ntz").coalesce(1).write.mode("append").parquet(root)
+        stream = spark.readStream.schema("feed string, ts timestamp_ntz").parquet(root)
+        FR.follow_feeds(stream, "feed", "ts", edges, cursors, path, str(tmp_path / "cp"), "1 DAY", available_now=True).awaitTermination()
+        return {(r.consumer, r.feed): (r.pending_count, r.trigger) for r in FR.followed_pending(spark, path).collect()}
+
+    assert arrive(("a", "2026-05-01T10:00"), ("a", None), ("x", "2026-05-01T11:00")) == {("c", "a"): (1, 0), ("c", "b"): (0, 0), ("d", "a"): (1, 0), ("d", "none"): (0, 0)}
+    # only edges of the feed with new rows are counted again
+    assert arrive(("b", "2026-05-03T00:30"), ("b", "2026-05-02T01:00")) == {("c", "a"): (1, 0), ("c", "b"): (2, 1), ("d", "a"): (1, 0), ("d", "none"): (0, 0)}
+    # the 1st is over for more than a day by now, the 2nd is not
+    got = arrive(("a", "2026-05-01T12:00"), ("a", "2026-05-02T12:00"))
+    assert got[("c", "a")] == (2, 2)
+    done = spark.createDataFrame([("d", "a", "a_2026-05-01", dt.date(2026, 5, 1))], "consumer string, feed string, file_name string, batch_date date")
+    C.save_cursors(C.advance_cursors(done), cursors)
+    got = arrive(("x", "2026-05-05T00:00"))
+    assert got == {("c", "a"): (2, 2), ("c", "b"): (2, 1), ("d", "a"): (1, 3), ("d", "none"): (0, 0)}
+    for _ in range(4):
+        got = arrive(("b", "2026-05-03T00:30"))
+    assert got[("c", "b")] == (2, 1) and len(FR._folders(spark, f"{path}/changes")) <= 3
+    m = {(r.feed, str(r.batch_date)): (r.n_rows, r.n_late) for r in FR.followed_manifest(spark, path).collect()}
+    assert m == {("a", "2026-05-01"): (1, 1), ("a", "2026-05-02"): (1, 0), ("b", "2026-05-02"): (1, 0), ("b", "2026-05-03"): (1, 4), ("x", "2026-05-01"): (1, 0), ("x", "2026-05-05"): (1, 0)}
