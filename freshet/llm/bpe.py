@@ -25,9 +25,8 @@ from freshet.llm.common import slices
 # Fixed values of byte-level tokenizers: white space of Unicode, and the pattern that cuts a text into pieces.
 SPACE = r"[\t-\r \x85\xa0  -     　]"
 NOT_SPACE = SPACE.replace("[", "[^", 1)
-PIECE = regex.compile(
-    rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?(?:(?!{SPACE}|\p{{L}}|\p{{N}})(?s:.))+|{SPACE}+(?!{NOT_SPACE})|{SPACE}+"
-)
+OTHER = NOT_SPACE[:-1] + r"\p{L}\p{N}]"
+PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?{OTHER}+|{SPACE}+(?!{NOT_SPACE})|{SPACE}+")
 
 SLICE_BYTES = 2 << 20
 # bytes of pieces that one index is built over; a longer piece has one of its own
@@ -70,7 +69,8 @@ class Bpe:
         codes = np.array([a * self.width + b for _, a, b, _ in by_rank], np.int64)
         order = np.argsort(codes)
         self.codes, self.ranks = codes[order], np.array([r for r, *_ in by_rank], np.int64)[order]
-        self.known: dict[str, str] = {}
+        # a piece's token ids, in decimal, and the bytes that they decode to
+        self.known: dict[str, tuple[str, bytes]] = {}
         self.known_bytes = 0
 
     def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
@@ -162,15 +162,15 @@ class Bpe:
             out += [part] if part in self.added else PIECE.findall(part)
         return out
 
-    def encode(self, texts: Iterable[str]) -> list[str]:
-        """The token ids of every text, in decimal, joined by commas."""
+    def _pieces(self, texts: Iterable[str]) -> list[list[str]]:
+        """Pieces of every text, all of them known from then on until the next call."""
         parts = [self._parts(t) for t in texts]
         if len(self.known) > KNOWN_PIECES or self.known_bytes > KNOWN_BYTES:
             self.known.clear()
             self.known_bytes = 0
-        known = self.known
+        known, of = self.known, self.bytes_of
         for token, i in self.added.items():
-            known[token] = str(i)
+            known[token] = str(i), of[str(i)]
         new = list({w for p in parts for w in p if w not in known})
         at = 0
         while at < len(new):
@@ -178,11 +178,25 @@ class Bpe:
             while at + len(pieces) < len(new) and size < INDEX_BYTES:
                 pieces.append(new[at + len(pieces)].encode())
                 size += len(pieces[-1])
-            for word, ids in zip(new[at:], self.encode_pieces(pieces)):
-                known[word] = ",".join(map(str, ids))
-                self.known_bytes += len(word) + len(known[word])
+            for word, tokens in zip(new[at:], self.encode_pieces(pieces)):
+                ids = [str(i) for i in tokens]
+                known[word] = ",".join(ids), b"".join([of[i] for i in ids])
+                self.known_bytes += 2 * len(word) + len(known[word][0])
             at += len(pieces)
-        return [",".join([known[w] for w in p]) for p in parts]
+        return parts
+
+    def encode(self, texts: Iterable[str]) -> list[str]:
+        """The token ids of every text, in decimal, joined by commas."""
+        return [ids for ids, _ in self.encode_decode(texts)]
+
+    def encode_decode(self, texts: Iterable[str]) -> list[tuple[str, str]]:
+        """The token ids of every text, as ``encode`` has them, and the text of these ids: that of a piece's ids is remembered with them."""
+        parts = self._pieces(texts)
+        known, out = self.known, []
+        for p in parts:
+            found = [known[w] for w in p]
+            out.append((",".join([ids for ids, _ in found]), b"".join([text for _, text in found]).decode("utf-8", "replace")))
+        return out
 
     def decode(self, ids: str) -> str:
         """The text of token ids in decimal, joined by commas; bytes that are no UTF-8 become U+FFFD."""
@@ -212,8 +226,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 out: dict[str, list] = {c: [] for c in columns}
-                for ids in bpe.encode([x.as_py() or "" for x in part.column("text")]):
-                    decoded = bpe.decode(ids)
+                for ids, decoded in bpe.encode_decode([x or "" for x in part.column("text").to_pylist()]):
                     if "n_tokens" in out:
                         out["n_tokens"].append(ids.count(",") + 1 if ids else 0)
                     if "ids" in out:

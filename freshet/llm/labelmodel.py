@@ -77,13 +77,16 @@ def fit_label_model(votes: np.ndarray, prior: float, rounds: int = 30, smoothing
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 400, rate: float = 0.5, intercept: float | None = None) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels: weights and intercept (fitted unless given). Deterministic."""
+    """Logistic regression on soft labels: weights and intercept (fitted unless given). Deterministic.
+
+    Products are taken in the type of ``x``: with two types the whole matrix would be converted in every round.
+    """
     n, d = x.shape
     w, b = np.zeros(d), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))) if intercept is None else intercept
     first, second, b1, b2 = np.zeros(d + 1), np.zeros(d + 1), 0.9, 0.999
     for t in range(1, rounds + 1):
-        error = 1 / (1 + np.exp(-np.clip(x @ w + b, -60, 60))) - y
-        slope = np.append(x.T @ error / n + l2 * w, error.mean())
+        error = 1 / (1 + np.exp(-np.clip((x @ w.astype(x.dtype)).astype(float) + b, -60, 60))) - y
+        slope = np.append((error.astype(x.dtype) @ x).astype(float) / n + l2 * w, error.mean())
         first, second = b1 * first + (1 - b1) * slope, b2 * second + (1 - b2) * slope**2
         move = rate / np.sqrt(t) * (first / (1 - b1**t)) / (np.sqrt(second / (1 - b2**t)) + 1e-8)
         w, b = w - move[:-1], b - (move[-1] if intercept is None else 0)

@@ -3,8 +3,9 @@
 Equal texts are one node from the start. Nodes that agree in all registers of a band are candidates. Within a band's
 group every node is first compared with one hub; the links that hold join most groups into one component. What
 is left, nodes of one group in different components, is compared in blocks by their registers, so that no task holds
-a large group and no list of all pairs exists. Candidates pass by size and by the joint likelihood of their
-registers; every link is then confirmed on the full shingle sets.
+a large group and no list of all pairs exists. Where more than a block is left outside a group's largest component, the group is
+dealt anew by longer bands, in which fewer meet that are no links. Candidates pass by size and by the
+joint likelihood of their registers; every link is then confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ from freshet.session import settled
 SHINGLE = 5
 SIMILARITY = 85  # per cent
 ROWS = 5
+# registers of a band, level by level: groups that are too large at one width are dealt anew at the next
+WIDTHS = (ROWS, 2 * ROWS, 3 * ROWS)
+PACKED_BYTES = 1 << 20
 MISSED = 4.5e-7  # at most this share of pairs at the threshold itself meets in no band
 BLOCK = 256
 
@@ -38,10 +42,14 @@ class Bound:
 
     similarity: int
 
+    def bands_of(self, width: int) -> int:
+        """A pair at the threshold agrees in no band with probability (1 - similarity ** width) ** bands: at most ``MISSED``."""
+        return 5 * math.ceil(math.log(MISSED) / math.log(1 - (self.similarity / 100) ** width) / 5)
+
     @property
     def bands(self) -> int:
-        """A pair at the threshold agrees in no band with probability (1 - similarity ** ROWS) ** bands: 25 bands at 85, 40 at 80."""
-        return 5 * math.ceil(math.log(MISSED) / math.log(1 - (self.similarity / 100) ** ROWS) / 5)
+        """25 bands of ROWS registers at 85, 40 at 80."""
+        return self.bands_of(ROWS)
 
     def _below(self, errors: int) -> float:
         """So many standard errors of the registers below the threshold, rounded down to a twentieth."""
@@ -99,20 +107,33 @@ def _matrix(column: pa.Array, bands: int) -> np.ndarray:
     return data.view(np.uint16).reshape(len(column), bands * ROWS)
 
 
-def _bands(batches: Iterator[pa.RecordBatch], bands: int) -> Iterator[pa.RecordBatch]:
-    """A row per node and band, keyed by the band's registers."""
+BANDED = "band long, number int, node binary"
+
+
+def _bands(batches: Iterator[pa.RecordBatch], bands: int, width: int) -> Iterator[pa.RecordBatch]:
+    """A row per node and band of ``width`` registers, keyed by these."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        values = _matrix(batch.column("registers"), bands).astype(np.uint64).reshape(batch.num_rows, bands, ROWS)
-        key = np.broadcast_to(np.arange(bands, dtype=np.uint64), (batch.num_rows, bands)).copy()
-        for r in range(ROWS):
+        values = raw(batch.column("registers"))[0].view(np.uint16).reshape(batch.num_rows, bands, width).astype(np.uint64)
+        key = np.broadcast_to(np.arange(bands, dtype=np.uint64) + np.uint64(width << 32), (batch.num_rows, bands)).copy()
+        for r in range(width):
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + values[:, :, r])
         own = pa.array(np.repeat(np.arange(batch.num_rows), bands))
         number = pa.array(np.tile(np.arange(bands, dtype=np.int32), batch.num_rows))
         yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), number, batch.column("node").take(own)], ["band", "number", "node"])
 
 
+def _rebanded(batches: Iterator[pa.RecordBatch], bound: Bound, width: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """Bands of ``width`` registers of packed texts, from hashes of their own."""
+    bands = bound.bands_of(width)
+    sketch = SetSketch(bands * width, seed)
+    for batch in batches:
+        for part in slices(batch, "z", PACKED_BYTES):
+            registers = pa.array([sketch.registers(_set(z.as_py())).tobytes() for z in part.column("z")], pa.binary())
+            yield from _bands(iter([pa.RecordBatch.from_arrays([part.column("node"), registers], ["node", "registers"])]), bands, width)
+
+
 def _alike(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, bound: Bound) -> np.ndarray:
     """Whether pairs can be links, by size and by the likelihood of their registers."""
     good = 100 * np.minimum(na, nb) >= bound.similarity * np.maximum(na, nb)
@@ -159,7 +180,8 @@ def _block(table: pa.Table, bound: Bound) -> pa.Table:
     for at in range(0, len(left), 32):
         some = left[at : at + 32]
         equal = registers[some][:, None, :] == registers[right][None, :, :]
-        first = equal.reshape(len(some), len(right), bound.bands, ROWS).all(axis=3).argmax(axis=2)
+        # a pair is compared in the first band that it shares; groups of other bands than the registers' have number -1
+        first = equal.reshape(len(some), len(right), bound.bands, ROWS).all(axis=3).argmax(axis=2) if number >= 0 else number
         # far fewer agreements than any estimate worth a look would have
         near = (equal.sum(axis=2) >= bound.agreed * bound.bands * ROWS) & (first == number) & (root[some][:, None] != root[right][None, :])
         x, y = np.nonzero(near)
@@ -204,32 +226,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = settled(keys.mapInArrow(lambda part: _sketch(part, bound.bands), SKETCH), "sketches")
     classes = rows.where("n > 0").groupBy("node").agg(F.min(F.struct("k", "t")).alias("d"), F.max("n").alias("n"), F.first("registers").alias("registers"))
     nodes = settled(classes.select("node", "d.k", "d.t", "n", "registers"), "nodes")
-    marks = nodes.select("node", "n", "registers")
-
-    # groups of at least two, each with a hub; a group that many nodes share is one row here
-    banded = nodes.select("node", "registers").mapInArrow(lambda part: _bands(part, bound.bands), "band long, number int, node binary")
-    hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    grouped = settled(banded.join(hubs, "band"), "band-groups")
-    spokes = grouped.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-
-    pa_, pb_ = (marks.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}")) for x in "ab")
-    likely = settled(spokes.join(pa_, "a").join(pb_, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(lambda part: _likely(part, bound), "a binary, b binary"), "likely")
     texts = squeezed(keys)
-    links = settled(_confirmed(likely, nodes, texts, bound), "links")
-    roots = components(links)
-
-    # nodes of one group that are still apart; those of groups of two have met already
-    placed = grouped.where("size > 2").join(roots, "node", "left").select("band", "number", "node", F.coalesce("root", "node").alias("root"))
-    apart = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo != hi")
-    apart = settled(placed.join(apart.select("band", F.ceil(F.col("size") / BLOCK).alias("blocks")), "band"), "apart")
-    if not apart.isEmpty():
-        own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-        dealt = apart.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        dealt = dealt.select("band", "number", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "root")
-        packed = _texts_of(apart.select("node").distinct(), nodes, texts)
-        blocks = dealt.join(marks, "node").join(packed, "node").groupBy("band", "i", "j")
-        more = settled(blocks.applyInArrow(lambda group: _block(group, bound), "a binary, b binary"), "more-links")
-        roots = components(links.union(more)) if not more.isEmpty() else roots
+    banded = nodes.select("node", "registers").mapInArrow(lambda part: _bands(part, bound.bands, ROWS), BANDED)
+    links, roots = None, None
+    for level, width in enumerate(WIDTHS):
+        found, big = _linked_groups(banded, nodes, texts, roots, bound, width == WIDTHS[-1], level == 0)
+        links = found if links is None else links.union(found)
+        roots = components(links)
+        if big is None:
+            break
+        # groups that are still too large fall apart in longer bands, drawn anew from the texts
+        wide, seed = WIDTHS[level + 1], level + 2
+        banded = _texts_of(big, nodes, texts).mapInArrow(lambda part, w=wide, s=seed: _rebanded(part, bound, w, s), BANDED)
 
     full = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = full.where("n > 0").groupBy("root").agg(F.min("k").alias("least"), *([F.min(F.struct("k", "t")).alias("least_key")] if with_key else []))
@@ -241,6 +249,75 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), *(["k", "t"] if with_key else []))
 
 
+def _likely_pairs(pairs: DataFrame, nodes: DataFrame, bound: Bound) -> DataFrame:
+    marks = nodes.select("node", "n", "registers")
+    pa_, pb_ = (marks.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}")) for x in "ab")
+    joined = pairs.join(pa_, "a").join(pb_, "b").select("a", "b", "na", "nb", "ra", "rb")
+    return settled(joined.mapInArrow(lambda part: _likely(part, bound), "a binary, b binary"), "likely")
+
+
+def _apart(grouped: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of groups with nodes in different components, with the group's size, its largest component (by a count over (group, component)) and how many are not in it."""
+    placed = grouped.join(roots, "node", "left").select("band", "number", "node", F.coalesce("root", "node").alias("root"))
+    shares = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("m"))
+    groups = shares.groupBy("band").agg(F.sum("m").alias("size"), F.max(F.struct("m", "root")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    groups = groups.select("band", "size", F.col("most.root").alias("main"), (F.col("size") - F.col("most.m")).alias("rest"))
+    return settled(placed.join(groups, "band"), "apart")
+
+
+def _linked_groups(banded: DataFrame, nodes: DataFrame, texts: DataFrame, roots: DataFrame | None, bound: Bound, last: bool, numbered: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Links within the groups of bands, and the nodes of groups that are too large to be compared at this width (none at the last one).
+
+    Every node of a group is compared with a hub. What is then still apart is compared block by block, if the group's part
+    outside its largest component fits a block.
+    """
+    # groups of at least two, each with a hub; a group that many nodes share is one row here
+    hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    grouped = settled(banded.join(hubs, "band"), "band-groups")
+    pairs = grouped.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    if roots is not None:
+        ends = (roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+        for x, end in zip("ab", ends):
+            pairs = pairs.join(end, x, "left").withColumn(f"root_{x}", F.coalesce(f"root_{x}", x))
+        pairs = pairs.where("root_a != root_b").select("a", "b")
+    links = settled(_confirmed(_likely_pairs(pairs, nodes, bound), nodes, texts, bound), "links")
+    base = links if roots is None else links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    # nodes of one group that are still apart; those of groups of two have met already
+    apart = _apart(grouped.where("size > 2").select("band", "number", "node"), components(base))
+    if not last:
+        small = apart.where(F.col("rest") <= BLOCK)
+        big = settled(apart.where(F.col("rest") > BLOCK).select("node").distinct(), "large-groups")
+        big = None if big.isEmpty() else big
+    else:
+        small, big = apart, None
+    if not small.isEmpty():
+        links = links.union(settled(_compared(small, nodes, texts, bound, numbered), "more-links"))
+    return links, big
+
+
+def _compared(apart: DataFrame, nodes: DataFrame, texts: DataFrame, bound: Bound, numbered: bool) -> DataFrame:
+    """Links between nodes of one group in different components, block against block.
+
+    Nodes of the largest component are not compared with each other, so each goes only to the blocks of the rest: where
+    the rest fits one block, every node of the group is there once, and those of the rest once per block of the others.
+    """
+    minor = F.col("root") != F.col("main")
+    p, q = F.ceil(F.col("rest") / BLOCK), F.ceil((F.col("size") - F.col("rest")) / BLOCK)
+    hashed = F.xxhash64("node")
+    own = F.when(minor, F.pmod(hashed, p)).otherwise(F.lit(-1) - F.pmod(hashed, q))
+    zero = F.lit(0).cast("long")
+    # blocks of the rest count from 0 up, those of the largest component from -1 down
+    others = F.when(minor, F.concat(F.sequence(zero, p - 1), F.sequence(-q, F.lit(-1).cast("long")))).otherwise(F.sequence(zero, p - 1))
+    dealt = apart.withColumn("own", own).withColumn("other", F.explode(others))
+    number = F.col("number") if numbered else F.lit(-1)
+    dealt = dealt.select(
+        "band", number.alias("number"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "root"
+    )
+    packed = _texts_of(apart.select("node").distinct(), nodes, texts)
+    blocks = dealt.join(nodes.select("node", "n", "registers"), "node").join(packed, "node").groupBy("band", "i", "j")
+    return blocks.applyInArrow(lambda group: _block(group, bound), "a binary, b binary").distinct()
+
+
 def _texts_of(wanted: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """node, z: the packed text of every wanted node."""
     needed = nodes.select("node", "k", "t").join(wanted, "node", "left_semi")

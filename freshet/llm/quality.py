@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from freshet.llm.common import ABOVE, IS_SPACE, hash_spans, mix, padded, raw, slices, words
 from freshet.llm.labelmodel import ABSTAIN, fit_label_model, fit_linear
 
-# documents that the model is fitted on, about; scoring covers all
+# distinct texts that the model is fitted on; scoring covers all documents
 FIT_ROWS = 8_000
 WIDTH = 1 << 10  # hashed features
 PRIOR = 0.85  # share of good documents to start from
@@ -114,19 +114,30 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = np.zeros((part.num_rows, WIDTH), np.float32)
             np.add.at(x, (row, _slots(code)), 1)
             x /= (facts["words"] + STEADY)[:, None]
-            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in _votes(facts)], pa.binary()), pa.array([v.tobytes() for v in x], pa.binary())], ["votes", "x"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column("h"), pa.array([v.tobytes() for v in _votes(facts)], pa.binary()), pa.array([v.tobytes() for v in x], pa.binary())], ["h", "votes", "x"]
+            )
+
+
+def _sample(docs: DataFrame, text_col: str, fit_rows: int) -> DataFrame:
+    """h, text: the ``fit_rows`` distinct texts with the least hashes, whatever the number of their copies."""
+    texts = docs.select(F.xxhash64(F.lit("fit"), text_col).alias("h"), F.col(text_col).alias("text"))
+    least = texts.select("h").distinct().orderBy("h").limit(fit_rows)
+    bound = least.agg(F.max("h")).first()[0]
+    if bound is None:
+        return texts.where(F.lit(False))
+    return texts.where(F.col("h") <= bound).groupBy("h").agg(F.first("text").alias("text"))
 
 
 def fit_quality(docs: DataFrame, text_col: str = "text", fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, float]:
-    """Weights by hashed shape and the intercept, from about ``fit_rows`` documents chosen by a hash of their texts."""
-    total = docs.count()
-    texts = docs.select(F.col(text_col).alias("text"), F.xxhash64(F.lit("fit"), text_col).alias("h"))
-    if total > fit_rows:
-        texts = texts.where(F.pmod("h", F.lit(1_000_000)) < int(1_000_000 * fit_rows / total) + 1)
-    # copies of a chosen text are all chosen: the limit keeps the promise for any input
-    got = texts.select("text").mapInArrow(_examples, "votes binary, x binary").limit(2 * fit_rows).toPandas()
+    """Weights by hashed shape and the intercept, from ``fit_rows`` distinct texts chosen by their hashes (all, if there are fewer).
+
+    Copies of a text count once, so no text can fill the sample, and neither the order of rows nor their partitions change it.
+    """
+    got = _sample(docs, text_col, fit_rows).mapInArrow(_examples, "h long, votes binary, x binary").toPandas()
     if got.empty:
         return np.zeros(WIDTH), 0.0
+    got = got.sort_values("h")
     votes = np.stack([np.frombuffer(v, np.int8) for v in got["votes"]])
     x = np.stack([np.frombuffer(v, np.float32) for v in got["x"]])
     model = fit_label_model(votes, PRIOR, smoothing=BELIEF)
@@ -155,7 +166,7 @@ def classify_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row per row of ``docs``: id, quality_score and keep (score at or above ``reject_below``).
 
     Only the text is looked at. Null and empty texts score 0 and are rejected; repeated texts score alike; null ids and other
-    columns change nothing. An empty table gives an empty one. The fit is deterministic for given texts.
+    columns change nothing. An empty table gives an empty one. The fit depends on the set of texts alone.
     """
     model = fit_quality(docs, text_col, fit_rows)
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -114,7 +114,7 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"] for r in exact.collect()} == {min(x)[1] for x in first.values()}
 
     near = run_stage(spark, 2, exact)
-    want = plain_components([(r["doc_id"], r["text"]) for r in exact.collect()])
+    want = plain_components([(r["doc_id"], r["text"]) for r in exact.collect()], corpus_pipeline.SIMILARITY)
     assert {r["doc_id"] for r in near.collect()} == {i for i, (_, _, keep) in want.items() if keep}
 
     clean = run_stage(spark, 3, near)

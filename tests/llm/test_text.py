@@ -122,7 +122,7 @@ def test_sort_suffixes():
 # --- op2 --------------------------------------------------------------------------------------
 
 
-def plain_components(docs):
+def plain_components(docs, similarity=85):
     sets = {}
     for i, text in docs:
         w = SPACE.findall(lower(text))
@@ -138,7 +138,7 @@ def plain_components(docs):
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            if both and 100 * both >= similarity * (len(sets[a]) + len(sets[b]) - both):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return {i: (len(sets[i]), find(i), find(i) == i) for i in ids}
