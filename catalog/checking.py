@@ -65,7 +65,7 @@ def validated_orders(spark, sf):
 FROM c GROUP BY errors <> '', coalesce(status, '')""")
 def split_orders(spark, sf):
     """Good and rejected orders, counted per status."""
-    good, rejected = C.split_valid(C.validate(declared_orders(spark, sf), ["status", "priority"], order_rules()))
+    good, rejected = C.split_valid(C.validate(declared_orders(spark, sf), ["status", "priority"], order_rules()), once=True)
     both = good.withColumn("rejected", F.lit(False)).unionByName(rejected.drop("errors").withColumn("rejected", F.lit(True)))
     totals = both.withColumn("status", F.coalesce("status", F.lit(""))).groupBy("rejected", "status")
     return totals.agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("price"))

@@ -8,6 +8,7 @@ from catalog import inputs as I
 from catalog.registry import day, query, sql_day, sql_stamp, stamp, table
 from freshet.operators import manifest as M
 from freshet.operators import schedules as S
+from freshet.session import settled
 
 
 def customer_schedules(spark, sf):
@@ -105,3 +106,62 @@ def missed_fires(spark, sf):
     shipped = M.with_file_names(M.manifest_from_rows(table(spark, sf, "lineitem"), "l_partkey", "l_shipdate"))
     found = S.missed_fires(M.latest_batch(shipped), schedules, "2001-10-10 12:00:00")
     return found.select("feed", stamp("last_fire").alias("last_fire"), day("batch_date").alias("batch_date"), "missed_fire")
+
+
+_KINDS = [
+    ("30 9 L * *", "dom = last AND m = 570"),
+    ("0 7 * * 5#3", "dow = 5 AND dom BETWEEN 15 AND 21 AND m = 420"),
+    ("0 7 * * fri#5,mon#1", "((dow = 5 AND dom > 28) OR (dow = 1 AND dom <= 7)) AND m = 420"),
+    ("15 6 * * sunL", "dow = 0 AND dom > last - 7 AND m = 375"),
+    ("15 6 1,L * L3", "(dom = 1 OR dom = last OR (dow = 3 AND dom > last - 7)) AND m = 375"),
+    ("0 22-2 * * *", "m IN (0, 60, 120, 1320, 1380)"),
+    ("50-10/5 12 28-3 * *", "(dom >= 28 OR dom <= 3) AND m IN (720, 725, 730, 770, 775)"),
+    ("0 0 * nov-feb fri-mon", "mon IN (11, 12, 1, 2) AND dow IN (5, 6, 0, 1) AND m = 0"),
+]
+_RULES = " UNION ALL ".join(f"SELECT {i} AS kind, d, m FROM days, minutes WHERE {rule}" for i, (_, rule) in enumerate(_KINDS))
+
+
+@query(f"""WITH days AS (SELECT CAST(d AS DATE) AS d, CAST(dayofweek(d) AS INT) AS dow, day(d) AS dom, month(d) AS mon, day(last_day(d)) AS last
+  FROM generate_series(TIMESTAMP '2023-10-01', TIMESTAMP '2025-03-31', INTERVAL 1 DAY) AS t(d)),
+minutes AS (SELECT CAST(m AS INT) AS m FROM generate_series(0, 1435, 5) AS t(m)), fires AS ({_RULES})
+SELECT s_suppkey AS id, count(*) AS n_fires, {sql_stamp('CAST(min(d + INTERVAL 1 MINUTE * m) AS TIMESTAMP)')} AS first_fire, {sql_stamp('CAST(max(d + INTERVAL 1 MINUTE * m) AS TIMESTAMP)')} AS last_fire,
+  CAST(sum(date_diff('day', DATE '2023-10-01', d) * 1440 + m) AS BIGINT) AS minutes
+FROM supplier JOIN fires ON s_suppkey % {len(_KINDS)} = kind GROUP BY s_suppkey""")
+def schedule_grammar(spark, sf):
+    """Month-relative days and ranges that run over the end of their field, over a year and a half."""
+    key = F.col("s_suppkey") % len(_KINDS)
+    cron = F.element_at(F.array(*[F.lit(c) for c, _ in _KINDS]), (key + 1).cast("int"))
+    suppliers = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), cron.alias("cron"))
+    fires = S.expand_schedule(suppliers, "2023-10-01", "2025-04-01")
+    start = F.lit("2023-10-01").cast("timestamp_ntz")
+    return fires.groupBy("id").agg(
+        F.count("*").alias("n_fires"), stamp(F.min("fire_ts")).alias("first_fire"), stamp(F.max("fire_ts")).alias("last_fire"),
+        F.sum(F.timestamp_diff("MINUTE", start, F.col("fire_ts"))).alias("minutes"),
+    )
+
+
+@query(f"""WITH days AS (SELECT CAST(d AS DATE) AS d, CAST(dayofweek(d) AS INT) AS dow, day(d) AS dom FROM generate_series(TIMESTAMP '1994-01-01', TIMESTAMP '1996-12-31', INTERVAL 1 DAY) AS t(d)),
+fires AS (SELECT p_partkey AS feed, d, CASE p_partkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 4 ELSE 1 END AS n, CASE p_partkey % 3 WHEN 0 THEN INTERVAL 0 HOUR WHEN 1 THEN INTERVAL 0 HOUR ELSE INTERVAL 6 HOUR END AS h
+  FROM part, days WHERE (p_partkey % 3 = 0 AND dom = 1) OR (p_partkey % 3 = 1 AND dow = 0) OR (p_partkey % 3 = 2 AND dow BETWEEN 1 AND 5 AND dom <= 7)),
+batches AS (SELECT DISTINCT l_partkey AS feed, CAST(l_shipdate AS DATE) AS d FROM lineitem WHERE l_shipdate < TIMESTAMP '1997-01-01'),
+answers AS (SELECT b.feed, f.d AS period, count(*) AS n_batches, CAST(sum(date_diff('day', f.d, b.d)) AS BIGINT) AS lag_days FROM batches b ASOF JOIN fires f ON b.feed = f.feed AND b.d >= f.d GROUP BY ALL)
+SELECT f.feed, CAST(sum(n) AS BIGINT) AS n_fires, count(*) AS n_periods, count(*) FILTER (WHERE a.period IS NULL) AS n_missed, CAST(coalesce(sum(n_batches), 0) AS BIGINT) AS n_batches,
+  CAST(coalesce(sum(lag_days), 0) AS BIGINT) AS lag_days, {sql_stamp('CAST(min(f.d + h) FILTER (WHERE a.period IS NULL) AS TIMESTAMP)')} AS first_missed, {sql_day('max(f.d) FILTER (WHERE a.period IS NULL)')} AS last_missed
+FROM fires f LEFT JOIN answers a ON f.feed = a.feed AND f.d = a.period GROUP BY f.feed""")
+def fire_history(spark, sf):
+    """All scheduled days of three years per part, and which of them no shipment answers."""
+    key = F.col("p_partkey")
+    cron = F.when(key % 3 == 0, "0 0 1 * *").when(key % 3 == 1, "0 0-18/6 * * sun").otherwise("0 6 * * mon#1,tue#1,wed#1,thu#1,fri#1")
+    schedules = table(spark, sf, "part").select(key.alias("feed"), cron.alias("cron"))
+    shipped = settled(M.with_file_names(M.manifest_from_rows(table(spark, sf, "lineitem"), "l_partkey", "l_shipdate")), "shipped")
+    span = ("1994-01-01", "1997-01-01")
+    found = S.answered_fires(shipped, schedules, *span)
+    missed = F.col("missed")
+    totals = found.groupBy("feed").agg(
+        F.sum("n_fires").alias("n_fires"), F.count("*").alias("n_periods"), F.count_if(missed).alias("n_missed"), F.sum("n_batches").alias("n_batches"),
+        stamp(F.min(F.when(missed, F.col("fire_ts")))).alias("first_missed"), day(F.max(F.when(missed, F.col("period")))).alias("last_missed"),
+    )
+    before = shipped.where(F.col("batch_date") < F.lit(span[1]).cast("date"))
+    late = S.batches_with_fires(before, S.fire_periods(schedules, *span)).where("period IS NOT NULL")
+    lags = late.groupBy("feed").agg(F.sum(F.datediff("batch_date", "period").cast("long")).alias("lag_days"))
+    return totals.join(lags, "feed", "left").withColumn("lag_days", F.coalesce("lag_days", F.lit(0).cast("long")))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.functions import cron as C
+from freshet.session import scratch_dir
 
 
 def active(df: DataFrame, only: str | int | None = None, id_col: str = "id", enabled: str = "enabled") -> DataFrame:
@@ -56,9 +57,19 @@ def validate(df: DataFrame, required: list[str], rules: dict[str, Column], out:
     return df.withColumn(out, F.when(F.size(missing) > 0, missing).otherwise(broken))
 
 
-def split_valid(validated: DataFrame, errors: str = "errors") -> tuple[DataFrame, DataFrame]:
-    """The good rows (without the message column) and the rejected ones (with it)."""
-    return validated.where(F.size(errors) == 0).drop(errors), validated.where(F.size(errors) > 0)
+def split_valid(validated: DataFrame, errors: str = "errors", once: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The good rows (without the message column) and the rejected ones (with it).
+
+    With ``once`` all rows are written to the shared folder in one pass over their source, good and rejected ones apart, and each
+    side reads its own part only; without it each side reads and checks the source itself.
+    """
+    good = F.size(errors) == 0
+    if not once:
+        return validated.where(good).drop(errors), validated.where(F.size(errors) > 0)
+    path = scratch_dir(validated.sparkSession, "checked")
+    validated.withColumn("_good", good).write.partitionBy("_good").parquet(path)
+    stored = validated.sparkSession.read.schema(validated.withColumn("_good", good).schema).parquet(path)
+    return stored.where("_good").drop("_good", errors), stored.where("NOT _good").drop("_good")
 
 
 # --- groups -----------------------------------------------------------------------------------
@@ -162,26 +173,33 @@ def layout_check(
 ) -> DataFrame:
     """All violations of a declared table as rows ``group_id, kind, subject, detail``.
 
-    Broken and disabled rows are set aside first; the group checks see the others only.
+    Broken and disabled rows are set aside first; the group checks see the others only. The table is read once: every row gives its
+    messages, or itself as a member of its group, and one aggregation counts these by position and by group.
     """
-    good, rejected = split_valid(validate(df, required, rules))
-    if enabled:
-        good = active(good, enabled=enabled)
     text = lambda c: F.col(c).cast("string")
     subject = F.concat_ws("/", *[text(c) for c in row_id])
-    broken = rejected.select(
-        text(group).alias("group_id"), F.lit("invalid").alias("kind"), subject.alias("subject"), F.explode("errors").alias("detail")
-    )
-    twice = duplicate_keys(good, [group], position).select(
-        text(group).alias("group_id"),
-        F.lit("duplicate").alias("kind"),
-        text(position).alias("subject"),
-        F.col("n").cast("string").alias("detail"),
-    )
-    crowded = singleton_violations(good, [group], exclusive).select(
-        text(group).alias("group_id"),
-        F.lit("exclusive").alias("kind"),
-        F.lit("").alias("subject"),
-        F.col("n").cast("string").alias("detail"),
+    none = F.lit(None).cast("string")
+    message = F.transform("errors", lambda m: F.struct(F.lit("invalid").alias("kind"), subject.alias("subject"), m.alias("detail"), none.alias("at"), F.lit(False).alias("alone")))
+    member = F.array(F.struct(F.lit("member").alias("kind"), none.alias("subject"), none.alias("detail"), text(position).alias("at"), F.coalesce(F.col(exclusive), F.lit(False)).alias("alone")))
+    wanted = F.coalesce(F.col(enabled), F.lit(True)) if enabled else F.lit(True)
+    # an explode of nothing drops the disabled rows that are sound
+    told = F.when(F.size("errors") > 0, message).when(wanted, member)
+    rows = validate(df, required, rules).select(text(group).alias("group_id"), F.explode(told).alias("_t")).select("group_id", "_t.*")
+    keys = ["group_id", "kind", "subject", "detail", "at"]
+    sets = rows.groupingSets([[F.col(k) for k in keys], [F.col("group_id"), F.col("kind")]], *[F.col(k) for k in keys])
+    counted = sets.agg(F.count(F.lit(1)).alias("n"), F.bool_or("alone").alias("alone"), F.grouping_id().alias("by"))
+    single, member_of = F.col("by") == 0, F.col("kind") == "member"
+    found = (
+        F.when(single & ~member_of, F.lit("invalid"))
+        .when(single & member_of & (F.col("n") > 1), F.lit("duplicate"))
+        .when(~single & member_of & F.col("alone") & (F.col("n") > 1), F.lit("exclusive"))
     )
-    return broken.unionByName(twice).unionByName(crowded)
+    n = F.col("n").cast("string")
+    told = counted.withColumn("found", found).where("found IS NOT NULL").select(
+        "group_id", F.col("found").alias("kind"),
+        F.when(F.col("found") == "invalid", F.col("subject")).when(F.col("found") == "duplicate", F.col("at")).otherwise("").alias("subject"),
+        F.when(F.col("found") == "invalid", F.col("detail")).otherwise(n).alias("detail"),
+        # rows that repeat a message give it as often
+        F.explode(F.array_repeat(F.lit(1), F.when(F.col("found") == "invalid", F.col("n")).otherwise(1).cast("int"))).alias("_each"),
+    )
+    return told.drop("_each")

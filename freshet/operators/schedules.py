@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from freshet.functions import cron as C
 from freshet.functions.cadence import wall_seconds
+from freshet.functions.names import checked_grain
+from freshet.operators.ordered import ROWS_PER_BLOCK, split
+from freshet.session import settled
 
 # Rare schedules need long horizons. The rarest day is 29 February, up to 8 years away and the next one up to 8 more, so a
 # schedule with fewer than two fires within 17 years has none at all.
@@ -138,3 +141,45 @@ def missed_fires(latest: DataFrame, schedules: DataFrame, as_of: Instant, feed:
         F.col("batch_date").isNull() | (F.col("batch_date") < F.col("last_fire").cast("date"))
     )
     return due.join(latest.select(feed, "batch_date"), feed, "left").withColumn("missed_fire", missed)
+
+
+def fire_periods(schedules: DataFrame, start: Instant, end: Instant, grain: str = "day", feed: str = "feed") -> DataFrame:
+    """``feed, period, fire_ts, n_fires``: the days (or hours) in which a feed's schedule fires, each with its first fire."""
+    unit = "day" if checked_grain(grain) == "day" else "hour"
+    fires = expand_schedule(schedules, start, end, feed)
+    period = F.date_trunc(unit, "fire_ts").cast("timestamp_ntz").alias("period")
+    return fires.groupBy(feed, period).agg(F.min("fire_ts").alias("fire_ts"), F.count(F.lit(1)).alias("n_fires"))
+
+
+def batches_with_fires(batches: DataFrame, periods: DataFrame, feed: str = "feed", rows_per_block: int | None = ROWS_PER_BLOCK) -> DataFrame:
+    """Every dated batch (``feed, batch_date, file_name``) with the period and fire that it answers: the last one at or before it.
+
+    An as-of join: periods and batches lie in one order per feed, and each batch takes what came last; a feed with very many
+    batches is cut into blocks. A batch before the first fire answers none; an undated one is left out.
+    """
+    none, at = F.lit(None).cast("timestamp_ntz"), F.col("batch_date").cast("timestamp_ntz")
+    fires = periods.select(feed, F.col("period").alias("at"), F.lit(0).alias("kind"), F.lit("").alias("file_name"), F.struct("period", "fire_ts").alias("fire"))
+    nothing = F.lit(None).cast("struct<period: timestamp_ntz, fire_ts: timestamp_ntz>")
+    dated = batches.where("batch_date IS NOT NULL").select(feed, at.alias("at"), F.lit(1).alias("kind"), "file_name", nothing.alias("fire"))
+    blocks = split(fires.unionByName(dated), [feed], ["at", "kind", "file_name"], rows_per_block)
+    rows = blocks.df.withColumn("fire", F.last("fire", True).over(blocks.window()))
+    if blocks.is_split:
+        # periods grow with the order, so a block's last one is its greatest
+        ends = blocks.summary(F.max("fire").alias("_end")).withColumn("_end", F.last("_end", True).over(blocks.before()))
+        rows = blocks.attach(rows, ends).withColumn("fire", F.coalesce("fire", "_end"))
+    found = blocks.plain(rows).where("kind = 1")
+    return found.select(feed, F.col("at").alias("batch_date"), "file_name", F.coalesce("fire.period", none).alias("period"), F.coalesce("fire.fire_ts", none).alias("fire_ts"))
+
+
+def answered_fires(batches: DataFrame, schedules: DataFrame, start: Instant, end: Instant, grain: str = "day", feed: str = "feed", rows_per_block: int | None = ROWS_PER_BLOCK) -> DataFrame:
+    """The whole history: one row per day (or hour) in ``[start, end)`` in which a feed's schedule fires, and whether a batch answers it.
+
+    ``feed, period, fire_ts, n_fires, n_batches, first_batch, missed``. A batch dated in the period or after it, but before the feed's next
+    one, answers it; a period without any is missed. Batches dated before the first fire answer nothing.
+    """
+    periods = settled(fire_periods(schedules, start, end, grain, feed), "fires")
+    inside = batches.where(F.col("batch_date") < instant(end))
+    found = batches_with_fires(inside, periods, feed, rows_per_block).where("period IS NOT NULL")
+    answers = found.groupBy(feed, "period").agg(F.count(F.lit(1)).alias("n_batches"), F.min("batch_date").alias("first_batch"))
+    joined = periods.join(answers, [feed, "period"], "left").withColumn("n_batches", F.coalesce("n_batches", F.lit(0)))
+    return joined.withColumn("missed", F.col("n_batches") == 0)

@@ -159,7 +159,9 @@ def incremental_run_all(
         # the join with the edges' batches is the choice of the needed ones, too
         result = fn(fanned(rows))
     else:
-        result = fanned(fn(read_pending(rows, todo, undated=True, settle=False)))
+        # rows without a date take a second look at the source, so only where such batches are waiting
+        undated = not todo.where("batch_date IS NULL").isEmpty()
+        result = fanned(fn(read_pending(rows, todo, undated=undated, settle=False)))
     write_dated_by(result, out_root, "batch_date", by=["consumer", "feed"], grain=grain)
     saved = True
     try:

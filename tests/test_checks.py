@@ -58,6 +58,9 @@ def test_split_and_active(spark):
             ("d", "0 1 * * *", "local", None, 1, None, None)]
     good, bad = C.split_valid(C.validate(spark.createDataFrame(rows, DECLARED), ["id"], rules()))
     assert [r.id for r in bad.collect()] == ["b"] and "errors" not in good.columns
+    apart = C.split_valid(C.validate(spark.createDataFrame(rows, DECLARED), ["id"], rules()), once=True)
+    assert [x.columns for x in apart] == [good.columns, bad.columns]
+    assert [sorted(map(str, x.collect())) for x in apart] == [sorted(map(str, x.collect())) for x in (good, bad)]
     assert sorted(r.id for r in C.active(good).collect()) == ["a", "d"]
     assert [r.id for r in C.active(good, "d").collect()] == ["d"]
     assert C.active(good, "nobody").count() == 0
@@ -122,6 +125,13 @@ def test_layout(spark):
         ("g", "duplicate", "2", "2"),
         ("g", "exclusive", "", "3"),
     }
+    # broken rows give all their messages, repeated ones as often as they are there; a disabled broken row is still broken
+    more = spark.createDataFrame([(None, 1, None, True, None), (None, 1, None, True, True), ("p", 1, "x", None, True), ("p", None, "y", None, False), ("p", None, "y", None, False)], df.schema)
+    found = C.layout_check(more, ["position"], {"named": F.col("member").isNotNull(), "plain": ~F.col("exclusive")}, "g", "position", "exclusive", ["member"], "enabled")
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, [
+        (None, "invalid", "", "named"), (None, "invalid", "", "named"), (None, "invalid", "", "plain"), (None, "invalid", "", "plain"),
+        ("p", "invalid", "x", "plain"), ("p", "invalid", "y", "not given: position"), ("p", "invalid", "y", "not given: position"),
+    ]))
 
 
 def test_summary(spark):

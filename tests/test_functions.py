@@ -114,7 +114,10 @@ def test_hours(spark):
         ("0 0 0 * *", False),
         ("0 0 * 13 *", False),
         ("0 0 * * 8", False),
-        ("0 0 * * 5-3", False),
+        ("0 0 * * 5-3", True),
+        ("0 22-2/2 L,28-3 nov-feb sun#5,friL,L1", True),
+        ("0 0 * L *", False),
+        ("0 0 * * 1#0", False),
         ("*/0 * * * *", False),
         ("1, * * * *", False),
         ("a b c d e", False),

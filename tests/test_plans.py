@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from catalog import QUERIES
 from catalog import inputs as I
+from freshet.operators import checks as C
 from freshet.operators import pending as P
 from freshet.operators import schedules as S
+from freshet.plans.incremental import incremental_run_all
 from freshet.sources.batches import read_pending, write_dated_by
 
 SF = "/root/testdata/sf0.001"
@@ -22,7 +24,9 @@ def scans(df):
     return re.findall(r"FileScan.*", plan(df))
 
 
-LAZY = sorted(set(QUERIES) - {"dated_batches", "dated_formats", "saved_cursors", "incremental_totals", "streamed_manifest", "streamed_batches"})
+# these run jobs of their own before they return
+EAGER = ("streamed_", "incremental_", "logged_", "checked_", "relisted_", "dated_", "saved_")
+LAZY = sorted(n for n in QUERIES if not n.startswith(EAGER))
 
 
 @pytest.mark.parametrize("name", LAZY)
@@ -76,3 +80,37 @@ def test_schedules_are_evaluated_per_expression(spark):
     # the parse sits above the distinct, on the way to the join, and nowhere else
     below = text[text.index("HashAggregate"):]
     assert "regexp_extract" not in below.split("Exchange hashpartitioning", 1)[-1]
+
+
+def test_checks_read_their_table_once(spark):
+    assert len(scans(QUERIES["layout_violations"](spark, SF))) == 1
+    good, rejected = C.split_valid(C.validate(spark.read.parquet(f"{SF}/orders.parquet"), ["o_orderkey"], {"some": F.col("o_totalprice") > 1000}), once=True)
+    for side in (good, rejected):
+        (scan,) = scans(side)
+        # its own part of what was written in one pass
+        assert "orders.parquet" not in scan and "PartitionFilters: [isnotnull(_good" in scan
+
+
+def test_batches_of_many_consumers_are_read_once(spark, tmp_path):
+    seen = []
+
+    def note(df):
+        seen.append(df)
+        return df.groupBy("feed", "batch_date").agg(F.count("*").alias("n"))
+
+    rows = I.events(spark, SF).select(F.col("event_type").alias("feed"), F.to_date("ts").alias("batch_date"), "value")
+    edges = I.edges_ev(spark, SF).withColumn("consumer", F.col("consumer").cast("string"))
+    consumers = I.consumers_ev(spark, SF).select(F.col("consumer").cast("string").alias("consumer"), "cron")
+    incremental_run_all(spark, edges, I.manifest_ev(spark, SF), I.feeds_ev(spark, SF), consumers, rows, note, str(tmp_path / "o"), str(tmp_path / "c"), I.AS_OF)
+    (df,) = seen
+    assert sum("events.parquet" in s for s in scans(df)) == 1
+
+
+def test_feeds_come_from_the_data(spark, tmp_path):
+    """A sixth event type has edges, cursors and pending batches like the others."""
+    for name in ("nation", "events"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    sixth = spark.read.parquet(f"{SF}/events.parquet").limit(50).withColumn("event_type", F.lit("refund"))
+    sixth.write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    for query in ("pending_batches", "pending_lists", "freshness_report", "read_pending_rows"):
+        assert QUERIES[query](spark, str(tmp_path)).where("feed = 'refund'").count() > 0

@@ -1,5 +1,6 @@
 """Schedules against a minute-by-minute scan of the calendar."""
 
+import calendar
 import datetime as dt
 
 import pytest
@@ -93,7 +94,33 @@ def test_known_cadences(spark):
     assert S.expand_schedule(never.withColumn("id", never.cron), "2024-01-01", "2024-12-31").count() == 0
 
 
-@pytest.mark.parametrize("bad", ["not a cron", "0 0 * *", "61 * * * *", None])
+RULES = {
+    "0 3 L * *": lambda t, last: t.day == last and t.hour == 3,
+    "0 3 L,15 feb *": lambda t, last: t.month == 2 and t.day in (last, 15) and t.hour == 3,
+    "0 3 * * fri#2": lambda t, last: t.weekday() == 4 and 8 <= t.day <= 14 and t.hour == 3,
+    "0 3 * * 7#5,1L": lambda t, last: ((t.weekday() == 6 and t.day > 28) or (t.weekday() == 0 and t.day > last - 7)) and t.hour == 3,
+    "0 3 1 * L0": lambda t, last: (t.day == 1 or (t.weekday() == 6 and t.day > last - 7)) and t.hour == 3,
+    "0 22-4/3 * * *": lambda t, last: t.hour in (22, 1, 4),
+    "0 3 30-2 nov-jan *": lambda t, last: (t.day >= 30 or t.day <= 2) and t.month in (11, 12, 1) and t.hour == 3,
+    "0 3 * * sat-tue/2": lambda t, last: t.weekday() in (5, 0) and t.hour == 3,
+    "0 3 * * 6-7": lambda t, last: t.weekday() in (5, 6) and t.hour == 3,
+}
+
+
+def test_month_relative_days_and_wrapping_ranges(spark):
+    start, end = dt.datetime(2023, 10, 28), dt.datetime(2024, 3, 5)
+    df = spark.createDataFrame(list(enumerate(RULES)), "id int, cron string")
+    got = {}
+    for r in S.expand_schedule(df, start, end).collect():
+        got.setdefault(r.id, []).append(r.fire_ts)
+    for i, (cron, rule) in enumerate(RULES.items()):
+        hours = [start + dt.timedelta(hours=h) for h in range(int((end - start).total_seconds()) // 3600)]
+        assert sorted(got[i]) == [t for t in hours if rule(t, calendar.monthrange(t.year, t.month)[1])], cron
+    gaps = {r.cron: r.interval_s for r in S.schedule_cadence(df, "2024-01-31 12:00:00").collect()}
+    assert gaps["0 3 L * *"] == 31 * 86400 and gaps["0 3 * * fri#2"] == 28 * 86400
+
+
+@pytest.mark.parametrize("bad", ["not a cron", "0 0 * *", "61 * * * *", "0 0 * L *", "0 0 * * 5#6", "0 0 * * 8#1", "0 0 * * xyzL", "0 0 32 * *", "0 24-2 * * *", "0 0 1L * *", None])
 def test_invalid_is_an_error(spark, bad):
     df = spark.createDataFrame([(1, bad)], "id int, cron string")
     with pytest.raises(Exception, match="invalid cron expression"):
@@ -118,3 +145,22 @@ def test_missed(spark):
     plans = spark.createDataFrame([(f, "0 1 * * *") for f in "abc"], "feed string, cron string")
     got = {r.feed: r.missed_fire for r in S.missed_fires(latest, plans, "2024-01-31 12:00:00").collect()}
     assert got == {"a": False, "b": True, "c": True}
+
+
+@pytest.mark.parametrize("rows_per_block", [None, 3])
+def test_history_of_fires(spark, rows_per_block):
+    days = [1, 2, 3, 9, 16, 17, 30]
+    batches = spark.createDataFrame([("a", dt.date(2024, 1, d), f"a{d:02d}") for d in days] + [("a", None, "loose"), ("c", dt.date(2024, 1, 5), "c05")], "feed string, batch_date date, file_name string")
+    plans = spark.createDataFrame([("a", "0 0,12 * * 1"), ("b", "0 0 15 * *"), ("c", "0 6 10 * *")], "feed string, cron string")
+    found = S.answered_fires(batches, plans, "2024-01-02", "2024-02-01", rows_per_block=rows_per_block)
+    got = [(r.feed, r.fire_ts.day, r.n_fires, r.n_batches, r.first_batch and r.first_batch.day, r.missed) for r in found.orderBy("feed", "fire_ts").collect()]
+    assert got == [
+        ("a", 8, 2, 1, 9, False), ("a", 15, 2, 2, 16, False), ("a", 22, 2, 0, None, True), ("a", 29, 2, 1, 30, False),
+        ("b", 15, 1, 0, None, True), ("c", 10, 1, 0, None, True),
+    ]
+    periods = S.fire_periods(plans, "2024-01-02", "2024-02-01")
+    told = {r.file_name: r.fire_ts and r.fire_ts.day for r in S.batches_with_fires(batches, periods, rows_per_block=rows_per_block).collect()}
+    assert told == {"a01": None, "a02": None, "a03": None, "a09": 8, "a16": 15, "a17": 15, "a30": 29, "c05": None}
+    hours = spark.createDataFrame([("a", "2024-01-08 00:00:00"), ("a", "2024-01-08 13:00:00")], "feed string, t string").selectExpr("feed", "CAST(t AS TIMESTAMP_NTZ) AS batch_date", "t AS file_name")
+    by_hour = S.answered_fires(hours, plans, "2024-01-08", "2024-01-16", grain="hour", rows_per_block=rows_per_block)
+    assert [(r.fire_ts.day, r.fire_ts.hour, r.missed) for r in by_hour.where("feed = 'a'").orderBy("fire_ts").collect()] == [(8, 0, False), (8, 12, False), (15, 0, True), (15, 12, True)]
