@@ -32,7 +32,7 @@ SLICE_BYTES = 2 << 20
 # bytes of pieces that one index is built over; a longer piece has one of its own
 INDEX_BYTES = 256 << 10
 # pieces that a worker remembers; beyond either bound it starts afresh
-KNOWN_PIECES, KNOWN_BYTES = 200_000, 24 << 20
+KNOWN_PIECES, KNOWN_BYTES = 500_000, 64 << 20
 
 
 def byte_alphabet() -> list[str]:

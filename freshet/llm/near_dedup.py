@@ -228,11 +228,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = settled(classes.select("node", "d.k", "d.t", "n", "registers"), "nodes")
     texts = squeezed(keys)
     banded = nodes.select("node", "registers").mapInArrow(lambda part: _bands(part, bound.bands, ROWS), BANDED)
-    links, roots = None, None
+    roots = None
     for level, width in enumerate(WIDTHS):
-        found, big = _linked_groups(banded, nodes, texts, roots, bound, width == WIDTHS[-1], level == 0)
-        links = found if links is None else links.union(found)
-        roots = components(links)
+        roots, big = _linked_groups(banded, nodes, texts, roots, bound, width == WIDTHS[-1], level == 0)
         if big is None:
             break
         # groups that are still too large fall apart in longer bands, drawn anew from the texts
@@ -266,7 +264,7 @@ def _apart(grouped: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _linked_groups(banded: DataFrame, nodes: DataFrame, texts: DataFrame, roots: DataFrame | None, bound: Bound, last: bool, numbered: bool) -> tuple[DataFrame, DataFrame | None]:
-    """Links within the groups of bands, and the nodes of groups that are too large to be compared at this width (none at the last one).
+    """Components (node, root) after the links within the groups of bands are added to those of ``roots``, and the nodes of groups that are too large to be compared at this width (none at the last one).
 
     Every node of a group is compared with a hub. What is then still apart is compared block by block, if the group's part
     outside its largest component fits a block.
@@ -281,9 +279,9 @@ def _linked_groups(banded: DataFrame, nodes: DataFrame, texts: DataFrame, roots:
             pairs = pairs.join(end, x, "left").withColumn(f"root_{x}", F.coalesce(f"root_{x}", x))
         pairs = pairs.where("root_a != root_b").select("a", "b")
     links = settled(_confirmed(_likely_pairs(pairs, nodes, bound), nodes, texts, bound), "links")
-    base = links if roots is None else links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    roots = components(links if roots is None else links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     # nodes of one group that are still apart; those of groups of two have met already
-    apart = _apart(grouped.where("size > 2").select("band", "number", "node"), components(base))
+    apart = _apart(grouped.where("size > 2").select("band", "number", "node"), roots)
     if not last:
         small = apart.where(F.col("rest") <= BLOCK)
         big = settled(apart.where(F.col("rest") > BLOCK).select("node").distinct(), "large-groups")
@@ -291,8 +289,10 @@ def _linked_groups(banded: DataFrame, nodes: DataFrame, texts: DataFrame, roots:
     else:
         small, big = apart, None
     if not small.isEmpty():
-        links = links.union(settled(_compared(small, nodes, texts, bound, numbered), "more-links"))
-    return links, big
+        more = settled(_compared(small, nodes, texts, bound, numbered), "more-links")
+        if not more.isEmpty():
+            roots = components(more.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    return roots, big
 
 
 def _compared(apart: DataFrame, nodes: DataFrame, texts: DataFrame, bound: Bound, numbered: bool) -> DataFrame:
@@ -313,8 +313,10 @@ def _compared(apart: DataFrame, nodes: DataFrame, texts: DataFrame, bound: Bound
     dealt = dealt.select(
         "band", number.alias("number"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "root"
     )
+    # registers and texts of a node are put together first, so that the blocks' rows meet both in one join
     packed = _texts_of(apart.select("node").distinct(), nodes, texts)
-    blocks = dealt.join(nodes.select("node", "n", "registers"), "node").join(packed, "node").groupBy("band", "i", "j")
+    held = settled(packed.join(nodes.select("node", "n", "registers"), "node"), "held")
+    blocks = dealt.join(held, "node").groupBy("band", "i", "j")
     return blocks.applyInArrow(lambda group: _block(group, bound), "a binary, b binary").distinct()
 
 

@@ -32,6 +32,8 @@ WINDOW = 400
 GRAM = 100
 # A gram is frequent if its cell of a counting table holds more than one in HOT_SHARE of all places: at most HOT_SHARE cells.
 CELL_BITS, HOT_SHARE = 22, 200_000
+# a key with more than one in HOT_KEYS of all anchors is looked up by itself: at most HOT_KEYS keys
+HOT_KEYS = 1000
 MAP_BYTES = 1 << 20
 BUCKET_BYTES = 4 << 20
 BASES = [0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB]
@@ -344,9 +346,16 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     hot = np.array([r[0] for r in counted.where(F.col("cell").isNotNull() & (F.col("n") * HOT_SHARE > places)).select("cell").collect()], np.int64)
 
     anchors = settled(texts.mapInArrow(lambda b: _anchors(b, window, gram, hot), "k long, t long, key long, at long, lo long, hi long"), "anchors")
-    counts = anchors.where("key IS NOT NULL").groupBy("key").count().where("count > 1").select("key")
+    anchored = anchors.where("key IS NOT NULL")
+    counts = settled(anchored.groupBy("key").count().where("count > 1"), "repeated-keys")
+    # keys with more than one anchor in HOT_KEYS are known to repeat, and stay out of the join that finds the others
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    known = [r["key"] for r in counts.where(F.col("count") * HOT_KEYS > total).select("key").collect()]
+    hot_key = F.col("key").isin(known) if known else F.lit(False)
+    repeated = anchored.where(~hot_key).join(counts.where(~hot_key).select("key"), "key", "left_semi")
+    repeated = repeated.unionByName(anchored.where(hot_key))
     # repeated rows give every anchor twice; they are one document
-    again = anchors.join(counts, "key").groupBy("k", "t").agg(F.collect_set(F.struct("key", "at", "lo", "hi")).alias("anchors"))
+    again = repeated.groupBy("k", "t").agg(F.collect_set(F.struct("key", "at", "lo", "hi")).alias("anchors"))
     packed = squeezed(read)
     cut = packed.select("k", "t", "z").join(again, ["k", "t"])
     # about a quarter of this is sent: contexts cover every place two or three times, but few repeat

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from freshet.llm.labelmodel import ABSTAIN, fit_label_model, fit_linear
-from freshet.llm.quality import classify_quality
+from freshet.llm.quality import _sample, classify_quality
 from freshet.llm.toxicity import classify_toxicity
 
 SF = "/root/testdata/sf0.1"
@@ -75,3 +75,25 @@ def test_odd_rows(spark, make_docs, odd_texts):
     rows = classify_quality(docs).collect()
     assert len(rows) == len(odd_texts) and sum(r["quality_score"] == 0 and not r["keep"] for r in rows) == 3
     assert classify_quality(make_docs([])).count() == 0 and classify_toxicity(make_docs([]), labels).count() == 0
+
+
+def test_quality_fit_depends_on_texts_alone(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    one = docs.where("text IS NOT NULL").orderBy("doc_id").limit(1)
+    copies = one.withColumn("doc_id", F.explode(F.sequence(F.lit(10_000), F.lit(10_900)))).select("doc_id", "text")
+    many = docs.unionByName(copies)
+    scores = []
+    for rows in (docs.repartition(1), many.repartition(7), many.repartition(3, "text")):
+        scores.append({r["doc_id"]: r["quality_score"] for r in classify_quality(rows, fit_rows=60).where("doc_id < 10000").collect()})
+    # 901 copies of one text, and other partitions, leave the fit on 60 distinct texts as it is
+    assert scores[0] == scores[1] == scores[2]
+    assert _sample(docs, "text", 60).count() == 60 and _sample(docs.limit(0), "text", 60).count() == 0
+
+
+def test_linear_fit_in_one_type():
+    rng = np.random.default_rng(1)
+    x = (rng.random((300, 20)) < 0.3).astype(np.float32)
+    y = 1 / (1 + np.exp(-(x @ rng.normal(size=20) - 0.5)))
+    got, b = fit_linear(x, y, l2=1e-6, rounds=1500)
+    want, c = fit_linear(x.astype(float), y, l2=1e-6, rounds=1500)
+    assert np.abs(got - want).max() < 0.02 and abs(b - c) < 0.02

@@ -265,3 +265,8 @@ def test_bpe(make_docs, odd_texts):
 def test_bpe_broken_bytes():
     bpe = load(tokenizer_path())
     assert bpe.decode(str(bpe.first[0xE4])) == "�" and bpe.decode("") == ""
+
+
+def test_bpe_repeated_rows(make_docs):
+    rows = encode_decode(make_docs(["a b", "a b", "c", None, None], [1, 1, 1, None, None]), tokenizer_path()).collect()
+    assert sorted((r["doc_id"] or 0, r["n_tokens"], r["decoded"]) for r in rows) == [(0, 0, ""), (0, 0, ""), (1, 1, "c"), (1, 2, "a b"), (1, 2, "a b")]
