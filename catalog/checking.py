@@ -10,7 +10,7 @@ from catalog import inputs as I
 from catalog.registry import day, names, query, sql_day, table
 from freshet.operators import checks as C
 from freshet.operators import summary as Y
-from freshet.operators.steps import apply_steps
+from freshet.operators.steps import RESULT, StepFailed, apply_steps, stored
 
 
 @query("SELECT c_custkey, c_nationkey, c_acctbal FROM customer WHERE c_acctbal >= 0")
@@ -19,6 +19,13 @@ def active_customers(spark, sf):
     return C.active(flagged).select("c_custkey", "c_nationkey", "c_acctbal")
 
 
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_acctbal >= 0 AND c_mktsegment = 'MACHINERY'")
+def active_of_one(spark, sf):
+    """Enabled customers of one segment."""
+    flagged = table(spark, sf, "customer").withColumn("enabled", F.col("c_acctbal") >= 0)
+    return C.active(flagged, only="MACHINERY", id_col="c_mktsegment").select("c_custkey", "c_mktsegment")
+
+
 # Every third order lacks a priority, every seventh a status as well.
 _ORDERS = """o AS (SELECT o_orderkey, o_custkey, o_totalprice, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderstatus END AS status,
   CASE WHEN o_orderkey % 21 IN (0, 3) THEN NULL ELSE o_orderpriority END AS priority,
@@ -245,3 +252,21 @@ def applied_steps(spark, sf):
         (2, "rename", lambda d: d.select(F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("price"))),
     ]
     return apply_steps(table(spark, sf, "orders"), steps).df
+
+
+@query("""SELECT 1 AS "position", 'positive' AS module, true AS success, 'rows=' || count(*) FILTER (WHERE o_totalprice > 50000) AS output, false AS has_error FROM orders
+UNION ALL SELECT 2, 'urgent', true, 'rows=' || count(*) FILTER (WHERE o_totalprice > 50000 AND o_orderpriority LIKE '1%'), false FROM orders
+UNION ALL SELECT 3, 'broken', false, '', true""")
+def failed_run(spark, sf):
+    """Result rows of stored steps, the third of which fails: the fourth never runs."""
+    steps = [
+        (4, "never", lambda d: d.drop("o_orderkey")), (3, "broken", lambda d: d.select("no_such_column")),
+        (1, "positive", lambda d: d.where("o_totalprice > 50000")), (2, "urgent", lambda d: d.where("o_orderpriority LIKE '1%'")),
+    ]
+    try:
+        apply_steps(table(spark, sf, "orders"), steps, stored)
+        raise AssertionError("the third step must fail")
+    except StepFailed as failure:
+        results = [(i, *r) for i, r in enumerate(failure.results, 1)]
+    rows = spark.createDataFrame(results, "position int, " + RESULT)
+    return rows.select("position", "module", "success", "output", (F.col("error") != "").alias("has_error"))

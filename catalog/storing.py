@@ -10,6 +10,7 @@ from catalog import inputs as I
 from catalog.registry import day, names, query, sql_day, sql_stamp, stamp
 from freshet.operators import pending as P
 from freshet.operators.manifest import manifest_from_rows, with_file_names
+from freshet.plans.freshness import freshness_report
 from freshet.plans.incremental import incremental_run, incremental_run_all
 from freshet.session import scratch_dir, settled
 from freshet.sources import batches as B
@@ -221,3 +222,31 @@ def relisted_batches(spark, sf):
     B.write_dated_by(rows.where(~before), root, "ts", by=["feed"])
     found, listed = B.relist_batches(spark, root, spark.read.parquet(path))
     return found.select("feed", day("batch_date").alias("batch_date"), "file_name", F.lit(listed).cast("long").alias("n_listed"))
+
+
+@query(f"""WITH {I.EV} SELECT CAST(consumer AS VARCHAR) AS consumer, feed, last_file, {sql_day('last_date')} AS last_date,
+  {sql_stamp("TIMESTAMP '2024-01-31 00:00:00' + INTERVAL 1 HOUR * consumer")} AS last_at, CASE WHEN consumer % 2 = 0 THEN 'a,b' ELSE '' END AS pending FROM cursors_ev""")
+def cursor_documents(spark, sf):
+    """Cursors as JSON documents, one a file, and back."""
+    path = scratch_dir(spark, "documents")
+    at = F.timestamp_add("HOUR", F.col("consumer"), F.lit("2024-01-31 00:00:00").cast("timestamp"))
+    waiting = F.when(F.col("consumer") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>"))
+    cursors = I.cursors_ev(spark, sf).withColumns({"last_at": at, "pending": waiting}).withColumn("consumer", F.col("consumer").cast("string"))
+    C.cursors_to_documents(cursors).write.option("maxRecordsPerFile", 1).json(path)
+    back = C.read_cursor_documents(spark, path)
+    return back.select("consumer", "feed", "last_file", day("last_date").alias("last_date"), stamp("last_at").alias("last_at"), names("pending").alias("pending"))
+
+
+@query(f"""WITH {I.EV} SELECT k.consumer, k.feed, k.last_file AS last_consumed_file,
+  CASE WHEN c.feed IS NULL THEN '' ELSE {sql_stamp("TIMESTAMP '2024-01-31 00:00:00' + INTERVAL 1 HOUR * k.consumer")} END AS last_consumed_at,
+  '2024-02-01 06:00:00.000000' AS after_run
+FROM known_ev k LEFT JOIN cursors_ev c ON k.consumer = c.consumer AND k.feed = c.feed""")
+def consumption_times(spark, sf):
+    """When each edge was last consumed, by its report, and by its cursor after a run at a given time."""
+    at = F.timestamp_add("HOUR", F.col("consumer"), F.lit("2024-01-31 00:00:00").cast("timestamp"))
+    cursors, consumers = I.cursors_ev(spark, sf).withColumn("last_at", at), I.consumers_ev(spark, sf).drop("feeds")
+    report = freshness_report(I.edges_ev(spark, sf), cursors, I.manifest_ev(spark, sf), I.feeds_ev(spark, sf), consumers, I.AS_OF)
+    edges = I.edges_ev(spark, sf).withColumns({"batch_date": F.lit(dt.date(2024, 1, 31)), "file_name": F.lit("x_2024-01-31")})
+    moved = C.advance_cursors(edges, now=F.lit("2024-02-01 06:00:00").cast("timestamp")).select("consumer", "feed", stamp("last_at").alias("after_run"))
+    stand = report.select("consumer", "feed", "last_consumed_file", stamp("last_consumed_at").alias("last_consumed_at"))
+    return stand.join(moved, ["consumer", "feed"])

@@ -25,7 +25,7 @@ def scans(df):
 
 
 # these run jobs of their own before they return
-EAGER = ("streamed_", "incremental_", "logged_", "checked_", "relisted_", "dated_", "saved_")
+EAGER = ("streamed_", "incremental_", "logged_", "checked_", "relisted_", "dated_", "saved_", "cursor_documents", "failed_run")
 LAZY = sorted(n for n in QUERIES if not n.startswith(EAGER))
 
 
