@@ -86,7 +86,8 @@ def test_quality_fit_depends_on_texts_alone(spark):
     for rows in (docs.repartition(1), many.repartition(7), many.repartition(3, "text")):
         scores.append({r["doc_id"]: r["quality_score"] for r in classify_quality(rows, fit_rows=60).where("doc_id < 10000").collect()})
     # 901 copies of one text, and other partitions, leave the fit on 60 distinct texts as it is
-    assert scores[0] == scores[1] == scores[2]
+    for other in scores[1:]:
+        assert other.keys() == scores[0].keys() and max(abs(x - other[i]) for i, x in scores[0].items()) < 1e-9
     assert _sample(docs, "text", 60).count() == 60 and _sample(docs.limit(0), "text", 60).count() == 0
 
 
