@@ -8,7 +8,6 @@ from catalog import inputs as I
 from catalog.registry import day, query, sql_day, sql_stamp, stamp, table
 from freshet.operators import manifest as M
 from freshet.operators import schedules as S
-from freshet.session import settled
 
 
 def customer_schedules(spark, sf):
@@ -153,15 +152,11 @@ def fire_history(spark, sf):
     key = F.col("p_partkey")
     cron = F.when(key % 3 == 0, "0 0 1 * *").when(key % 3 == 1, "0 0-18/6 * * sun").otherwise("0 6 * * mon#1,tue#1,wed#1,thu#1,fri#1")
     schedules = table(spark, sf, "part").select(key.alias("feed"), cron.alias("cron"))
-    shipped = settled(M.with_file_names(M.manifest_from_rows(table(spark, sf, "lineitem"), "l_partkey", "l_shipdate")), "shipped")
-    span = ("1994-01-01", "1997-01-01")
-    found = S.answered_fires(shipped, schedules, *span)
+    shipped = M.with_file_names(M.manifest_from_rows(table(spark, sf, "lineitem"), "l_partkey", "l_shipdate"))
+    found = S.answered_fires(shipped, schedules, "1994-01-01", "1997-01-01")
     missed = F.col("missed")
-    totals = found.groupBy("feed").agg(
+    return found.groupBy("feed").agg(
         F.sum("n_fires").alias("n_fires"), F.count("*").alias("n_periods"), F.count_if(missed).alias("n_missed"), F.sum("n_batches").alias("n_batches"),
+        F.expr("sum(lag_s) div 86400").alias("lag_days"),
         stamp(F.min(F.when(missed, F.col("fire_ts")))).alias("first_missed"), day(F.max(F.when(missed, F.col("period")))).alias("last_missed"),
     )
-    before = shipped.where(F.col("batch_date") < F.lit(span[1]).cast("date"))
-    late = S.batches_with_fires(before, S.fire_periods(schedules, *span)).where("period IS NOT NULL")
-    lags = late.groupBy("feed").agg(F.sum(F.datediff("batch_date", "period").cast("long")).alias("lag_days"))
-    return totals.join(lags, "feed", "left").withColumn("lag_days", F.coalesce("lag_days", F.lit(0).cast("long")))

@@ -143,12 +143,36 @@ def missed_fires(latest: DataFrame, schedules: DataFrame, as_of: Instant, feed:
     return due.join(latest.select(feed, "batch_date"), feed, "left").withColumn("missed_fire", missed)
 
 
-def fire_periods(schedules: DataFrame, start: Instant, end: Instant, grain: str = "day", feed: str = "feed") -> DataFrame:
-    """``feed, period, fire_ts, n_fires``: the days (or hours) in which a feed's schedule fires, each with its first fire."""
+def _calendars(schedules: DataFrame, start: Instant, end: Instant, grain: str, feed: str) -> tuple[DataFrame, DataFrame]:
+    """``feed, _crons``: the expressions of every feed, and ``_crons, _fires``: the periods in which these fire, in order, with first fire and number.
+
+    Feeds with the same expressions share one row of the second frame, so periods are worked out and stored per expression and not per feed.
+    """
     unit = "day" if checked_grain(grain) == "day" else "hour"
-    fires = expand_schedule(schedules, start, end, feed)
+    feeds = schedules.groupBy(feed).agg(F.array_sort(F.collect_list(F.struct("cron"))).alias("_crons"))
+    each = feeds.select("_crons").distinct().select("_crons", F.explode("_crons").alias("_one")).select("_crons", "_one.cron")
     period = F.date_trunc(unit, "fire_ts").cast("timestamp_ntz").alias("period")
-    return fires.groupBy(feed, period).agg(F.min("fire_ts").alias("fire_ts"), F.count(F.lit(1)).alias("n_fires"))
+    periods = expand_schedule(each, start, end, "_crons").groupBy("_crons", period).agg(F.min("fire_ts").alias("fire_ts"), F.count(F.lit(1)).alias("n_fires"))
+    listed = periods.groupBy("_crons").agg(F.array_sort(F.collect_list(F.struct("period", "fire_ts", "n_fires"))).alias("_fires"))
+    return feeds, settled(listed, "calendars")
+
+
+def _placed(df: DataFrame, at: str, most: int) -> DataFrame:
+    """Adds ``_i``, how many of the ordered ``_fires`` (``most`` at most) begin at or before ``at``, and leaves out rows before the first one.
+
+    A binary search, one column per halving. A condition on the found number would be pushed below the halvings and unfold
+    all of them, so the first fire is looked at instead.
+    """
+    df = df.where(f"get(_fires, 0).period <= {at}").withColumns({"_starts": F.col("_fires.period"), "_i": F.lit(0)})
+    for step in (1 << b for b in reversed(range(most.bit_length()))):
+        df = df.withColumn("_i", F.expr(f"_i + CASE WHEN get(_starts, _i + {step - 1}) <= {at} THEN {step} ELSE 0 END"))
+    return df.drop("_starts")
+
+
+def fire_periods(schedules: DataFrame, start: Instant, end: Instant, grain: str = "day", feed: str = "feed") -> DataFrame:
+    """``feed, period, fire_ts, n_fires``: the days (or hours) in which a feed's schedule fires, each with its first fire."""
+    feeds, calendars = _calendars(schedules, start, end, grain, feed)
+    return feeds.join(calendars, "_crons").select(feed, F.inline("_fires"))
 
 
 def batches_with_fires(batches: DataFrame, periods: DataFrame, feed: str = "feed", rows_per_block: int | None = ROWS_PER_BLOCK) -> DataFrame:
@@ -174,12 +198,26 @@ def batches_with_fires(batches: DataFrame, periods: DataFrame, feed: str = "feed
 def answered_fires(batches: DataFrame, schedules: DataFrame, start: Instant, end: Instant, grain: str = "day", feed: str = "feed", rows_per_block: int | None = ROWS_PER_BLOCK) -> DataFrame:
     """The whole history: one row per day (or hour) in ``[start, end)`` in which a feed's schedule fires, and whether a batch answers it.
 
-    ``feed, period, fire_ts, n_fires, n_batches, first_batch, missed``. A batch dated in the period or after it, but before the feed's next
-    one, answers it; a period without any is missed. Batches dated before the first fire answer nothing.
+    ``feed, period, fire_ts, n_fires, n_batches, first_batch, lag_s, missed``. A batch dated in the period or after it, but before the feed's next
+    one, answers it; ``lag_s`` sums the seconds from the period's start to the batches' dates; a period without any is missed. Batches dated before
+    the first fire answer nothing.
+
+    Batches are counted by date first and looked up in the calendar of their feed's expressions, so a feed has one row per date at most, and the
+    feeds' periods appear only in the result. Nothing is scanned in order: ``rows_per_block`` has no effect here.
     """
-    periods = settled(fire_periods(schedules, start, end, grain, feed), "fires")
-    inside = batches.where(F.col("batch_date") < instant(end))
-    found = batches_with_fires(inside, periods, feed, rows_per_block).where("period IS NOT NULL")
-    answers = found.groupBy(feed, "period").agg(F.count(F.lit(1)).alias("n_batches"), F.min("batch_date").alias("first_batch"))
-    joined = periods.join(answers, [feed, "period"], "left").withColumn("n_batches", F.coalesce("n_batches", F.lit(0)))
-    return joined.withColumn("missed", F.col("n_batches") == 0)
+    feeds, calendars = _calendars(schedules, start, end, grain, feed)
+    days = (dt.datetime.fromisoformat(_text(end)) - dt.datetime.fromisoformat(_text(start))).days + 2
+    inside = batches.where(F.col("batch_date") < instant(end)).groupBy(feed, "batch_date").agg(F.count(F.lit(1)).alias("_n"))
+    dated = inside.join(feeds, feed).join(calendars, "_crons").withColumn("_at", F.col("batch_date").cast("timestamp_ntz"))
+    placed = _placed(dated, "_at", days if grain == "day" else 24 * days)
+    lag = (wall_seconds(F.col("_at")) - wall_seconds(F.expr("get(_fires, _i - 1).period"))) * F.col("_n")
+    # one list per feed, as long as its calendar at most
+    answers = placed.select(feed, "_i", "batch_date", "_n", lag.alias("_lag")).groupBy(feed, "_i").agg(F.sum("_n").alias("_n"), F.min("batch_date").alias("_first"), F.sum("_lag").alias("_lag"))
+    answers = answers.groupBy(feed).agg(F.collect_list(F.struct("_i", "_n", "_first", "_lag")).alias("_answers"))
+    kind = answers.schema["_answers"].dataType.simpleString()
+    unanswered = "transform(array_except(sequence(1, size(_fires)), coalesce(_answers._i, array())), i -> named_struct('_i', i, '_n', 0L, '_first', null, '_lag', 0L))"
+    every = F.expr(f"concat(coalesce(_answers, array()), CAST({unanswered} AS {kind}))")
+    told = feeds.join(calendars, "_crons").join(answers, feed, "left").select(feed, "_fires", F.explode(every).alias("_a")).withColumn("_f", F.expr("get(_fires, _a._i - 1)"))
+    return told.select(
+        feed, "_f.*", F.col("_a._n").alias("n_batches"), F.col("_a._first").alias("first_batch"), F.col("_a._lag").alias("lag_s"), (F.col("_a._n") == 0).alias("missed")
+    )

@@ -164,3 +164,22 @@ def test_history_of_fires(spark, rows_per_block):
     hours = spark.createDataFrame([("a", "2024-01-08 00:00:00"), ("a", "2024-01-08 13:00:00")], "feed string, t string").selectExpr("feed", "CAST(t AS TIMESTAMP_NTZ) AS batch_date", "t AS file_name")
     by_hour = S.answered_fires(hours, plans, "2024-01-08", "2024-01-16", grain="hour", rows_per_block=rows_per_block)
     assert [(r.fire_ts.day, r.fire_ts.hour, r.missed) for r in by_hour.where("feed = 'a'").orderBy("fire_ts").collect()] == [(8, 0, False), (8, 12, False), (15, 0, True), (15, 12, True)]
+
+
+def test_history_stores_periods_per_expression(spark, monkeypatch):
+    """Many feeds with few expressions: what is stored follows the expressions, and only the result has a row per feed and period."""
+    stored = []
+    monkeypatch.setattr(S, "settled", lambda df, label, real=S.settled: stored.append(df.count()) or real(df, label))
+    plans = spark.range(300).selectExpr("id AS feed", "CASE id % 2 WHEN 0 THEN '0 0 * * *' ELSE '0 6,18 * * 1' END AS cron")
+    plans = plans.union(spark.createDataFrame([(0, "30 6 8 * *")], "feed long, cron string"))
+    batches = spark.range(3000).selectExpr("id % 300 AS feed", "date_add(DATE '2024-01-01', CAST(id DIV 300 * 3 AS INT)) AS batch_date", "CAST(id AS STRING) AS file_name")
+    found = S.answered_fires(batches.union(batches), plans, "2024-01-01", "2024-02-01")
+    assert max(stored) <= 3
+    rows = {(r.feed, r.period.day): r for r in found.collect()}
+    assert len(rows) == 150 * 31 + 150 * 5
+    assert [rows[0, 8][c] for c in ("n_fires", "n_batches", "lag_s", "missed")] == [2, 0, 0, True]
+    assert [rows[2, 7][c] for c in ("n_fires", "n_batches", "lag_s", "missed")] == [1, 2, 0, False]
+    # Mondays 1, 8, 15, 22 and 29 January; batches every third day from the 1st to the 28th
+    assert [(rows[1, d].n_fires, rows[1, d].n_batches, rows[1, d].first_batch.day, rows[1, d].lag_s) for d in (1, 8, 15)] == [(2, 6, 1, 18 * 86400), (2, 4, 10, 14 * 86400), (2, 4, 16, 10 * 86400)]
+    assert rows[1, 29].missed and rows[1, 29].first_batch is None
+    assert sorted(S.fire_periods(plans, "2024-01-01", "2024-02-01").collect()) == sorted(found.select("feed", "period", "fire_ts", "n_fires").collect())
