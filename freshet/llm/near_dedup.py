@@ -230,12 +230,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     banded = nodes.select("node", "registers").mapInArrow(lambda part: _bands(part, bound.bands, ROWS), BANDED)
     roots = None
     for level, width in enumerate(WIDTHS):
-        roots, big = _linked_groups(banded, nodes, texts, roots, bound, width == WIDTHS[-1], level == 0)
+        # groups of at least two, each with a hub; a group that many nodes share is one row here
+        hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
+        grouped = settled(banded.join(hubs, "band"), "band-groups")
+        if level == 0:
+            texts = _texts_of(grouped.select("node").distinct(), nodes, texts)
+        roots, big = _linked_groups(grouped, nodes, texts, roots, bound, width == WIDTHS[-1], level == 0)
         if big is None:
             break
-        # groups that are still too large fall apart in longer bands, drawn anew from the texts
+        # groups that are still too large fall apart in longer bands, drawn anew from the texts; later levels need no others
         wide, seed = WIDTHS[level + 1], level + 2
-        banded = _texts_of(big, nodes, texts).mapInArrow(lambda part, w=wide, s=seed: _rebanded(part, bound, w, s), BANDED)
+        texts = settled(texts.join(big, "node", "left_semi"), "texts")
+        banded = texts.mapInArrow(lambda part, w=wide, s=seed: _rebanded(part, bound, w, s), BANDED)
 
     full = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = full.where("n > 0").groupBy("root").agg(F.min("k").alias("least"), *([F.min(F.struct("k", "t")).alias("least_key")] if with_key else []))
@@ -263,22 +269,19 @@ def _apart(grouped: DataFrame, roots: DataFrame) -> DataFrame:
     return settled(placed.join(groups, "band"), "apart")
 
 
-def _linked_groups(banded: DataFrame, nodes: DataFrame, texts: DataFrame, roots: DataFrame | None, bound: Bound, last: bool, numbered: bool) -> tuple[DataFrame, DataFrame | None]:
+def _linked_groups(grouped: DataFrame, nodes: DataFrame, texts: DataFrame, roots: DataFrame | None, bound: Bound, last: bool, numbered: bool) -> tuple[DataFrame, DataFrame | None]:
     """Components (node, root) after the links within the groups of bands are added to those of ``roots``, and the nodes of groups that are too large to be compared at this width (none at the last one).
 
     Every node of a group is compared with a hub. What is then still apart is compared block by block, if the group's part
     outside its largest component fits a block.
     """
-    # groups of at least two, each with a hub; a group that many nodes share is one row here
-    hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    grouped = settled(banded.join(hubs, "band"), "band-groups")
     pairs = grouped.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     if roots is not None:
         ends = (roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
         for x, end in zip("ab", ends):
             pairs = pairs.join(end, x, "left").withColumn(f"root_{x}", F.coalesce(f"root_{x}", x))
         pairs = pairs.where("root_a != root_b").select("a", "b")
-    links = settled(_confirmed(_likely_pairs(pairs, nodes, bound), nodes, texts, bound), "links")
+    links = settled(_confirmed(_likely_pairs(pairs, nodes, bound), texts, bound), "links")
     roots = components(links if roots is None else links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     # nodes of one group that are still apart; those of groups of two have met already
     apart = _apart(grouped.where("size > 2").select("band", "number", "node"), roots)
@@ -314,23 +317,21 @@ def _compared(apart: DataFrame, nodes: DataFrame, texts: DataFrame, bound: Bound
         "band", number.alias("number"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "root"
     )
     # registers and texts of a node are put together first, so that the blocks' rows meet both in one join
-    packed = _texts_of(apart.select("node").distinct(), nodes, texts)
-    held = settled(packed.join(nodes.select("node", "n", "registers"), "node"), "held")
+    wanted = nodes.select("node", "n", "registers").join(apart.select("node").distinct(), "node", "left_semi")
+    held = settled(texts.join(wanted, "node"), "held")
     blocks = dealt.join(held, "node").groupBy("band", "i", "j")
     return blocks.applyInArrow(lambda group: _block(group, bound), "a binary, b binary").distinct()
 
 
 def _texts_of(wanted: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """node, z: the packed text of every wanted node."""
+    """node, z: the packed text of every wanted node. Whole texts travel here only; all that follows reads these."""
     needed = nodes.select("node", "k", "t").join(wanted, "node", "left_semi")
     # rows that repeat id and text are one document: any of them will do
     return settled(texts.join(needed, ["k", "t"]).groupBy("node").agg(F.first("z").alias("z")), "texts")
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, bound: Bound) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, bound: Bound) -> DataFrame:
     """Joins pairs to the texts of their nodes and keeps the links."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    held = _texts_of(ends, nodes, texts)
-    a, b = (held.select(F.col("node").alias(x), F.col("z").alias(f"z{x}")) for x in "ab")
-    joined = pairs.join(a, "a").join(b, "b").select("a", "b", "za", "zb").sortWithinPartitions("a")
+    a, b = (texts.select(F.col("node").alias(x), F.col("z").alias(f"z{x}")) for x in "ab")
+    joined = pairs.join(b, "b").join(a, "a").select("a", "b", "za", "zb").sortWithinPartitions("a")
     return joined.mapInArrow(lambda part: _confirm(part, bound), "a binary, b binary")

@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 
+from freshet.llm import components as components_of
 from freshet.llm import near_dedup
 from freshet.llm.bpe import encode_decode, load
 from freshet.llm.decontaminate import find_contamination
@@ -270,3 +271,33 @@ def test_bpe_broken_bytes():
 def test_bpe_repeated_rows(make_docs):
     rows = encode_decode(make_docs(["a b", "a b", "c", None, None], [1, 1, 1, None, None]), tokenizer_path()).collect()
     assert sorted((r["doc_id"] or 0, r["n_tokens"], r["decoded"]) for r in rows) == [(0, 0, ""), (0, 0, ""), (1, 1, "c"), (1, 2, "a b"), (1, 2, "a b")]
+
+
+def test_near_packs_texts_once_and_few_links_take_no_rounds(make_docs, monkeypatch):
+    """Whole texts are packed and dealt out once, however many levels and comparisons follow; few links are joined in one task."""
+    calls = []
+
+    def counted(module, name):
+        real = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *args: calls.append(name) or real(*args))
+
+    counted(near_dedup, "_texts_of")
+    counted(components_of, "_large")
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    texts = near_texts(1) + near_texts(2, 40, 7)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_groups(make_docs(texts)).collect()}
+    assert calls == ["_texts_of"]
+    monkeypatch.setattr(components_of, "TASK_EDGES", 0)
+    assert got == {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_groups(make_docs(texts)).collect()}
+    assert "_large" in calls
+
+
+@pytest.mark.parametrize("task_edges", [0, 1 << 18])
+def test_components_in_rounds_and_in_one_task(spark, monkeypatch, task_edges):
+    monkeypatch.setattr(components_of, "TASK_EDGES", task_edges)
+    chain = [(i, i + 1) for i in range(100, 160)] + [(7, 3), (3, 9), (9, 7), (5, 5), (None, 4), (-1, 40), (40, 30)]
+    edges = spark.createDataFrame(chain, "a long, b long").selectExpr("CAST(CAST(a + 1000 AS STRING) AS BINARY) AS a", "CAST(CAST(b + 1000 AS STRING) AS BINARY) AS b")
+    got = {int(r.node) - 1000: int(r.root) - 1000 for r in components_of.components(edges).collect()}
+    # as bytes, 1000 + 100 and beyond begin with 11 and so on, and 999 comes last
+    assert got == {i: 100 for i in range(101, 161)} | {7: 3, 9: 3, -1: 30, 40: 30}
+    assert components_of.components(edges.where("false")).count() == 0
