@@ -19,6 +19,8 @@ from freshet.llm.labelmodel import ABSTAIN, fit_label_model, fit_linear
 # distinct texts that the model is fitted on; scoring covers all documents
 FIT_ROWS = 8_000
 WIDTH = 1 << 10  # hashed features
+# bytes of text that are measured at once, which takes about 65 times as many bytes of memory
+SLICE_BYTES = 512 << 10
 PRIOR = 0.85  # share of good documents to start from
 REJECT_BELOW = 0.5
 BELIEF, SHRINK = 10.0, 0.1  # both count rows, and so matter only in small samples
@@ -108,7 +110,7 @@ def _slots(code: np.ndarray) -> np.ndarray:
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SLICE_BYTES):
             code, wo, facts = _measure(part)
             row = np.repeat(np.arange(part.num_rows), np.diff(wo))
             x = np.zeros((part.num_rows, WIDTH), np.float32)
@@ -119,6 +121,18 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _scores(batch: pa.RecordBatch, model: tuple[np.ndarray, float], text_col: str) -> np.ndarray:
+    """The score of every row of a batch."""
+    w, b = model
+    parts = [np.zeros(0)]
+    for part in slices(batch, text_col, SLICE_BYTES):
+        code, wo, facts = _measure(part.select([text_col]).rename_columns(["text"]))
+        c = np.concatenate(([0.0], np.cumsum(w[_slots(code)])))
+        value = (c[wo[1:]] - c[wo[:-1]]) / (facts["words"] + STEADY) + b
+        parts.append(np.where(facts["words"] > 0, 1 / (1 + np.exp(-np.clip(value, -60, 60))), 0.0))
+    return np.concatenate(parts)
+
+
 def _sample(docs: DataFrame, text_col: str, fit_rows: int) -> DataFrame:
     """h, text: the ``fit_rows`` distinct texts with the least hashes, whatever the number of their copies."""
     texts = docs.select(F.xxhash64(F.lit("fit"), text_col).alias("h"), F.col(text_col).alias("text"))
@@ -146,17 +160,10 @@ def fit_quality(docs: DataFrame, text_col: str = "text", fit_rows: int = FIT_ROW
 
 def score_quality(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", score: str = "quality_score") -> DataFrame:
     """All columns of ``docs`` and the score (0 to 1, higher is better; 0 for texts without words)."""
-    w, b = model
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
-            for part in slices(batch, text_col):
-                code, wo, facts = _measure(part.select([text_col]).rename_columns(["text"]))
-                c = np.concatenate(([0.0], np.cumsum(w[_slots(code)])))
-                value = (c[wo[1:]] - c[wo[:-1]]) / (facts["words"] + STEADY) + b
-                parts.append(np.where(facts["words"] > 0, 1 / (1 + np.exp(-np.clip(value, -60, 60))), 0.0))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())], [*batch.schema.names, score])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_scores(batch, model, text_col), pa.float64())], [*batch.schema.names, score])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(rows, f"{kinds}, `{score}` double")

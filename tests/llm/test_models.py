@@ -1,11 +1,14 @@
 """Trained operators: held-out accuracy on the test tables, determinism, odd rows."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from freshet.llm.labelmodel import ABSTAIN, fit_label_model, fit_linear
-from freshet.llm.quality import _sample, classify_quality
+from freshet.llm.quality import WIDTH, _examples, _sample, _scores, classify_quality
 from freshet.llm.toxicity import classify_toxicity
 
 SF = "/root/testdata/sf0.1"
@@ -98,3 +101,18 @@ def test_linear_fit_in_one_type():
     got, b = fit_linear(x, y, l2=1e-6, rounds=1500)
     want, c = fit_linear(x.astype(float), y, l2=1e-6, rounds=1500)
     assert np.abs(got - want).max() < 0.02 and abs(b - c) < 0.02
+
+
+def test_quality_measures_little_text_at_once():
+    text = "Plain words of a text, 12 of them. " * 100
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array([text] * 2000)], ["h", "text"])
+    few = batch.slice(0, 1)
+    for measure in (lambda b: _scores(b, (np.ones(WIDTH), 0.0), "text"), lambda b: sum(x.nbytes for x in _examples(iter([b])))):
+        measure(few)
+        tracemalloc.start()
+        measure(batch)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 100 << 20  # for 7 MB of text
+    scores = _scores(batch, (np.ones(WIDTH), 0.0), "text")
+    assert np.allclose(scores, _scores(few, (np.ones(WIDTH), 0.0), "text")[0], rtol=0, atol=1e-9)
