@@ -1,6 +1,7 @@
 """From raw documents to tokens: five stages, each on all that its predecessor kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Stages with Python tasks bound the session's Arrow batches (``small_batches``).
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from freshet.llm.exact_dedup import exact_groups
 from freshet.llm.near_dedup import near_groups
 from freshet.llm.quality import REJECT_BELOW, fit_quality, score_quality
 from freshet.llm.queries import table, tokenizer_path
-from freshet.session import scratch_dir, settled
+from freshet.session import scratch_dir, settled, small_batches
 
 # per cent; op2 has a threshold of its own
 SIMILARITY = 80
@@ -27,6 +28,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject. A null or empty text is rejected."""
+    small_batches(spark)
     scored = score_quality(docs, fit_quality(docs), score="_quality_score")
     return scored.where(F.col("_quality_score") >= REJECT_BELOW).drop("_quality_score")
 
@@ -59,17 +61,20 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of every group of near-duplicates, linked from a similarity of 0.80 on: the one with the smallest identifier."""
+    small_batches(spark)
     return _only(docs, near_groups(docs.select("doc_id", "text"), similarity=SIMILARITY, with_key=True), once=True)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without any window of a benchmark item."""
+    small_batches(spark)
     found = find_contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"), with_key=True)
     return _only(docs, found.select("k", "t", (F.col("n_hit") == 0).alias("kept")))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of the tokens and of the text that they decode to."""
+    small_batches(spark)
     return encode_decode(docs, tokenizer_path(), columns=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 

@@ -23,6 +23,8 @@ from freshet.session import settled
 
 WINDOW = 10
 GRAM = 3
+# bytes of text whose words are held at once, which takes about 25 times as many bytes of memory
+SLICE_BYTES = 1 << 20
 MAP_BITS = 22  # the bitmap has a fixed size, whatever the benchmark's; a full one only filters less
 
 
@@ -46,7 +48,7 @@ def _joined(room: np.ndarray, ws: np.ndarray, we: np.ndarray, first: np.ndarray,
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The windows of every item, each with its tokens and their offsets."""
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SLICE_BYTES):
             room, ws, we, wo, h = _words(part)
             n = np.diff(wo)
             size = np.minimum(n, WINDOW)
@@ -111,7 +113,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 _, _, _, wo, h = _words(part)
                 found, n = np.unique(look.find(h, wo)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n, pa.int64())], ["token", "n"])
@@ -127,7 +129,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "k", "t", "n_words", "token", "at", "lo", "context"]
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 room, ws, we, wo, h = _words(part)
                 n, none = np.diff(wo), pa.nulls(part.num_rows, pa.int64())
                 keys_of = [part.column(c) for c in ("id", "k", "t")]

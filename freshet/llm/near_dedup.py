@@ -33,6 +33,8 @@ ROWS = 5
 # registers of a band, level by level: groups that are too large at one width are dealt anew at the next
 WIDTHS = (ROWS, 2 * ROWS, 3 * ROWS)
 PACKED_BYTES = 1 << 20
+# bytes of text, and of registers, that are worked on at once; words and bands take many times as many bytes of memory
+SLICE_BYTES, REGISTER_BYTES = 1 << 20, 1 << 19
 MISSED = 4.5e-7  # at most this share of pairs at the threshold itself meets in no band
 BLOCK = 256
 
@@ -90,7 +92,7 @@ def _shingles(part: pa.RecordBatch) -> Iterator[tuple[bytes, np.ndarray]]:
 def _sketch(batches: Iterator[pa.RecordBatch], bands: int) -> Iterator[pa.RecordBatch]:
     sketch = SetSketch(bands * ROWS)
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SLICE_BYTES):
             nodes, sizes, registers = [], [], []
             for digest, s in _shingles(part):
                 nodes.append(digest)
@@ -113,15 +115,14 @@ BANDED = "band long, number int, node binary"
 def _bands(batches: Iterator[pa.RecordBatch], bands: int, width: int) -> Iterator[pa.RecordBatch]:
     """A row per node and band of ``width`` registers, keyed by these."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        values = raw(batch.column("registers"))[0].view(np.uint16).reshape(batch.num_rows, bands, width).astype(np.uint64)
-        key = np.broadcast_to(np.arange(bands, dtype=np.uint64) + np.uint64(width << 32), (batch.num_rows, bands)).copy()
-        for r in range(width):
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + values[:, :, r])
-        own = pa.array(np.repeat(np.arange(batch.num_rows), bands))
-        number = pa.array(np.tile(np.arange(bands, dtype=np.int32), batch.num_rows))
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), number, batch.column("node").take(own)], ["band", "number", "node"])
+        for part in slices(batch, "registers", REGISTER_BYTES):
+            values = raw(part.column("registers"))[0].view(np.uint16).reshape(part.num_rows, bands, width).astype(np.uint64)
+            key = np.broadcast_to(np.arange(bands, dtype=np.uint64) + np.uint64(width << 32), (part.num_rows, bands)).copy()
+            for r in range(width):
+                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + values[:, :, r])
+            own = pa.array(np.repeat(np.arange(part.num_rows), bands))
+            number = pa.array(np.tile(np.arange(bands, dtype=np.int32), part.num_rows))
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), number, part.column("node").take(own)], ["band", "number", "node"])
 
 
 def _rebanded(batches: Iterator[pa.RecordBatch], bound: Bound, width: int, seed: int) -> Iterator[pa.RecordBatch]:

@@ -4,8 +4,10 @@ import base64
 import gzip
 import hashlib
 
+import pyarrow as pa
 import pytest
 from compare import connect, differences
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import corpus_pipeline
@@ -176,3 +178,19 @@ def test_pipeline_decides_by_row(spark, make_docs):
     # only the contaminated row goes; repeated clean rows are not this stage's to decide
     _, got = left(3, docs)
     assert got == sorted([x for x in rows if x[1] != "x " + item], key=repr)
+
+
+def test_pipeline_bounds_batches(spark):
+    own, key = spark.newSession(), "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = own.range(6000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some text "), 200).alias("text"))
+    corpus_pipeline.tokens(own, docs, SF)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    n = [r["n"] for r in docs.mapInArrow(sizes, "n long").collect()]
+    assert sum(n) > 12_000_000 and max(n) < 5 << 20
+    own.conf.set(key, "1m")
+    corpus_pipeline.tokens(own, docs, SF)
+    assert own.conf.get(key) == "1m"

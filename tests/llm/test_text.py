@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from freshet.llm import components as components_of
@@ -301,3 +303,19 @@ def test_components_in_rounds_and_in_one_task(spark, monkeypatch, task_edges):
     # as bytes, 1000 + 100 and beyond begin with 11 and so on, and 999 comes last
     assert got == {i: 100 for i in range(101, 161)} | {7: 3, 9: 3, -1: 30, 40: 30}
     assert components_of.components(edges.where("false")).count() == 0
+
+
+def test_near_holds_little_text_at_once():
+    bands, n = near_dedup.Bound(80).bands, 4000
+    ids = pa.array(range(n))
+    batch = pa.RecordBatch.from_arrays([ids, ids, ids, pa.array(["Plain words of a text. " * 75 + str(i) for i in range(n)])], ["id", "k", "t", "text"])
+    for some in (batch.slice(0, 1), batch):
+        tracemalloc.start()
+        sketched = [b.select(["node", "registers"]) for b in near_dedup._sketch(iter([some]), bands)]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert peak < 48 << 20  # for 7 MB of text
+    whole = pa.Table.from_batches(sketched).combine_chunks().to_batches()
+    got = [pa.Table.from_batches(near_dedup._bands(iter(b), bands, near_dedup.ROWS)) for b in (whole, sketched)]
+    assert got[0].equals(got[1]) and got[0].num_rows == n * bands
+    assert max(b.num_rows for b in near_dedup._bands(iter(whole), bands, near_dedup.ROWS)) < 60_000
