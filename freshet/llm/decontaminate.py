@@ -23,7 +23,7 @@ from freshet.session import settled
 
 WINDOW = 10
 GRAM = 3
-# bytes of text whose words are held at once, which takes about 25 times as many bytes of memory
+# bytes of text whose words are held at once, which takes many times as many bytes of memory
 SLICE_BYTES = 1 << 20
 MAP_BITS = 22  # the bitmap has a fixed size, whatever the benchmark's; a full one only filters less
 
