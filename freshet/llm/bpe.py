@@ -29,9 +29,9 @@ OTHER = NOT_SPACE[:-1] + r"\p{L}\p{N}]"
 PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?{OTHER}+|{SPACE}+(?!{NOT_SPACE})|{SPACE}+")
 
 SLICE_BYTES = 2 << 20
-# bytes of pieces that one index is built over; a longer piece has one of its own
-INDEX_BYTES = 256 << 10
-# pieces that a worker remembers; beyond either bound it starts afresh
+# bytes of pieces that one index is built over, so that its lists stay in the processor's cache; a longer piece has one of its own
+INDEX_BYTES = 32 << 10
+# pieces that a worker remembers, half of them those met last; beyond either bound the others are forgotten
 KNOWN_PIECES, KNOWN_BYTES = 200_000, 24 << 20
 
 
@@ -54,95 +54,107 @@ class Bpe:
         vocab = spec["model"]["vocab"]
         letters = byte_alphabet()
         byte_of = {c: b for b, c in enumerate(letters)}
-        self.bytes_of = {str(i): bytes(byte_of[c] for c in token) for token, i in vocab.items()}
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.bytes_of |= {str(i): token.encode() for token, i in self.added.items()}
+        self.width = max([*vocab.values(), *self.added.values()]) + 1
+        # of every id: the bytes it stands for, and its decimal digits with a comma, filled up with zero bytes
+        self.bytes_of = [b""] * self.width
+        for token, i in vocab.items():
+            self.bytes_of[i] = bytes(byte_of[c] for c in token)
+        for token, i in self.added.items():
+            self.bytes_of[i] = token.encode()
+        digits = len(str(self.width)) + 1
+        self.shown = np.frombuffer(b"".join(b"%d," % i + bytes(digits - 1 - len(str(i))) for i in range(self.width)), np.uint8).reshape(-1, digits)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.first = np.array([vocab[c] for c in letters], np.int64)
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
-        by_rank = sorted((rank, a, b, to) for (a, b), (rank, to) in self.merges.items())
-        self.by_rank = {rank: (a, b, to) for rank, a, b, to in by_rank}
-        self.width = max(vocab.values()) + 1
-        codes = np.array([a * self.width + b for _, a, b, _ in by_rank], np.int64)
+            merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+        # ranks of a token's pairs, by the token after it and by the one before it
+        after: dict[int, dict[int, int]] = {}
+        before: dict[int, dict[int, int]] = {}
+        for (a, b), (rank, _) in merges.items():
+            after.setdefault(a, {})[b] = rank
+            before.setdefault(b, {})[a] = rank
+        self.by_rank = {rank: (a, b, to, after.get(to, {}), before.get(to, {})) for (a, b), (rank, to) in merges.items()}
+        codes = np.array([a * self.width + b for a, b in merges], np.int64)
         order = np.argsort(codes)
-        self.codes, self.ranks = codes[order], np.array([r for r, *_ in by_rank], np.int64)[order]
-        # a piece's token ids, in decimal, and the bytes that they decode to
-        self.known: dict[str, tuple[str, bytes]] = {}
+        self.codes, self.ranks = codes[order], np.array([rank for rank, _ in merges.values()], np.int64)[order]
+        # a piece's token ids, as little-endian numbers of 32 bits: pieces met last, and those before them
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.known_bytes = 0
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
-        """The tokens of every (non-empty) piece."""
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        ends = np.cumsum(size)
-        tokens = self.first[np.frombuffer(b"".join(pieces), np.uint8)]
-        n = len(tokens)
-        after = np.arange(1, n + 1)
-        after[ends - 1] = -1
-        before = np.arange(-1, n - 1)
-        before[ends - size] = -1
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """The token ids of every (non-empty) piece, as little-endian numbers of 32 bits."""
+        # a place that holds no token, -1, stands before and behind every piece; merged places become such too
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1)
+        n = int(ends[-1]) + 1
+        tokens = np.full(n, -1, np.int64)
+        held = np.ones(n, bool)
+        held[0] = held[ends] = False
+        tokens[held] = self.first[np.frombuffer(b"".join(pieces), np.uint8)]
         # the index at the start: positions by rank, in ascending order
-        left = np.flatnonzero(after >= 0)
+        left = np.flatnonzero(held[:-1] & held[1:])
         code = tokens[left] * self.width + tokens[left + 1]
         at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
         good = self.codes[at] == code
         left, rank = left[good], self.ranks[at[good]]
         order = np.argsort(rank, kind="stable")
-        left, rank = left[order], rank[order]
-        heads = np.flatnonzero(np.concatenate(([True], rank[1:] != rank[:-1]))) if len(rank) else np.zeros(0, np.int64)
-        places = {int(rank[h]): part.tolist() for h, part in zip(heads, np.split(left, heads[1:]))}
+        left, rank = left[order].tolist(), rank[order]
+        heads = np.flatnonzero(np.diff(rank, prepend=-1))
+        active = rank[heads].tolist()
+        places = {r: left[start:end] for r, start, end in zip(active, heads.tolist(), [*heads[1:].tolist(), len(left)])}
 
-        active = list(places)
         heapq.heapify(active)
-        tok, nxt, prv = tokens.tolist(), after.tolist(), before.tolist()
-        merges, by_rank = self.merges, self.by_rank
+        tok, nxt, prv = tokens.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        by_rank = self.by_rank
         while active:
             rank = heapq.heappop(active)
             here = places.pop(rank, None)
             if here is None:
                 continue
-            a, b, to = by_rank[rank]
+            a, b, to, after, before = by_rank[rank]
             here.sort()
             stopped = -1  # end of a piece whose next merge ranks lower than this one
             for p in here:
+                if tok[p] != a:
+                    continue
                 q = nxt[p]
-                if tok[p] != a or q < 0 or tok[q] != b:
+                if tok[q] != b:
                     continue
                 if p < stopped:
-                    if rank not in places:
-                        places[rank] = []
-                        heapq.heappush(active, rank)
-                    places[rank].append(p)
+                    self._add(places, active, rank, p)
                     continue
                 tok[p] = to
                 tok[q] = -1
                 r = nxt[q]
                 nxt[p] = r
-                if r >= 0:
-                    prv[r] = p
-                    found = merges.get((to, tok[r]))
-                    if found is not None:
-                        self._add(places, active, found[0], p)
-                        if found[0] < rank:
-                            stopped = int(ends[np.searchsorted(ends, p, "right")])
+                prv[r] = p
+                found = after.get(tok[r])
+                if found is not None:
+                    own = places.get(found)
+                    if own is None:
+                        self._add(places, active, found, p)
+                    else:
+                        own.append(p)
+                    if found < rank:
+                        stopped = int(ends[np.searchsorted(ends, p, "right")])
                 o = prv[p]
-                if o >= 0:
-                    found = merges.get((tok[o], to))
-                    if found is not None:
-                        self._add(places, active, found[0], o)
-                        if found[0] < rank:
-                            stopped = int(ends[np.searchsorted(ends, p, "right")])
+                found = before.get(tok[o])
+                if found is not None:
+                    own = places.get(found)
+                    if own is None:
+                        self._add(places, active, found, o)
+                    else:
+                        own.append(o)
+                    if found < rank:
+                        stopped = int(ends[np.searchsorted(ends, p, "right")])
         out = np.array(tok, np.int64)
         alive = np.flatnonzero(out >= 0)
-        cuts = np.searchsorted(alive, ends)
-        flat, out = out[alive].tolist(), []
-        start = 0
-        for end in cuts.tolist():
-            out.append(flat[start:end])
-            start = end
-        return out
+        cuts = (4 * np.searchsorted(alive, ends)).tolist()
+        ids = out[alive].astype("<u4").tobytes()
+        return [ids[start:end] for start, end in zip([0, *cuts], cuts)]
 
     @staticmethod
     def _add(places: dict[int, list[int]], active: list[int], rank: int, p: int) -> None:
@@ -162,46 +174,52 @@ class Bpe:
             out += [part] if part in self.added else PIECE.findall(part)
         return out
 
-    def _pieces(self, texts: Iterable[str]) -> list[list[str]]:
-        """Pieces of every text, all of them known from then on until the next call."""
-        parts = [self._parts(t) for t in texts]
-        if len(self.known) > KNOWN_PIECES or self.known_bytes > KNOWN_BYTES:
-            self.known.clear()
-            self.known_bytes = 0
-        known, of = self.known, self.bytes_of
+    def _learn(self, pieces: set[str]) -> None:
+        """Know the ids of all these pieces, at least until the next call."""
+        if len(self.known) > KNOWN_PIECES // 2 or self.known_bytes > KNOWN_BYTES // 2:
+            self.known, self.older, self.known_bytes = {}, self.known, 0
+        known, older = self.known, self.older
         for token, i in self.added.items():
-            known[token] = str(i), of[str(i)]
-        new = list({w for p in parts for w in p if w not in known})
+            known[token] = np.array([i], "<u4").tobytes()
+        new = []
+        for w in pieces.difference(known):
+            ids = older.get(w)
+            if ids is None:
+                new.append(w)
+            else:
+                known[w] = ids
+                self.known_bytes += len(w) + len(ids)
         at = 0
         while at < len(new):
-            pieces, size = [], 0
-            while at + len(pieces) < len(new) and size < INDEX_BYTES:
-                pieces.append(new[at + len(pieces)].encode())
-                size += len(pieces[-1])
-            for word, tokens in zip(new[at:], self.encode_pieces(pieces)):
-                ids = [str(i) for i in tokens]
-                known[word] = ",".join(ids), b"".join([of[i] for i in ids])
-                self.known_bytes += 2 * len(word) + len(known[word][0])
-            at += len(pieces)
-        return parts
-
-    def encode(self, texts: Iterable[str]) -> list[str]:
-        """The token ids of every text, in decimal, joined by commas."""
-        return [ids for ids, _ in self.encode_decode(texts)]
-
-    def encode_decode(self, texts: Iterable[str]) -> list[tuple[str, str]]:
-        """The token ids of every text, as ``encode`` has them, and the text of these ids: that of a piece's ids is remembered with them."""
-        parts = self._pieces(texts)
-        known, out = self.known, []
-        for p in parts:
-            found = [known[w] for w in p]
-            out.append((",".join([ids for ids, _ in found]), b"".join([text for _, text in found]).decode("utf-8", "replace")))
-        return out
+            part, size = [], 0
+            while at + len(part) < len(new) and size < INDEX_BYTES:
+                part.append(new[at + len(part)].encode())
+                size += len(part[-1])
+            found = self.encode_pieces(part)
+            known.update(zip(new[at : at + len(part)], found))
+            self.known_bytes += size + sum(map(len, found))
+            at += len(part)
 
-    def decode(self, ids: str) -> str:
-        """The text of token ids in decimal, joined by commas; bytes that are no UTF-8 become U+FFFD."""
+    def encode(self, texts: Iterable[str]) -> list[np.ndarray]:
+        """The token ids of every text."""
+        parts = [self._parts(t) for t in texts]
+        self._learn(set().union(*parts))
+        known = self.known
+        return [np.frombuffer(b"".join([known[w] for w in p]), "<u4") for p in parts]
+
+    def decimal(self, ids: np.ndarray) -> bytes:
+        """Token ids in decimal, joined by commas."""
+        rows = self.shown[ids]
+        return rows[rows != 0].tobytes()[:-1]
+
+    def text(self, ids: np.ndarray) -> str:
+        """The text of token ids; bytes that are no UTF-8 become U+FFFD."""
         of = self.bytes_of
-        return b"".join([of[i] for i in ids.split(",")]).decode("utf-8", "replace") if ids else ""
+        return b"".join([of[i] for i in ids.tolist()]).decode("utf-8", "replace")
+
+    def decode(self, ids: str) -> str:
+        """The text of token ids in decimal, joined by commas."""
+        return self.text(np.array(ids.split(","), np.int64)) if ids else ""
 
 
 @lru_cache(maxsize=2)
@@ -223,18 +241,20 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
+        texts = "decoded" in columns or "decoded_sha256" in columns
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 out: dict[str, list] = {c: [] for c in columns}
-                for ids, decoded in bpe.encode_decode([x or "" for x in part.column("text").to_pylist()]):
+                for ids in bpe.encode([x or "" for x in part.column("text").to_pylist()]):
+                    decoded = bpe.text(ids) if texts else ""
                     if "n_tokens" in out:
-                        out["n_tokens"].append(ids.count(",") + 1 if ids else 0)
+                        out["n_tokens"].append(len(ids))
                     if "ids" in out:
-                        out["ids"].append(np.fromiter(map(int, ids.split(",")), np.int32) if ids else [])
+                        out["ids"].append(ids.astype(np.int32))
                     if "decoded" in out:
                         out["decoded"].append(decoded)
                     if "ids_sha256" in out:
-                        out["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
+                        out["ids_sha256"].append(hashlib.sha256(bpe.decimal(ids)).hexdigest())
                     if "decoded_sha256" in out:
                         out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(out[c], _KINDS[c]) for c in columns)], ["id", *columns])

@@ -1,6 +1,7 @@
 """Operators on texts against plain versions, with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import hashlib
+import json
 import random
 import re
 import tracemalloc
@@ -275,6 +276,47 @@ def test_bpe_repeated_rows(make_docs):
     assert sorted((r["doc_id"] or 0, r["n_tokens"], r["decoded"]) for r in rows) == [(0, 0, ""), (0, 0, ""), (1, 1, "c"), (1, 2, "a b"), (1, 2, "a b")]
 
 
+def test_bpe_keeps_frequent_pieces_when_it_forgets(monkeypatch):
+    """A piece that every slice holds is encoded once, however many rare ones come and are forgotten."""
+    from freshet.llm import bpe
+
+    monkeypatch.setattr(bpe, "KNOWN_PIECES", 40)
+    coder, learnt = bpe.Bpe(tokenizer_path()), []
+    real = coder.encode_pieces
+    monkeypatch.setattr(coder, "encode_pieces", lambda pieces: learnt.extend(pieces) or real(pieces))
+    for n in range(30):
+        coder.encode([" everywhere " + " ".join(chr(97 + n % 26) * (k + n // 26 + 1) for k in range(30))])
+    assert learnt.count(b" everywhere") == 1 and learnt.count(b" ccc") == 2
+    assert len(coder.known) + len(coder.older) <= 40 + 2 * 32
+
+
+def test_bpe_lower_ranks_that_merges_make(tmp_path):
+    """A merge may make a pair that ranks before it; pieces of equal letters, of one letter and long ones beside it."""
+    from tokenizers import Tokenizer
+
+    from freshet.llm.bpe import Bpe, byte_alphabet
+
+    rng = random.Random(9)
+    for trial in range(25):
+        vocab, merges = {c: i for i, c in enumerate(byte_alphabet())}, []
+        made = list("abc")
+        while len(merges) < 40:
+            a, b = rng.choice(made), rng.choice(made)
+            if a + b not in vocab and len(a + b) < 9:
+                vocab[a + b] = len(vocab)
+                merges.append([a, b])
+                made.append(a + b)
+        rng.shuffle(merges)
+        level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        model = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False}
+        spec = {"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "pre_tokenizer": level, "post_processor": None, "decoder": level}
+        path = tmp_path / f"{trial}.json"
+        path.write_text(json.dumps(spec | {"model": model | {"vocab": vocab, "merges": merges}}), encoding="utf-8")
+        texts = [" ".join("".join(rng.choice("abc") for _ in range(rng.choice((1, 3, 9, 60)))) for _ in range(40)), "a" * 301, "b", ""]
+        want = [x.ids for x in Tokenizer.from_file(str(path)).encode_batch(texts)]
+        assert [x.tolist() for x in Bpe(str(path)).encode(texts)] == want
+
+
 def test_near_packs_texts_once_and_few_links_take_no_rounds(make_docs, monkeypatch):
     """Whole texts are packed and dealt out once, however many levels and comparisons follow; few links are joined in one task."""
     calls = []
